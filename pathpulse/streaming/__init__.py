@@ -1,0 +1 @@
+"""Empty on purpose: every input is a finished track, there is no unbounded operator to offer."""
