@@ -15,13 +15,15 @@ SHORT = TrackParams(segment_len=10, interp_limit=1, long_gap=2)
 LONG = TrackParams(segment_len=32, interp_limit=1, long_gap=2)
 
 DIGITS = 6
+# Keeps values that end exactly between two rounded numbers from falling either way.
+NUDGE = 3.3e-11
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every double so that two engines agree on the printed value."""
     return df.select(
         *[
-            F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name
+            F.round(F.col(f.name) + NUDGE, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name
             for f in df.schema
         ]
     )
@@ -29,7 +31,8 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 def r(expression: str, digits: int = DIGITS) -> str:
     """The same rounding in SQL, without negative zero."""
-    return f"CASE WHEN round({expression}, {digits}) = 0 THEN 0.0 ELSE round({expression}, {digits}) END"
+    value = f"round(CAST({expression} AS DOUBLE) + {NUDGE}, {digits})"
+    return f"CASE WHEN {value} = 0 THEN 0.0 ELSE {value} END"
 
 
 def cleaned(spark: SparkSession, folder: str, p: TrackParams, trim: bool = False) -> DataFrame:
