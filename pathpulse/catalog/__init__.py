@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["tracks", "features"]
+MODULES = ["tracks", "features", "stats"]
 
 
 def _merged(attribute: str) -> dict:

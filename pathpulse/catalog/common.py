@@ -110,3 +110,29 @@ def clean_sql(p: TrackParams, trim: bool = False) -> str:
     return f"""{turned_sql(p, trim)}, clean AS (
   SELECT entity, label, frame, seg, speed, x / {p.xy_max} AS x, y / {p.xy_max} AS y,
          turning_angle / {p.angle_max} AS turning_angle FROM turned)"""
+
+
+def t_p_sql(t: str, df: str) -> str:
+    """Two-sided Student probability by Simpson's rule over the angle atan(t / sqrt(df))."""
+    lo = f"atan(abs({t}) / sqrt({df}))"
+    hi = f"least(pi() / 2, {lo} + 12 / sqrt({df}))"
+    return f"""(SELECT 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * ({hi} - {lo}) / 1200
+      * sum(CASE WHEN s IN (0, 400) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END
+            * power(greatest(cos({lo} + ({hi} - {lo}) * s / 400), 0), {df} - 1)) FROM range(401) q(s))"""
+
+
+def f_p_sql(f: str, d1: str, d2: str) -> str:
+    """Upper F probability by Simpson's rule over the angle asin(sqrt(x))."""
+    lo = f"asin(sqrt({d1} * {f} / ({d1} * {f} + {d2})))"
+    hi = f"least(pi() / 2, {lo} + 12 / sqrt({d2}))"
+    return f"""(SELECT 2 * exp(lgamma(({d1} + {d2}) / 2) - lgamma({d1} / 2) - lgamma({d2} / 2)) * ({hi} - {lo}) / 6000
+      * sum(CASE WHEN s IN (0, 2000) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END
+            * power(sin({lo} + ({hi} - {lo}) * s / 2000), {d1} - 1)
+            * power(greatest(cos({lo} + ({hi} - {lo}) * s / 2000), 0), {d2} - 1)) FROM range(2001) q(s))"""
+
+
+def z_p_sql(z: str) -> str:
+    """Two-sided normal probability by Simpson's rule."""
+    return f"""(SELECT 2 / sqrt(2 * pi()) * 12 / 1200
+      * sum(CASE WHEN s IN (0, 400) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END
+            * exp(-power(abs({z}) + 12 * s / CAST(400 AS DOUBLE), 2) / 2)) FROM range(401) q(s))"""
