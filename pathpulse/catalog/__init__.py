@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["tracks", "features", "stats"]
+MODULES = ["tracks", "features", "stats", "life", "votes"]
 
 
 def _merged(attribute: str) -> dict:

@@ -11,6 +11,7 @@ from pathpulse.operators import features_signal as signal
 from pathpulse.operators.resample import resampled_sequences
 from pathpulse.operators.segments import KEYS
 from pathpulse.plans.extract import extract_features
+from pathpulse.session import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 
@@ -337,7 +338,7 @@ def feat_wavelet(spark, sf):
 @query()
 def feat_all(spark, sf):
     """The full 57-column table; each family has its own checked query above."""
-    return extract_features(cleaned(spark, sf, LONG).persist())
+    return extract_features(cut_lineage(cleaned(spark, sf, LONG)))
 
 
 @query(f"""WITH {clean_sql(SHORT)}, arr AS (

@@ -51,19 +51,26 @@ def segment_weight(strategy: str) -> Column:
     }.get(strategy, F.lit(1.0))
 
 
-def decide(rows: DataFrame, keys: Sequence[str], prediction: str, weight: str) -> DataFrame:
-    """Weighted vote per key: class 1 only if strictly heavier; confidence is the winner's share."""
+def decide(
+    rows: DataFrame, keys: Sequence[str], prediction: str, weight: str, **extra: Column
+) -> DataFrame:
+    """Weighted vote per key: class 1 only if strictly heavier; confidence is the winner's share.
+
+    Weights are summed in no fixed order, so sums are compared after rounding off the last bits:
+    a tie stays a tie. ``extra`` adds aggregates on the same pass.
+    """
     votes = rows.groupBy(*keys).agg(
         F.sum(F.when(F.col(prediction) == 0, F.col(weight)).otherwise(0.0)).alias("w0"),
         F.sum(F.when(F.col(prediction) == 1, F.col(weight)).otherwise(0.0)).alias("w1"),
         F.count(F.lit(1)).alias("n_votes"),
         F.avg(weight).alias("avg_weight"),
         F.stddev_pop(weight).alias("weight_std"),
+        *[c.alias(name) for name, c in extra.items()],
     )
     total = F.col("w0") + F.col("w1")
     return votes.withColumns(
         {
-            "predicted": (F.col("w1") > F.col("w0")).cast("int"),
+            "predicted": (F.round("w1", 9) > F.round("w0", 9)).cast("int"),
             "confidence": F.when(total > 0, F.greatest("w0", "w1") / total).otherwise(0.5),
         }
     ).drop("w0", "w1")
@@ -122,15 +129,12 @@ def group_votes(
         decided, ["fold", "label"], ["entity"], entity_block(decided), "place"
     ).withColumn("chunk", F.floor((F.col("place") - 1) / F.lit(group_size)))
     keys = ["fold", "label", "chunk"]
-    members = placed.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("place", "predicted"))), lambda m: m["predicted"]
-        ).alias("individual_preds")
+    members = F.transform(
+        F.array_sort(F.collect_list(F.struct("place", "predicted"))), lambda m: m["predicted"]
     )
     return (
-        decide(placed, keys, "predicted", "confidence")
+        decide(placed, keys, "predicted", "confidence", individual_preds=members)
         .where(F.col("n_votes") == group_size)
-        .join(members, keys)
         .select(
             *keys,
             F.col("predicted").alias("predicted_class"),
