@@ -249,8 +249,9 @@ def _per_channel(name: str, expression: str, channel: str) -> str:
     {_per_channel("turning_fractal_dim", "d", "turning")}
   FROM (SELECT DISTINCT entity, seg FROM clean) LEFT JOIN fd USING (entity, seg) GROUP BY entity, seg""")
 def feat_higuchi(spark, sf):
-    arrays = signal.segment_arrays(cleaned(spark, sf, LONG))
-    return rounded(signal.signal_features(arrays, "fractal"))
+    frames = cleaned(spark, sf, LONG)
+    part = native.fractal_features(frames)
+    return rounded(native.with_zero_default(_segments(frames), part, native.FRACTAL))
 
 
 @query(f"""WITH {clean_sql(LONG)}, {CHANNELS_SQL}, bins AS (

@@ -30,24 +30,6 @@ DB4_LOW = np.array(
 DB4_HIGH = DB4_LOW[::-1] * np.where(np.arange(8) % 2 == 0, -1.0, 1.0)
 
 
-def higuchi(x: np.ndarray, k_max: int = 10) -> float:
-    """Slope of log curve length on log lag; curve length at lag k uses the k interleaved series."""
-    n = len(x)
-    if n < 2 * k_max:
-        return 0.0
-    lags = np.arange(1, k_max + 1)
-    lengths = np.zeros(k_max)
-    for k in lags:
-        moves = np.abs(x[k:] - x[:-k])
-        points = (n - np.arange(k)) // k
-        for start in np.flatnonzero(points > 1):
-            used = points[start] - 1
-            lengths[k - 1] += moves[start::k][:used].sum() * (n - 1) / (points[start] * k)
-    if not (lengths > 0).all():
-        return 0.0
-    return float(np.polyfit(np.log(lags), np.log(lengths / lags), 1)[0])
-
-
 def wavelet_spread(x: np.ndarray, max_level: int = 3) -> list[float]:
     """Standard deviation of each coefficient band, coarsest first; absent bands are 0."""
     bands = [0.0] * (max_level + 1)
@@ -87,11 +69,6 @@ def _known(values) -> np.ndarray:
     return array[~np.isnan(array)]
 
 
-@F.pandas_udf(NUMBER)
-def higuchi_dimension(signal: pd.Series) -> pd.Series:
-    return signal.map(lambda v: higuchi(_known(v)))
-
-
 @F.pandas_udf(NUMBERS)
 def wavelet_bands(signal: pd.Series) -> pd.Series:
     return signal.map(lambda v: wavelet_spread(_known(v)))

@@ -4,25 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathpulse.operators.features_native import histogram_index
+from pathpulse.operators.features_native import with_histogram_bin
 from pathpulse.operators.longview import per_feature, to_long
 from pathpulse.operators.ordered import exact_quantiles
 
 
-def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """1-based right-closed bin of equal width; the smallest value belongs to the first.
+def with_equal_width_bin(df: DataFrame, bins: int) -> DataFrame:
+    """Add the 1-based right-closed bin of ``value`` between ``low`` and ``high``.
 
-    A constant column falls in the middle bin.
+    The smallest value belongs to the first bin; a constant column falls in the middle one.
     """
-    width = (high - low) / bins
-    guess = F.greatest(F.ceil((value - low) / F.nullif(width, F.lit(0.0))), F.lit(1))
-    guess = F.least(guess, F.lit(bins))
-    lower = F.when((guess > 1) & (value <= low + (guess - 1) * width), guess - 1).otherwise(guess)
-    exact = F.when((lower < bins) & (value > low + lower * width), lower + 1).otherwise(lower)
-    return F.when(high > low, exact).otherwise(F.lit((bins + 1) // 2)).cast("int")
+    value, guess, width = F.col("value"), F.col("_guess"), F.col("_width")
+    staged = df.withColumn("_width", (F.col("high") - F.col("low")) / bins).withColumn(
+        "_guess",
+        F.least(
+            F.greatest(
+                F.ceil(F.try_divide(value - F.col("low"), width)), F.lit(1)
+            ),
+            F.lit(bins),
+        ),
+    )
+    staged = staged.withColumn(
+        "_guess",
+        guess
+        - ((guess > 1) & (value <= F.col("low") + (guess - 1) * width)).cast("long"),
+    ).withColumn(
+        "_guess",
+        guess + ((guess < bins) & (value > F.col("low") + guess * width)).cast("long"),
+    )
+    return staged.withColumn(
+        "bin",
+        F.when(F.col("high") > F.col("low"), guess).otherwise(F.lit((bins + 1) // 2)).cast("int"),
+    ).drop("_guess", "_width")
 
 
 def with_feature_range(long: DataFrame, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -35,8 +51,7 @@ def equal_width_counts(
     df: DataFrame, features: Sequence[str], label: str, bins: int = 5
 ) -> DataFrame:
     long = with_feature_range(to_long(df, [label], features), df, features)
-    index = equal_width_bin(F.col("value"), F.col("low"), F.col("high"), bins)
-    return _counts(long.withColumn("bin", index), label)
+    return _counts(with_equal_width_bin(long, bins), label)
 
 
 def equal_frequency_edges(long: DataFrame, bins: int = 5) -> DataFrame:
@@ -77,5 +92,5 @@ def histogram_by_label(
     df: DataFrame, features: Sequence[str], label: str, bins: int = 20
 ) -> DataFrame:
     long = with_feature_range(to_long(df, [label], features), df, features)
-    index = histogram_index(F.col("value"), F.col("low"), F.col("high"), bins)
-    return _counts(long.withColumn("bin", index.cast("int")), label)
+    binned = with_histogram_bin(long, "value", F.col("low"), F.col("high"), bins)
+    return _counts(binned.withColumn("bin", F.col("bin").cast("int")), label)

@@ -6,6 +6,8 @@ row per segment. Missing values are skipped per channel; a feature without enoug
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ MEANDERING = """mean_meandering_ratio std_meandering_ratio min_meandering_ratio
 PHYSICS = "kinetic_energy_proxy movement_efficiency speed_persistence exploration_ratio".split()
 STATISTICAL = "speed_skewness speed_kurtosis speed_iqr speed_cv".split()
 TEMPORAL = "speed_trend speed_acceleration_mean speed_acceleration_std".split()
+FRACTAL = ["speed_fractal_dim", "turning_fractal_dim"]
 ENTROPY = "speed_entropy turning_entropy".split()
 FRENETIC = """mean_frenetic_score max_frenetic_score std_frenetic_score pct_high_frenetic
     mean_jerk max_jerk""".split()
@@ -109,16 +112,37 @@ def physics_aggregates(turn_threshold: float = 30) -> dict[str, Column]:
 def statistical_aggregates() -> dict[str, Column]:
     n, std = F.count("speed"), F.stddev("speed")
     spread = (n > 2) & (std != 0)
-    quartiles = F.percentile("speed", [0.25, 0.75])
     raw = {
         "speed_skewness": F.when(spread, F.skewness("speed")),
         "speed_kurtosis": F.when(spread, F.kurtosis("speed")),
-        "speed_iqr": F.get(quartiles, 1) - F.get(quartiles, 0),
+        "speed_iqr": F.max("speed_q75") - F.max("speed_q25"),
         "speed_cv": F.when(std != 0, std / (F.avg("speed") + SMALL)),
     }
     return {name: _zero(c) for name, c in raw.items()}
 
 
+def with_speed_quartiles(frames: DataFrame) -> DataFrame:
+    """Speed quartiles of the segment on its frames, by linear interpolation between ranks.
+
+    Ranks keep the aggregation in generated code; the quantile aggregate would leave it.
+    """
+    ranked = frames.withColumns(
+        {
+            "_rank": F.row_number().over(
+                Window.partitionBy(*KEYS).orderBy(F.col("speed").asc_nulls_last())
+            ),
+            "_n": F.count("speed").over(segment()),
+        }
+    )
+    columns = {}
+    for name, p in (("speed_q25", 0.25), ("speed_q75", 0.75)):
+        at = F.lit(p) * (F.col("_n") - 1) + 1
+        low = F.max(F.when(F.col("_rank") == F.floor(at), F.col("speed"))).over(segment())
+        high = F.max(F.when(F.col("_rank") == F.ceil(at), F.col("speed"))).over(segment())
+        columns[name] = low + (high - low) * (at - F.floor(at))
+    return ranked.withColumns(columns).drop("_rank", "_n")
+
+
 def temporal_aggregates() -> dict[str, Column]:
     enough = F.count("speed") >= 3
     raw = {
@@ -132,6 +156,8 @@ def temporal_aggregates() -> dict[str, Column]:
 def scalar_features(frames: DataFrame, *groups: dict[str, Column]) -> DataFrame:
     """Any of the aggregate groups above in one aggregation."""
     every = {name: column for group in groups for name, column in group.items()}
+    if "speed_iqr" in every:
+        frames = with_speed_quartiles(frames)
     return with_steps(frames).groupBy(*KEYS).agg(*[c.alias(n) for n, c in every.items()])
 
 
@@ -209,56 +235,106 @@ def meandering_features(frames: DataFrame, window_size: int = 30) -> DataFrame:
     )
 
 
-def histogram_index(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """0-based equal-width bin over [low, high]; a value equal to an edge opens the next bin, the top
-    one stays in the last. A constant column is binned over half a unit to either side."""
+def with_histogram_bin(
+    df: DataFrame, value: str, low: Column, high: Column, bins: int, out: str = "bin"
+) -> DataFrame:
+    """Add the 0-based equal-width bin of ``value`` over [low, high].
+
+    A value equal to an edge opens the next bin, the top one stays in the last. A constant column is
+    binned over half a unit to either side. Built in steps: one expression would repeat its parts.
+    """
     flat = high == low
-    start, stop = F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
-    width = (stop - start) / bins
-    guess = F.least(F.floor((value - start) / (stop - start) * bins), F.lit(bins - 1))
-    lower = F.when(value < start + guess * width, guess - 1).otherwise(guess)
-    return F.when(
-        (value >= start + (lower + 1) * width) & (lower < bins - 1), lower + 1
-    ).otherwise(lower)
+    staged = (
+        df.withColumns(
+            {
+                "_start": F.when(flat, low - 0.5).otherwise(low),
+                "_width": F.when(flat, F.lit(1.0)).otherwise(high - low) / bins,
+            }
+        )
+        .withColumn(
+            "_guess",
+            F.least(F.floor((F.col(value) - F.col("_start")) / F.col("_width")), F.lit(bins - 1)),
+        )
+        .withColumn(
+            "_guess",
+            F.col("_guess")
+            - (F.col(value) < F.col("_start") + F.col("_guess") * F.col("_width")).cast("long"),
+        )
+    )
+    opens_next = (F.col(value) >= F.col("_start") + (F.col("_guess") + 1) * F.col("_width")) & (
+        F.col("_guess") < bins - 1
+    )
+    return staged.withColumn(out, F.col("_guess") + opens_next.cast("long")).drop(
+        "_start", "_width", "_guess"
+    )
+
+
+def channel_values(frames: DataFrame) -> DataFrame:
+    """Known speeds and turning angles one below the other: ``(entity, seg, name, frame, v)``."""
+    pair = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), F.col(column).alias("v"))
+            for name, column in (("speed", "speed"), ("turning", "turning_angle"))
+        ]
+    )
+    return frames.select(*KEYS, "frame", F.inline(pair)).where(F.col("v").isNotNull())
 
 
 def entropy_features(frames: DataFrame, bins: int = 20) -> DataFrame:
     """Natural-log entropy of the value histogram of speed and turning angle."""
-    values = (
-        frames.select(
-            *KEYS,
-            F.explode(
-                F.array(
-                    F.struct(F.lit("speed_entropy").alias("name"), F.col("speed").alias("v")),
-                    F.struct(
-                        F.lit("turning_entropy").alias("name"), F.col("turning_angle").alias("v")
-                    ),
-                )
-            ).alias("e"),
-        )
-        .select(*KEYS, "e.*")
-        .where(F.col("v").isNotNull())
-    )
     channel = Window.partitionBy(*KEYS, "name")
-    binned = values.select(
-        *KEYS,
-        "name",
-        histogram_index(
-            F.col("v"), F.min("v").over(channel), F.max("v").over(channel), bins
-        ).alias("bin"),
+    ranged = channel_values(frames).withColumns(
+        {"low": F.min("v").over(channel), "high": F.max("v").over(channel)}
     )
+    binned = with_histogram_bin(ranged, "v", F.col("low"), F.col("high"), bins)
     counts = binned.groupBy(*KEYS, "name", "bin").agg(F.count(F.lit(1)).alias("c"))
+
     # -sum(p ln p) with p = c / n  equals  ln n - sum(c ln c) / n
+    def entropy(name: str) -> Column:
+        c = F.when(F.col("name") == name, F.col("c"))
+        return _zero(F.ln(F.sum(c)) - F.try_divide(F.sum(c * F.ln(c)), F.sum(c)))
+
     return counts.groupBy(*KEYS).agg(
+        *[entropy(name).alias(f"{name}_entropy") for name in ("speed", "turning")]
+    )
+
+
+def fractal_features(frames: DataFrame, k_max: int = 10) -> DataFrame:
+    """Higuchi dimension: slope of log curve length on log lag.
+
+    At lag k the signal splits into k interleaved series. The step ending at position p belongs to
+    the series starting at ``p mod k`` and counts with that series' scale, so a curve length is a
+    weighted sum of lagged differences. Signals under ``2 k_max`` points give 0.
+    """
+    series = Window.partitionBy(*KEYS, "name").orderBy("frame")
+    whole = Window.partitionBy(*KEYS, "name")
+    placed = channel_values(frames).withColumns(
+        {"pos": F.row_number().over(series) - 1, "n": F.count(F.lit(1)).over(whole)}
+        | {f"d{k}": F.abs(F.col("v") - F.lag("v", k).over(series)) for k in range(1, k_max + 1)}
+    ).where(F.col("n") >= 2 * k_max)
+
+    def length(k: int) -> Column:
+        start = F.col("pos") % k
+        points = F.floor((F.col("n") - start) / k)
+        used = F.floor(F.col("pos") / k) < points
+        scale = (F.col("n") - 1) / (points * k)
+        return F.sum(F.when(used & (F.col("pos") >= k), F.col(f"d{k}") * scale))
+
+    lengths = placed.groupBy(*KEYS, "name").agg(
+        F.array(*[length(k) / k for k in range(1, k_max + 1)]).alias("l")
+    )
+    lags = [math.log(k) for k in range(1, k_max + 1)]
+    centred = [x - sum(lags) / k_max for x in lags]
+    slope = sum(
+        (F.ln(F.get("l", i)) * (c / sum(x * x for x in centred)) for i, c in enumerate(centred)),
+        F.lit(0.0),
+    )
+    usable = F.forall("l", lambda v: F.coalesce(v > 0, F.lit(False)))
+    fitted = lengths.withColumn("slope", F.when(usable, slope).otherwise(0.0))
+    return fitted.groupBy(*KEYS).agg(
         *[
-            _zero(
-                F.ln(F.sum(F.when(F.col("name") == name, F.col("c"))))
-                - F.try_divide(
-                    F.sum(F.when(F.col("name") == name, F.col("c") * F.ln("c"))),
-                    F.sum(F.when(F.col("name") == name, F.col("c"))),
-                )
-            ).alias(name)
-            for name in ENTROPY
+            _zero(F.max(F.when(F.col("name") == name, F.col("slope")))).alias(f"{name}_fractal_dim")
+            for name in ("speed", "turning")
         ]
     )
 

@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathpulse.functions.signal import (
-    higuchi_dimension,
     smoothed,
     spectrum_summary,
     wavelet_bands,
 )
 from pathpulse.operators.segments import KEYS
 
-FRACTAL = ["speed_fractal_dim", "turning_fractal_dim"]
 SPECTRUM = """speed_dominant_freq speed_spectral_centroid turning_dominant_freq
     turning_spectral_centroid""".split()
 WAVELET = [f"wavelet_{c}_level{i}" for c in ("speed", "turning") for i in range(4)]
@@ -36,18 +34,9 @@ def segment_arrays(frames: DataFrame) -> DataFrame:
     )
 
 
-def fractal_columns() -> dict[str, Column]:
-    return {
-        "speed_fractal_dim": higuchi_dimension("speed"),
-        "turning_fractal_dim": higuchi_dimension("turning"),
-    }
-
-
 def signal_features(arrays: DataFrame, *families: str) -> DataFrame:
-    """Families among ``fractal spectrum wavelet roaming``; all four share one Arrow exchange."""
+    """Families among ``spectrum wavelet roaming``; all share one Arrow exchange."""
     work = {}
-    if "fractal" in families:
-        work |= fractal_columns()
     for channel in ("speed", "turning"):
         if "spectrum" in families:
             work[f"{channel}_s"] = spectrum_summary(channel)
@@ -58,8 +47,6 @@ def signal_features(arrays: DataFrame, *families: str) -> DataFrame:
     out = arrays.withColumns(work)
     names: list[str] = []
     extra: dict[str, Column] = {}
-    if "fractal" in families:
-        names += FRACTAL
     if "spectrum" in families:
         for channel in ("speed", "turning"):
             extra[f"{channel}_dominant_freq"] = F.col(f"{channel}_s.strongest")
@@ -73,7 +60,7 @@ def signal_features(arrays: DataFrame, *families: str) -> DataFrame:
     if "roaming" in families:
         extra |= roaming_columns()
         names += ROAMING
-    return out.withColumns(extra).select(*KEYS, *names) if extra else out.select(*KEYS, *names)
+    return out.withColumns(extra).select(*KEYS, *names)
 
 
 def roaming_columns(window_size: int = 30, angle_scale: float = 180.0) -> dict[str, Column]:

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from pathpulse.operators.numbering import MAX_GROUP_ROWS, largest_group
 
 CUTS = 1023
+SKETCH_ACCURACY = 10_000
+QUANTILE_ROWS = MAX_GROUP_ROWS
 
 
 def _value_cuts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -24,7 +26,7 @@ def _value_cuts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     fractions = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
     rows = (
         df.groupBy(*keys)
-        .agg(F.percentile_approx(F.col(value).cast("double"), fractions, 10_000).alias("_cuts"))
+        .agg(F.percentile_approx(F.col(value).cast("double"), fractions, SKETCH_ACCURACY).alias("_cuts"))
         .collect()
     )
     fields = [df.schema[k] for k in keys]
@@ -49,18 +51,20 @@ def ordered_counts(
     keys: Sequence[str],
     value: str,
     measures: dict[str, Column],
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int | None = MAX_GROUP_ROWS,
+    running: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per (keys, value) with each measure, its sum over smaller values and its total.
 
     ``measures`` maps a name to an aggregate; the output has ``name``, ``name_before`` and
-    ``name_total``.
+    ``name_total``, the latter two only for the ``running`` ones where given. ``max_rows=None`` says
+    that every key is known to fit one task.
     """
-    keys = list(keys)
+    keys, sums_of = list(keys), list(running or measures)
     df = df.where(F.col(value).isNotNull())
     if not keys:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    split = largest_group(df, keys) > max_rows
+    split = max_rows is not None and largest_group(df, keys) > max_rows
     if split:
         cuts = _value_cuts(df, keys, value)
     per_value = df.groupBy(*keys, value).agg(*[c.alias(name) for name, c in measures.items()])
@@ -70,7 +74,7 @@ def ordered_counts(
         whole = Window.partitionBy(*keys)
         before = whole.orderBy(value).rowsBetween(*upto)
         out = per_value
-        for name in measures:
+        for name in sums_of:
             out = out.withColumn(
                 f"{name}_before", F.coalesce(F.sum(name).over(before), F.lit(0))
             ).withColumn(f"{name}_total", F.sum(name).over(whole))
@@ -81,22 +85,22 @@ def ordered_counts(
         .withColumn("_block", _cut_number(F.col("_cuts"), F.col(value).cast("double")))
         .drop("_cuts")
     )
-    sums = blocked.groupBy(*keys, "_block").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
+    sums = blocked.groupBy(*keys, "_block").agg(*[F.sum(m).alias(f"_{m}") for m in sums_of])
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_block").rowsBetween(*upto)
     offsets = sums.select(
         *keys,
         "_block",
-        *[F.coalesce(F.sum(f"_{m}").over(earlier), F.lit(0)).alias(f"_{m}_off") for m in measures],
-        *[F.sum(f"_{m}").over(whole).alias(f"{m}_total") for m in measures],
+        *[F.coalesce(F.sum(f"_{m}").over(earlier), F.lit(0)).alias(f"_{m}_off") for m in sums_of],
+        *[F.sum(f"_{m}").over(whole).alias(f"{m}_total") for m in sums_of],
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(*upto)
     out = blocked.join(offsets, [*keys, "_block"])
-    for m in measures:
+    for m in sums_of:
         out = out.withColumn(
             f"{m}_before", F.col(f"_{m}_off") + F.coalesce(F.sum(m).over(inside), F.lit(0))
         )
-    return out.drop("_all", "_block", *[f"_{m}_off" for m in measures])
+    return out.drop("_all", "_block", *[f"_{m}_off" for m in sums_of])
 
 
 def average_rank(count: str = "n") -> Column:
@@ -109,31 +113,93 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = QUANTILE_ROWS,
     out: str = "q",
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key as an array column.
+    """Linear-interpolated quantiles per key as an array column; keys are few.
 
-    Groups that fit one task use the built-in aggregate; larger ones are located by rank on the
-    running counts, so no group is ever held whole.
+    Small groups use the built-in aggregate. For larger ones a sketch brackets each quantile, one
+    pass counts the rows below each bracket, and only the rows inside are ordered, so the values
+    themselves are never shuffled. Should a bracket miss its ranks, all values are ordered instead.
     """
     keys = list(keys)
+    probs = [float(p) for p in probs]
     df = df.where(F.col(value).isNotNull())
     if largest_group(df, keys) <= max_rows:
-        return df.groupBy(*keys).agg(
-            F.percentile(value, [float(p) for p in probs]).alias(out)
+        per_value = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+        return per_value.groupBy(*keys).agg(F.percentile(value, probs, F.col("_n")).alias(out))
+
+    found = _from_counts(_lumped_counts(df, keys, value, probs), keys, probs).collect()
+    if any(row["missed"] for row in found):
+        exact = ordered_counts(df, keys, value, {"n": F.count(F.lit(1))})
+        exact = exact.withColumn("lump", F.lit(False)).withColumnRenamed(value, "v")
+        found = _from_counts(exact, keys, probs).collect()
+    schema = T.StructType(
+        [*[df.schema[k] for k in keys], T.StructField(out, T.ArrayType(T.DoubleType()))]
+    )
+    rows = [(*[row[k] for k in keys], row["q"]) for row in found]
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _lumped_counts(
+    df: DataFrame, keys: list[str], value: str, probs: list[float]
+) -> DataFrame:
+    """Running counts over values near the wanted quantiles and over the lumps of values in between."""
+    margin = 4 / SKETCH_ACCURACY
+    edges = sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)})
+    sketch = (
+        df.groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile_approx(F.col(value).cast("double"), edges, SKETCH_ACCURACY).alias("e"),
         )
-    counts = ordered_counts(df, keys, value, {"n": F.count(F.lit(1))}, max_rows)
+        .collect()
+    )
+    names = [f"_e{i}" for i in range(len(edges))]
+    if keys:
+        fields = [df.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in names]
+        rows = [(*[row[k] for k in keys], *row["e"]) for row in sketch]
+        marked = df.join(df.sparkSession.createDataFrame(rows, T.StructType(fields)), keys)
+    else:
+        marked = df.withColumns({c: F.lit(e) for c, e in zip(names, sketch[0]["e"])})
+
+    # the edge below each value tells its lump; values inside a bracket stand for themselves
+    passed = sum(((F.col(value) >= F.col(c)).cast("int") for c in names), F.lit(0))
+    near = F.lit(False)
+    for p in probs:
+        low = names[edges.index(max(0.0, p - margin))]
+        high = names[edges.index(min(1.0, p + margin))]
+        near = near | F.col(value).between(F.col(low), F.col(high))
+    pieces = (
+        marked.withColumn("_own", F.when(near, F.col(value)))
+        .withColumn("_lump", F.when(F.col("_own").isNull(), passed))
+        .groupBy(*keys, "_lump", "_own")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("v"))
+        .withColumn("lump", F.col("_lump").isNotNull())
+    )
+    # two lumps never share a smallest value, so (v, lump) identifies a piece
+    expected = max(row["n"] for row in sketch) * 2 * margin * len(probs)
+    limit = MAX_GROUP_ROWS if expected > MAX_GROUP_ROWS else None
+    return ordered_counts(
+        pieces, keys, "v", {"n": F.sum("_n"), "lump": F.max("lump")}, limit, running=["n"]
+    )
+
+
+def _from_counts(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles by rank from running counts; ``missed`` where a rank lies inside a lump."""
     pick = []
     for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("n_total") - 1)
+        position = F.lit(p) * (F.col("n_total") - 1)
         for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             holds = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-            pick.append(F.max(F.when(holds, F.col(value))).alias(f"{side}{i}"))
+            own = F.when(holds & ~F.col("lump"), F.col("v").cast("double"))
+            pick.append(F.max(own).alias(f"{side}{i}"))
     found = counts.groupBy(*keys).agg(F.max("n_total").alias("n_total"), *pick)
     points = []
     for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("n_total") - 1)
-        share = position - F.floor(position)
-        points.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * share)
-    return found.select(*keys, F.array(*points).alias(out))
+        position = F.lit(p) * (F.col("n_total") - 1)
+        low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
+        points.append(low + (high - low) * (position - F.floor(position)))
+    return found.select(
+        *keys, F.array(*points).alias("q"), F.exists(F.array(*points), lambda q: q.isNull()).alias("missed")
+    )

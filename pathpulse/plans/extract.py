@@ -13,7 +13,7 @@ from pathpulse.operators.segments import KEYS
 
 FEATURES = (
     native.BASIC + native.TURNING + ["turning_frequency"] + native.MEANDERING + native.ENTROPY
-    + signal.FRACTAL + signal.WAVELET + signal.ROAMING + native.FRENETIC + native.PHYSICS
+    + native.FRACTAL + signal.WAVELET + signal.ROAMING + native.FRENETIC + native.PHYSICS
     + native.STATISTICAL + native.TEMPORAL + signal.SPECTRUM + native.BEHAVIOR
 )
 
@@ -28,10 +28,11 @@ def extract_features(frames: DataFrame) -> DataFrame:
         native.turning_frequency(frames),
         native.meandering_features(frames),
         native.entropy_features(frames),
+        native.fractal_features(frames),
         native.frenetic_features(frames),
         native.behavior_features(frames),
         signal.signal_features(
-            signal.segment_arrays(frames), "fractal", "spectrum", "wavelet", "roaming"
+            signal.segment_arrays(frames), "spectrum", "wavelet", "roaming"
         ),
     ]
     labels = frames.groupBy(*KEYS).agg(F.min("label").alias("label"))

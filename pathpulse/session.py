@@ -17,6 +17,8 @@ def get_session(app: str = "pathpulse", master: str | None = None, **conf) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # feature rows cost far more time than bytes, so small shuffles stay spread out
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         # a segment is one array row of up to 900 frames, so Arrow batches stay small
         "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
