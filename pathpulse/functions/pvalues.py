@@ -9,22 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
+def _log_beta(a: float, b: float) -> float:
+    """Logarithm of the beta function; Stirling differences keep its digits for large arguments."""
+    large, small = max(a, b), min(a, b)
+    if large < 1e4:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    total = large + small
+    growth = (
+        (large - 0.5) * math.log1p(small / large) + small * math.log(total) - small
+        + (1 / total - 1 / large) / 12
+    )
+    return math.lgamma(small) - growth
+
+
+def beta_tail(a: float, b: float, x: float, y: float) -> float:
+    """Regularised incomplete beta function at x = 1 - y by its continued fraction."""
+    if x <= 0 or y <= 0:
+        return float(y <= 0)
     if x > (a + 1) / (a + b + 2):
-        return 1 - beta_tail(b, a, 1 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    ) / a
+        return 1 - beta_tail(b, a, y, x)
+    log_x = math.log(x) if x < 0.5 else math.log1p(-y)
+    log_y = math.log(y) if y < 0.5 else math.log1p(-x)
+    front = math.exp(a * log_x + b * log_y - _log_beta(a, b)) / a
     tiny = 1e-300
-    c, d = 1.0, 1 / max(abs(1 - (a + b) * x / (a + 1)), tiny)
-    if 1 - (a + b) * x / (a + 1) < 0:
-        d = -d
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
     total = d
-    for m in range(1, 500):
+    for m in range(1, 2000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
@@ -39,13 +49,17 @@ def beta_tail(a: float, b: float, x: float) -> float:
 def student_two_sided(t: float, df: float) -> float:
     if pd.isna(t) or pd.isna(df) or df <= 0:
         return math.nan
-    return beta_tail(df / 2, 0.5, df / (df + t * t)) if math.isfinite(t) else 0.0
+    if not math.isfinite(t):
+        return 0.0
+    return beta_tail(df / 2, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def fisher_upper(f: float, d1: float, d2: float) -> float:
     if pd.isna(f) or pd.isna(d1) or pd.isna(d2) or d1 <= 0 or d2 <= 0:
         return math.nan
-    return beta_tail(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if math.isfinite(f) else 0.0
+    if not math.isfinite(f):
+        return 0.0
+    return beta_tail(d2 / 2, d1 / 2, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 def normal_two_sided(z: float) -> float:
