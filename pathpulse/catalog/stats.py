@@ -292,3 +292,10 @@ def radar_means(spark, sf):
   SELECT feature, {r("sum(p * ln(p / (px * py)))", 9)} AS mutual_info FROM p GROUP BY feature""")
 def binned_mi(spark, sf):
     return rounded(hypothesis.binned_mutual_information(_items(spark, sf), FEATURES, "label"), 9)
+
+
+@query("""SELECT event_id, user_id, value FROM events
+  ORDER BY md5(CAST(event_id AS VARCHAR) || '|42'), event_id LIMIT 500""")
+def sample_rows(spark, sf):
+    events = read_table(spark, sf, "events").select("event_id", "user_id", "value")
+    return describe.random_sample(events, ["event_id"])

@@ -103,5 +103,6 @@ def data_info(segments: DataFrame, lengths: DataFrame | None = None) -> DataFram
 
 
 def random_sample(df: DataFrame, keys: Sequence[str], n: int = 500, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows picked by key hash; the same rows every time."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """At most ``n`` rows picked by a hash of their key; the same rows every time."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return df.orderBy(digest, *keys).limit(n)

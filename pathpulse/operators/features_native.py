@@ -299,19 +299,8 @@ def entropy_features(frames: DataFrame, bins: int = 20) -> DataFrame:
     )
 
 
-def fractal_features(frames: DataFrame, k_max: int = 10) -> DataFrame:
-    """Higuchi dimension: slope of log curve length on log lag.
-
-    At lag k the signal splits into k interleaved series. The step ending at position p belongs to
-    the series starting at ``p mod k`` and counts with that series' scale, so a curve length is a
-    weighted sum of lagged differences. Signals under ``2 k_max`` points give 0.
-    """
-    series = Window.partitionBy(*KEYS, "name").orderBy("frame")
-    whole = Window.partitionBy(*KEYS, "name")
-    placed = channel_values(frames).withColumns(
-        {"pos": F.row_number().over(series) - 1, "n": F.count(F.lit(1)).over(whole)}
-        | {f"d{k}": F.abs(F.col("v") - F.lag("v", k).over(series)) for k in range(1, k_max + 1)}
-    ).where(F.col("n") >= 2 * k_max)
+def curve_length_slopes(stepped: DataFrame, keys: list[str], k_max: int) -> DataFrame:
+    """Slope of log curve length on log lag per key, from ``pos``, ``n`` and lagged moves ``d1 …``."""
 
     def length(k: int) -> Column:
         start = F.col("pos") % k
@@ -320,7 +309,7 @@ def fractal_features(frames: DataFrame, k_max: int = 10) -> DataFrame:
         scale = (F.col("n") - 1) / (points * k)
         return F.sum(F.when(used & (F.col("pos") >= k), F.col(f"d{k}") * scale))
 
-    lengths = placed.groupBy(*KEYS, "name").agg(
+    lengths = stepped.groupBy(*keys).agg(
         F.array(*[length(k) / k for k in range(1, k_max + 1)]).alias("l")
     )
     lags = [math.log(k) for k in range(1, k_max + 1)]
@@ -330,7 +319,24 @@ def fractal_features(frames: DataFrame, k_max: int = 10) -> DataFrame:
         F.lit(0.0),
     )
     usable = F.forall("l", lambda v: F.coalesce(v > 0, F.lit(False)))
-    fitted = lengths.withColumn("slope", F.when(usable, slope).otherwise(0.0))
+    return lengths.select(*keys, F.when(usable, slope).otherwise(0.0).alias("slope"))
+
+
+def fractal_features(frames: DataFrame, k_max: int = 10) -> DataFrame:
+    """Higuchi dimension: slope of log curve length on log lag.
+
+    At lag k the signal splits into k interleaved series. The step ending at position p belongs to
+    the series starting at ``p mod k`` and counts with that series' scale, so a curve length is a
+    weighted sum of lagged differences. Signals under ``2 k_max`` points give 0.
+    """
+    series = Window.partitionBy(*KEYS, "name").orderBy("frame")
+    whole = Window.partitionBy(*KEYS, "name")
+    placed = channel_values(frames).withColumns(
+        {"pos": F.row_number().over(series) - 1, "n": F.count(F.lit(1)).over(whole)}
+        | {f"d{k}": F.abs(F.col("v") - F.lag("v", k).over(series)) for k in range(1, k_max + 1)}
+    ).where(F.col("n") >= 2 * k_max)
+
+    fitted = curve_length_slopes(placed, [*KEYS, "name"], k_max)
     return fitted.groupBy(*KEYS).agg(
         *[
             _zero(F.max(F.when(F.col("name") == name, F.col("slope")))).alias(f"{name}_fractal_dim")
@@ -339,35 +345,22 @@ def fractal_features(frames: DataFrame, k_max: int = 10) -> DataFrame:
     )
 
 
-def frenetic_features(
-    frames: DataFrame, window_size: int = 10, overlap: int = 5
+def frenetic_windows(
+    stepped: DataFrame, keys: list[str], window_size: int, step: int
 ) -> DataFrame:
-    """Erratic movement in sliding windows: spread of acceleration times spread of turning change."""
-    step = window_size - overlap
-    known = (
-        frames.where(F.col("speed").isNotNull() & F.col("turning_angle").isNotNull())
-        .select(*KEYS, "frame", "speed", "turning_angle")
-        .withColumns(
-            {
-                "pos": F.row_number().over(forward()) - 1,
-                "accel": F.col("speed") - F.lag("speed").over(forward()),
-                "turn": F.abs(F.col("turning_angle") - F.lag("turning_angle").over(forward())),
-                "accel_before": F.lag("speed").over(forward()) - F.lag("speed", 2).over(forward()),
-            }
-        )
-    )
+    """``(keys, win, jerk, score)`` per whole window, from ``pos`` and differences to earlier rows."""
     first = F.greatest(F.ceil((F.col("pos") - window_size + 1) / step), F.lit(0))
-    sliding = known.withColumn(
+    sliding = stepped.withColumn(
         "win", F.explode(F.sequence(first, F.floor(F.col("pos") / step)))
     ).withColumn("inside", F.col("pos") - F.col("win") * step)
-    stepped, twice = F.col("inside") >= 1, F.col("inside") >= 2
-    windows = (
-        sliding.groupBy(*KEYS, "win")
+    once, twice = F.col("inside") >= 1, F.col("inside") >= 2
+    return (
+        sliding.groupBy(*keys, "win")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg(F.when(twice, F.abs(F.col("accel") - F.col("accel_before")))).alias("jerk"),
-            F.stddev_pop(F.when(stepped, F.col("accel"))).alias("accel_std"),
-            F.stddev_pop(F.when(stepped, F.col("turn"))).alias("turn_std"),
+            F.stddev_pop(F.when(once, F.col("accel"))).alias("accel_std"),
+            F.stddev_pop(F.when(once, F.col("turn"))).alias("turn_std"),
         )
         .where(F.col("n") == window_size)
         .withColumn(
@@ -378,6 +371,26 @@ def frenetic_features(
             ),
         )
     )
+
+
+def frenetic_features(
+    frames: DataFrame, window_size: int = 10, overlap: int = 5
+) -> DataFrame:
+    """Erratic movement in sliding windows: spread of acceleration times spread of turning change."""
+    step = window_size - overlap
+    known = (
+        frames.where(F.col("speed").isNotNull() & F.col("turning_angle").isNotNull())
+        .select(*KEYS, "frame", "speed", "turning_angle")
+        .withColumns(
+            {
+                "pos": F.row_number().over(forward()) - 1,
+                "accel": F.col("speed") - F.lag("speed").over(forward()),
+                "turn": F.abs(F.col("turning_angle") - F.lag("turning_angle").over(forward())),
+                "accel_before": F.lag("speed").over(forward()) - F.lag("speed", 2).over(forward()),
+            }
+        )
+    )
+    windows = frenetic_windows(known, KEYS, window_size, step)
     # at most one score per `step` frames of a segment, so the list is short
     scores, limit = F.collect_list("score"), F.percentile("score", 0.75)
     summed = windows.groupBy(*KEYS).agg(

@@ -3,7 +3,7 @@
 Rows are first collapsed to distinct values with counts. If a key still holds more rows than one
 task should sort, the value axis is cut at sketch quantiles into blocks; offsets come from the
 block totals and the running count is finished inside each block. Results are exact either way:
-the sketch only decides where to cut. Keys are meant to be few (feature names, groups).
+the sketch only decides where to cut.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pathpulse.operators.numbering import MAX_GROUP_ROWS, largest_group
+from pathpulse.session import cut_lineage
 
 CUTS = 1023
 SKETCH_ACCURACY = 10_000
@@ -22,16 +22,15 @@ QUANTILE_ROWS = MAX_GROUP_ROWS
 
 
 def _value_cuts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Sorted cut points per key, fetched once so that every reader of the cuts sees the same ones."""
+    """Sorted cut points per key, stored so that every reader of the cuts sees the same ones."""
     fractions = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    rows = (
-        df.groupBy(*keys)
-        .agg(F.percentile_approx(F.col(value).cast("double"), fractions, SKETCH_ACCURACY).alias("_cuts"))
-        .collect()
+    return cut_lineage(
+        df.groupBy(*keys).agg(
+            F.percentile_approx(F.col(value).cast("double"), fractions, SKETCH_ACCURACY).alias(
+                "_cuts"
+            )
+        )
     )
-    fields = [df.schema[k] for k in keys]
-    schema = T.StructType([*fields, T.StructField("_cuts", T.ArrayType(T.DoubleType()))])
-    return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
 
 
 def _cut_number(cuts: Column, value: Column) -> Column:
@@ -116,29 +115,40 @@ def exact_quantiles(
     max_rows: int = QUANTILE_ROWS,
     out: str = "q",
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key as an array column; keys are few.
+    """Linear-interpolated quantiles per key as an array column.
 
-    Small groups use the built-in aggregate. For larger ones a sketch brackets each quantile, one
-    pass counts the rows below each bracket, and only the rows inside are ordered, so the values
-    themselves are never shuffled. Should a bracket miss its ranks, all values are ordered instead.
+    Groups that fit one task use the built-in aggregate. For larger ones a sketch brackets each
+    quantile, one pass counts the rows between brackets, and only the rows inside are ordered, so
+    the values themselves are never shuffled. Should a bracket miss its ranks, all values of the
+    large groups are ordered instead.
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
     df = df.where(F.col(value).isNotNull())
     if largest_group(df, keys) <= max_rows:
-        per_value = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-        return per_value.groupBy(*keys).agg(F.percentile(value, probs, F.col("_n")).alias(out))
-
-    found = _from_counts(_lumped_counts(df, keys, value, probs), keys, probs).collect()
-    if any(row["missed"] for row in found):
-        exact = ordered_counts(df, keys, value, {"n": F.count(F.lit(1))})
+        return _built_in(df, keys, value, probs, out)
+    large = df
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        big = cut_lineage(sizes.where(F.col("_n") > max_rows).select(*keys))
+        large = df.join(big, keys, "left_semi")
+    found = cut_lineage(_from_counts(_lumped_counts(large, keys, value, probs), keys, probs))
+    if found.where("missed").count():
+        exact = ordered_counts(large, keys, value, {"n": F.count(F.lit(1))})
         exact = exact.withColumn("lump", F.lit(False)).withColumnRenamed(value, "v")
-        found = _from_counts(exact, keys, probs).collect()
-    schema = T.StructType(
-        [*[df.schema[k] for k in keys], T.StructField(out, T.ArrayType(T.DoubleType()))]
-    )
-    rows = [(*[row[k] for k in keys], row["q"]) for row in found]
-    return df.sparkSession.createDataFrame(rows, schema)
+        found = _from_counts(exact, keys, probs)
+    found = found.select(*keys, F.col("q").alias(out))
+    if not keys:
+        return found
+    rest = df.join(big, keys, "left_anti")
+    return found.unionByName(_built_in(rest, keys, value, probs, out))
+
+
+def _built_in(
+    df: DataFrame, keys: list[str], value: str, probs: list[float], out: str
+) -> DataFrame:
+    per_value = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return per_value.groupBy(*keys).agg(F.percentile(value, probs, F.col("_n")).alias(out))
 
 
 def _lumped_counts(
@@ -147,21 +157,20 @@ def _lumped_counts(
     """Running counts over values near the wanted quantiles and over the lumps of values in between."""
     margin = 4 / SKETCH_ACCURACY
     edges = sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)})
-    sketch = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(F.col(value).cast("double"), edges, SKETCH_ACCURACY).alias("e"),
-        )
-        .collect()
-    )
     names = [f"_e{i}" for i in range(len(edges))]
+    # stored, so that the edges are the same however often a task reruns
+    sketch = cut_lineage(
+        df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.percentile_approx(F.col(value).cast("double"), edges, SKETCH_ACCURACY).alias("_e"),
+        )
+    ).select(*keys, "_rows", *[F.get("_e", i).alias(c) for i, c in enumerate(names)])
+    biggest = sketch.agg(F.max("_rows")).first()[0]
     if keys:
-        fields = [df.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in names]
-        rows = [(*[row[k] for k in keys], *row["e"]) for row in sketch]
-        marked = df.join(df.sparkSession.createDataFrame(rows, T.StructType(fields)), keys)
+        marked = df.join(sketch.drop("_rows"), keys)
     else:
-        marked = df.withColumns({c: F.lit(e) for c, e in zip(names, sketch[0]["e"])})
+        only = sketch.first()
+        marked = df.withColumns({c: F.lit(only[c]) for c in names})
 
     # the edge below each value tells its lump; values inside a bracket stand for themselves
     passed = sum(((F.col(value) >= F.col(c)).cast("int") for c in names), F.lit(0))
@@ -178,7 +187,7 @@ def _lumped_counts(
         .withColumn("lump", F.col("_lump").isNotNull())
     )
     # two lumps never share a smallest value, so (v, lump) identifies a piece
-    expected = max(row["n"] for row in sketch) * 2 * margin * len(probs)
+    expected = biggest * 2 * margin * len(probs)
     limit = MAX_GROUP_ROWS if expected > MAX_GROUP_ROWS else None
     return ordered_counts(
         pieces, keys, "v", {"n": F.sum("_n"), "lump": F.max("lump")}, limit, running=["n"]
