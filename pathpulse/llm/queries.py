@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pathpulse.llm.minhash import MinHash, near_duplicates
+from pathpulse.llm.packing import pack
+from pathpulse.llm.tokens import token_counts
 from pathpulse.sources.tables import read_table
 
 
@@ -16,10 +18,20 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder), MinHash(shingle=2))
 
 
+def op6_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_documents(spark, folder))
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(_documents(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op2_minhash_near_dedup,
+        op6_mixture_packing,
+        op7_token_counts,
     )
 }
 
