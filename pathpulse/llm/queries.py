@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathpulse.llm.minhash import MinHash, near_duplicates
 from pathpulse.llm.packing import pack
+from pathpulse.llm.pitman_yor import language_scores
 from pathpulse.llm.tokens import token_counts
 from pathpulse.sources.tables import read_table
 
@@ -26,12 +27,17 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_documents(spark, folder))
 
 
+def op9_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_scores(_documents(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op2_minhash_near_dedup,
         op6_mixture_packing,
         op7_token_counts,
+        op9_pitman_yor_scores,
     )
 }
 
