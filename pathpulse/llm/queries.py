@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathpulse.llm.decontaminate import contaminated
 from pathpulse.llm.minhash import MinHash, near_duplicates
 from pathpulse.llm.packing import pack
 from pathpulse.llm.pitman_yor import language_scores
@@ -27,6 +28,10 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_documents(spark, folder))
 
 
+def op8_spaced_seed_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(_documents(spark, folder), read_table(spark, folder, "benchmark"))
+
+
 def op9_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
     return language_scores(_documents(spark, folder))
 
@@ -37,6 +42,7 @@ QUERIES = {
         op2_minhash_near_dedup,
         op6_mixture_packing,
         op7_token_counts,
+        op8_spaced_seed_decontamination,
         op9_pitman_yor_scores,
     )
 }
