@@ -28,6 +28,7 @@ class MinHash:
 
     With 30 symbols in five chunks and two errors a chunk, all pairs that differ in up to 14 symbols
     meet. A pair at the limit of 80 % differs in 6 on average and in 15 or more with probability 0.0002.
+    Up to ``most_broadcast`` rows of family members (16 bytes each) are broadcast to the texts; more are joined.
     """
 
     shingle: int = 5
@@ -37,6 +38,7 @@ class MinHash:
     errors: int = 2
     bucket_block: int = 512
     family_block: int = 256
+    most_broadcast: int = 500_000
 
     @property
     def length(self) -> int:
@@ -262,6 +264,9 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), doc_id: str = "doc_
     members = families.unionByName(roots)
     wanted = members.select(F.col("node").alias("rep"), F.col("root").alias("family"))
     source = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+    wanted = keep(wanted)
+    if wanted.count() <= p.most_broadcast:
+        wanted = F.broadcast(wanted)
     full = _sets(source.join(wanted, "rep").select("family", "rep", "text"), p)
     links = _confirmed(in_blocks(keep(full), ["family"], "rep", p.family_block), p)
     alias = known.join(reps.select(*same, "rep"), same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -8,6 +8,7 @@ from pathpulse.llm.decontaminate import contaminated
 from pathpulse.llm.minhash import MinHash, near_duplicates
 from pathpulse.llm.packing import pack
 from pathpulse.llm.pitman_yor import language_scores
+from pathpulse.llm.rules import quality_rules, quality_rules_sql
 from pathpulse.llm.tokens import token_counts
 from pathpulse.sources.tables import read_table
 
@@ -20,6 +21,10 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder), MinHash(shingle=2))
 
 
+def op3_adaptive_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(_documents(spark, folder))
+
+
 def op6_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_documents(spark, folder))
 
@@ -40,6 +45,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_minhash_near_dedup,
+        op3_adaptive_quality_rules,
         op6_mixture_packing,
         op7_token_counts,
         op8_spaced_seed_decontamination,
@@ -47,4 +53,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_adaptive_quality_rules": quality_rules_sql()}

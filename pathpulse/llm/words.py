@@ -17,9 +17,9 @@ SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _RNG = np.random.default_rng(20240601)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+_FOLDED = BYTE.copy()
+_FOLDED[65:91] = BYTE[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -116,7 +116,7 @@ def words(text: Text, fold: bool = False) -> Words:
         begins[1:] &= ~inside[:-1] | edge[1:-1]
         finishes[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    table = _FOLDED if fold else _BYTE
+    table = _FOLDED if fold else BYTE
     return Words(starts, ends, span_hashes(lambda a, b: table[data[a:b]], starts, ends), np.searchsorted(starts, at))
 
 
