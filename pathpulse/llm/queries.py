@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pathpulse.llm.decontaminate import contaminated
+from pathpulse.llm.language import languages
 from pathpulse.llm.minhash import MinHash, near_duplicates
 from pathpulse.llm.packing import pack
 from pathpulse.llm.pitman_yor import language_scores
@@ -25,6 +26,10 @@ def op3_adaptive_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_documents(spark, folder))
 
 
+def op4_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(_documents(spark, folder))
+
+
 def op6_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_documents(spark, folder))
 
@@ -46,6 +51,7 @@ QUERIES = {
     for f in (
         op2_minhash_near_dedup,
         op3_adaptive_quality_rules,
+        op4_hyperdimensional_language,
         op6_mixture_packing,
         op7_token_counts,
         op8_spaced_seed_decontamination,
