@@ -9,6 +9,7 @@ from pathpulse.llm.language import languages
 from pathpulse.llm.minhash import MinHash, near_duplicates
 from pathpulse.llm.packing import pack
 from pathpulse.llm.pitman_yor import language_scores
+from pathpulse.llm.quality import quality_scores
 from pathpulse.llm.rules import quality_rules, quality_rules_sql
 from pathpulse.llm.tokens import token_counts
 from pathpulse.sources.tables import read_table
@@ -18,6 +19,10 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents")
 
 
+def op1_positive_unlabelled_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_documents(spark, folder), read_table(spark, folder, "labels"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder), MinHash(shingle=2))
 
@@ -49,6 +54,7 @@ def op9_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_positive_unlabelled_quality,
         op2_minhash_near_dedup,
         op3_adaptive_quality_rules,
         op4_hyperdimensional_language,

@@ -26,7 +26,7 @@ REPEAT = 8
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 
 
-def _lines(part: Text, w: Words) -> tuple[np.ndarray, np.ndarray]:
+def line_counts(part: Text, w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word, and lines equal to an earlier one, per text."""
     breaks = np.flatnonzero(part.data == 10)
     starts = np.sort(np.concatenate([part.at[:-1], breaks + 1]))
@@ -41,17 +41,17 @@ def _lines(part: Text, w: Words) -> tuple[np.ndarray, np.ndarray]:
     return lines, lines - np.bincount(text[first], minlength=n)
 
 
-def _repeated(w: Words) -> np.ndarray:
-    """Words in windows that their text holds twice or more, per text."""
+def repeated_words(w: Words, size: int = REPEAT) -> np.ndarray:
+    """Words in windows of ``size`` words that their text holds twice or more, per text."""
     n = len(w.of) - 1
-    windows, of = shingles(w, REPEAT)
+    windows, of = shingles(w, size)
     text = np.repeat(np.arange(n), np.diff(of))
     _, which, counts = np.unique(windows ^ mix(text.astype(np.uint64)), return_inverse=True, return_counts=True)
     again = np.flatnonzero(counts[which] > 1)
     begin = w.of[text[again]] + again - of[text[again]]
     marks = np.zeros(len(w.hashes) + 1, np.int64)
     np.add.at(marks, begin, 1)
-    np.add.at(marks, begin + REPEAT, -1)
+    np.add.at(marks, begin + size, -1)
     covered = np.concatenate(([0], np.cumsum(np.cumsum(marks[:-1]) > 0)))
     return np.diff(covered[w.of])
 
@@ -65,8 +65,8 @@ def measures(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
             for part in texts(batch.column(len(keys))):
                 w = words(part)
                 sums = [np.concatenate(([0], np.cumsum(x)))[part.at] for x in ((part.data & 0xC0 != 0x80) & ~SPACE[part.data], _SYMBOL[part.data])]
-                lines, dup = _lines(part, w)
-                columns = [np.diff(w.of), *map(np.diff, sums), lines, dup, _repeated(w)]
+                lines, dup = line_counts(part, w)
+                columns = [np.diff(w.of), *map(np.diff, sums), lines, dup, repeated_words(w)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k).slice(part.first, len(part)) for k in range(len(keys))] + [pa.array(c, pa.int64()) for c in columns],
                     names=keys + names,
