@@ -8,6 +8,7 @@ from pathpulse.llm.decontaminate import contaminated
 from pathpulse.llm.language import languages
 from pathpulse.llm.minhash import MinHash, near_duplicates
 from pathpulse.llm.packing import pack
+from pathpulse.llm.personal import personal_data
 from pathpulse.llm.pitman_yor import language_scores
 from pathpulse.llm.quality import quality_scores
 from pathpulse.llm.rules import quality_rules, quality_rules_sql
@@ -51,6 +52,10 @@ def op9_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
     return language_scores(_documents(spark, folder))
 
 
+def op10_skip_chain_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(_documents(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +67,7 @@ QUERIES = {
         op7_token_counts,
         op8_spaced_seed_decontamination,
         op9_pitman_yor_scores,
+        op10_skip_chain_personal_data,
     )
 }
 
