@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathpulse.llm.decontaminate import contaminated
 from pathpulse.llm.language import languages
+from pathpulse.llm.lines import without_matched_lines, without_matched_lines_sql
 from pathpulse.llm.minhash import MinHash, near_duplicates
 from pathpulse.llm.packing import pack
 from pathpulse.llm.personal import personal_data
@@ -36,6 +37,10 @@ def op4_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame
     return languages(_documents(spark, folder))
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return without_matched_lines(_documents(spark, folder)).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_documents(spark, folder))
 
@@ -63,6 +68,7 @@ QUERIES = {
         op2_minhash_near_dedup,
         op3_adaptive_quality_rules,
         op4_hyperdimensional_language,
+        op5_line_dedup,
         op6_mixture_packing,
         op7_token_counts,
         op8_spaced_seed_decontamination,
@@ -71,4 +77,7 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {"op3_adaptive_quality_rules": quality_rules_sql()}
+ORACLES: dict[str, str] = {
+    "op3_adaptive_quality_rules": quality_rules_sql(),
+    "op5_line_dedup": without_matched_lines_sql(),
+}
