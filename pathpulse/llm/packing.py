@@ -166,7 +166,7 @@ class Encoder:
             known[x] = np.array(e.ids, np.uint32).tobytes()
         parts = [known[x] for x in found]
         ids = np.frombuffer(b"".join(parts), np.uint32)
-        return ids, np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts])))
+        return ids, np.cumsum([0, *(len(x) // 4 for x in parts)])
 
 
 @cache

@@ -50,9 +50,9 @@ class SkipChain:
     rounds: int = 10
     damping: float = 0.3
     least: float = 0.9
-    same: float = 5.0
+    same: float = 20.0
     other: float = 0.5
-    penalty: float = 1.0
+    penalty: float = 0.1
 
 
 def luhn(digits: str) -> bool:
