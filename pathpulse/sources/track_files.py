@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathpulse.functions import filenames
 
-RAW_SCHEMA = "GlobalFrame BIGINT, Speed DOUBLE, X DOUBLE, Y DOUBLE"
 LIFESPAN_SCHEMA = "Filename STRING, Seconds5x DOUBLE"
 
 
@@ -18,55 +17,85 @@ def null_if_nan(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
-def scan_tracks(spark: SparkSession, folder: str) -> DataFrame:
-    """All track files below ``folder`` as ``(path, entity, label, row_no, speed, x, y)``.
+def _number(name: str, kind: str = "double") -> Column:
+    """Cell of a named column as a number; null where the file has no such column."""
+    place = F.array_position("names", name).cast("int") - 1
+    return F.trim(F.get("cells", place)).try_cast(kind)
+
 
-    ``row_no`` is the 0-based line of its file. Within one file split the generated id counts up
-    by one, so a line number is the id's distance from the first id of its split plus the lines of
+def csv_lines(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """Lines of all files below ``folder`` as ``(path, row_no, cells, names)``, by each file's own header.
+
+    ``row_no`` is the 0-based line after the header, blank lines aside. Within one file split the generated id
+    counts up by one, so a line number is the id's distance from the first id of its split plus the lines of
     the earlier splits of that file; only the per-split counts are ordered, never the rows.
     """
     raw = (
-        spark.read.schema(_csv_schema(spark, folder, RAW_SCHEMA))
-        .option("header", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .csv(folder)
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
+        .text(folder)
+        .where(F.trim("value") != "")
         .select(
-            F.col("GlobalFrame").alias("global_frame"),
-            F.col("Speed").alias("speed"),
-            F.col("X").alias("x"),
-            F.col("Y").alias("y"),
-            F.col("_metadata.file_path").alias("_uri"),
+            "value",
+            F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"),
             F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("id"),
         )
     )
-    raw = null_if_nan(raw, "speed", "x", "y")
-    raw = raw.withColumn("path", F.url_decode(F.replace("_uri", F.lit("+"), F.lit("%2B"))))
+    splits = raw.groupBy("path", "split").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("id").alias("first_id"), F.min_by("value", "id").alias("head")
+    )
+    in_file = Window.partitionBy("path").orderBy("split")
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    bare = F.transform(F.split(F.first("head").over(in_file), ","), lambda c: F.regexp_replace(c, '^[\\s\ufeff"]+|[\\s"]+$', ""))
+    starts = splits.select(
+        "path", "split", "first_id", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("start"), bare.alias("names")
+    )
+    place = F.col("id") - F.col("first_id") + F.col("start")
+    return (
+        raw.join(starts, ["path", "split"])
+        .where(place > 0)
+        .select("path", (place - 1).alias("row_no"), F.split("value", ",").alias("cells"), "names")
+    )
+
+
+def scan_tracks(spark: SparkSession, folder: str) -> DataFrame:
+    """All track files below ``folder`` as ``(path, relative_path, entity, label, row_no, speed, x, y)``.
+
+    Columns go by the names in each file's header, whatever their order. An entity is named after its file; where
+    several folders hold a file of that name, after the file's path below ``folder``.
+    """
+    lines = csv_lines(spark, folder)
     excluded = reduce(
         lambda a, b: a | b,
         [F.array_contains(F.split("path", "/"), d) for d in filenames.EXCLUDED_FOLDERS],
     )
     name = filenames.base_name(F.col("path"))
-    tracks = raw.where(~excluded & ~name.rlike(filenames.NON_TRACK_NAMES)).drop("_uri")
-
-    splits = tracks.groupBy("path", "split").agg(
-        F.count(F.lit(1)).alias("lines"), F.min("id").alias("first_id")
-    )
-    earlier = (
-        Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = splits.select(
+    tracks = lines.where(~excluded & ~name.rlike(filenames.NON_TRACK_NAMES)).select(
         "path",
-        "split",
-        "first_id",
-        F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("start"),
+        "row_no",
+        _number("GlobalFrame", "bigint").alias("global_frame"),
+        _number("Speed").alias("speed"),
+        _number("X").alias("x"),
+        _number("Y").alias("y"),
     )
-    return tracks.join(starts, ["path", "split"]).select(
+    root = F.lit(folder.rstrip("/") + "/")
+    relative = F.substring("path", F.locate(folder.rstrip("/") + "/", F.col("path")) + F.length(root), F.length("path"))
+    relative = F.when(F.contains("path", root), relative).otherwise(F.col("path"))
+    files = (
+        tracks.select("path").distinct()
+        .withColumn("relative_path", relative)
+        .withColumn("file", F.regexp_replace(name, r"\.csv$", ""))
+    )
+    shared = files.groupBy("file").agg(F.count(F.lit(1)).alias("files"))
+    entity = F.when(F.col("files") == 1, F.col("file")).otherwise(F.regexp_replace("relative_path", r"\.csv$", ""))
+    named = files.join(shared, "file").select("path", "relative_path", entity.alias("entity"))
+    return null_if_nan(tracks, "speed", "x", "y").join(named, "path").select(
         "path",
-        F.regexp_replace(name, r"\.csv$", "").alias("entity"),
+        "relative_path",
+        "entity",
         filenames.path_label(filenames.directory(F.col("path"))).alias("label"),
-        (F.col("id") - F.col("first_id") + F.col("start")).alias("row_no"),
+        "row_no",
         "global_frame",
         "speed",
         "x",
@@ -74,20 +103,6 @@ def scan_tracks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _csv_schema(spark: SparkSession, folder: str, wanted: str) -> str:
-    """The wanted columns in file order; CSV columns are matched by position, so read one header."""
-    header = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*coordinates*.csv")
-        .text(folder)
-        .first()
-    )
-    types = dict(part.split() for part in wanted.split(", "))
-    if header is None:
-        return wanted
-    return ", ".join(f"`{c.strip()}` {types.get(c.strip(), 'STRING')}" for c in header[0].split(","))
-
-
 def frames_of(tracks: DataFrame) -> DataFrame:
     """Drop each file's first line, number the rest from 1."""
     return (
@@ -113,31 +128,19 @@ def read_lifespans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_bounds_files(spark: SparkSession, *folders: str) -> DataFrame:
-    """Raw and preprocessed files for the bounds scan, with either spelling of the columns."""
-    parts = []
-    for pattern, schema in (
-        ("*coordinates_highestspeed_*", "GlobalFrame BIGINT, Speed DOUBLE, X DOUBLE, Y DOUBLE"),
-        (
-            "*preprocessed*",
-            "frame BIGINT, speed DOUBLE, x DOUBLE, y DOUBLE, turning_angle DOUBLE",
-        ),
-    ):
-        for folder in folders:
-            part = (
-                spark.read.schema(schema)
-                .option("header", "true")
-                .option("recursiveFileLookup", "true")
-                .option("pathGlobFilter", pattern + ".csv")
-                .csv(folder)
-                .withColumn("path", F.col("_metadata.file_path"))
-            )
-            if "preprocessed" not in pattern:
-                part = part.where(
-                    ~filenames.base_name(F.col("path")).contains("preprocessed")
-                ).select(
-                    "path", F.col("Speed").alias("speed"), F.col("X").alias("x"),
-                    F.col("Y").alias("y"),
-                )
-            parts.append(part)
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return null_if_nan(both, "speed", "x", "y", "turning_angle")
+    """Raw and preprocessed files for the bounds scan, with either spelling of the coordinates.
+
+    Speed and turning angle are those of the preprocessed spelling; a raw file's ``Speed`` is not one.
+    """
+    parts = [csv_lines(spark, folder) for folder in folders]
+    lines = reduce(DataFrame.unionByName, parts)
+    name = filenames.base_name(F.col("path"))
+    wanted = name.contains("coordinates_highestspeed_") | name.contains("preprocessed")
+    scanned = lines.where(wanted).select(
+        "path",
+        _number("speed").alias("speed"),
+        F.coalesce(_number("X"), _number("x")).alias("x"),
+        F.coalesce(_number("Y"), _number("y")).alias("y"),
+        _number("turning_angle").alias("turning_angle"),
+    )
+    return null_if_nan(scanned, "speed", "x", "y", "turning_angle")

@@ -65,6 +65,37 @@ def test_extra_columns_are_ignored(spark, tmp_path):
     assert [(r["speed"], r["x"], r["y"]) for r in rows] == [(0.5, 1.5, 2.5), (0.6, 1.6, 2.6)]
 
 
+def test_columns_go_by_each_files_header(spark, tmp_path):
+    for folder, text in (
+        ("a", "GlobalFrame,Speed,X,Y\n1,0.5,1.5,2.5\n"),
+        ("b", '"X","Y","Speed","GlobalFrame"\n\n1.5, 2.5,0.5,1\nNaN,,x,2\n'),
+    ):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / f"coordinates_highestspeed_20240827_{folder}_1.csv").write_text(text)
+    rows = track_files.scan_tracks(spark, str(tmp_path)).orderBy("path", "row_no").collect()
+    assert [tuple(r)[-5:] for r in rows] == [
+        (0, 1, 0.5, 1.5, 2.5), (0, 1, 0.5, 1.5, 2.5), (1, 2, None, None, None),
+    ]
+
+
+def test_one_file_name_in_two_folders_is_two_entities(spark, tmp_path):
+    for folder in ("a", "b+"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "coordinates_highestspeed_20240827_1_1.csv").write_text("GlobalFrame,Speed,X,Y\n1,1,1,1\n2,1,1,1\n")
+    rows = track_files.scan_tracks(spark, str(tmp_path)).groupBy("entity", "label").count().collect()
+    name = "coordinates_highestspeed_20240827_1_1"
+    assert {tuple(r) for r in rows} == {(f"a/{name}", 0, 2), (f"b+/{name}", 1, 2)}
+
+
+def test_bounds_take_columns_by_name(spark, tmp_path):
+    (tmp_path / "a-preprocessed.csv").write_text(
+        "frame,speed,x,y,segment,segment_index,turning_angle\n1,0.5,0.1,0.2,7,7.0,0.25\n2,0.6,0.3,0.4,7,7.0,-0.5\n"
+    )
+    (tmp_path / "coordinates_highestspeed_20240827_1_1.csv").write_text("Area,GlobalFrame,Speed,X,Y\n300,1,3,4,5\n")
+    row = coordinate_bounds(track_files.scan_bounds_files(spark, str(tmp_path)), "path").first()
+    assert (row["turning_angle_min"], row["turning_angle_max"], row["speed_max"], row["x_max"]) == (-0.5, 0.25, 0.6, 4.0)
+
+
 def test_files_to_clean_segments(spark, folder):
     frames = track_files.frames_of(track_files.scan_tracks(spark, str(folder / "data")))
     assert frames.agg(F.min("frame")).first()[0] == 1
