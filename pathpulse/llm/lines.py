@@ -8,8 +8,8 @@ parity bitmaps of their tokens, all of which only exclude pairs that cannot matc
 the full sets.
 
 Families of many similar lines would make a pair for each two members. Before the join each line is therefore
-held against one pivot for each of two min-hash values, the most copied line of that value; lines found to match
-there are decided, and the join takes only pairs with an undecided line.
+held against two pivots for each of two min-hash values, the earliest and the most copied line of that value;
+lines found to match an earlier one there are decided, and the join takes only pairs with an undecided line.
 """
 
 from __future__ import annotations
@@ -48,6 +48,13 @@ def _hashes(line: Column) -> Column:
     return F.array_distinct(F.transform(_words(line), lambda x: F.xxhash64(x).bitwiseAND(F.lit(_MASK))))
 
 
+def _bitmap(tokens: Column | str) -> Column:
+    """Parity of the tokens that fall on each of 64 bits; differs in no more bits than the sets in tokens."""
+    one = F.lit(1).cast("long")
+    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseXOR(bit(x)))
+
+
 def _magnitudes(docs: DataFrame, p: LineDedup) -> bytearray:
     """One byte for every bucket of token hashes: the number of bits of its count over all texts."""
     tokens = docs.select(F.explode(F.split("text", SPACES)).alias("token"))
@@ -68,7 +75,9 @@ def _lines(docs: DataFrame, p: LineDedup) -> DataFrame:
         return F.shiftleft(size.cast("long"), 56).bitwiseOR(h)
 
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hashed = lines.select("doc_id", "line_no", _hashes(F.col("line")).alias("hashes")).where(F.size("hashes") >= p.least_tokens)
+    # a generator computes the hashes once; a filter after a projection would compute them again
+    enough = F.filter(F.array(_hashes(F.col("line"))), lambda h: F.size(h) >= p.least_tokens)
+    hashed = lines.select("doc_id", "line_no", F.explode(enough).alias("hashes"))
     ordered = hashed.select(
         "doc_id", "line_no", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", ranked)).alias("tokens"),
         F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high"),
@@ -77,7 +86,7 @@ def _lines(docs: DataFrame, p: LineDedup) -> DataFrame:
     return ordered.select(
         "doc_id", "line_no", "n", "low", "high",
         F.xxhash64("tokens").alias("set_a"), F.xxhash64(F.lit(7), "tokens").alias("set_b"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
+        _bitmap("tokens").alias("bits"),
         F.slice("tokens", 1, first.cast("int")).alias("prefix"),
     )
 
@@ -103,47 +112,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: LineDedup)
     """set_a of the later line of every pair (a, b) whose full sets match."""
     pairs = keep(pairs)
     ids = pairs.select(F.col("a").alias("set_a")).unionByName(pairs.select(F.col("b").alias("set_a"))).distinct()
-    places = sets.join(ids, "set_a").select("set_a", "doc_id", "line_no")
-    wanted = _few(places.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "set_a")).alias("wanted")), p.most_broadcast)
-    found = docs.join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    full = found.select(
-        F.col("w.set_a").alias("id"), "doc_id", F.col("w.line_no").alias("line_no"), _hashes(F.get("lines", F.col("w.line_no"))).alias("tokens")
-    ).dropDuplicates(["id"])
+    same = ["n", "low", "high", "bits"]
+    line = F.struct("line_no", "set_a", *same)
+    places = sets.join(ids, "set_a").groupBy("doc_id").agg(F.collect_list(line).alias("wanted"))
+    found = docs.join(_few(places, p.most_broadcast), "doc_id")
+    found = found.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    # where rows repeat a doc_id, only the row that the line came from has its tokens
+    own = F.filter(
+        F.array(_hashes(F.get("lines", F.col("w.line_no")))),
+        lambda t: F.struct(F.size(t), F.array_min(t), F.array_max(t), _bitmap(t)) == F.struct(*[f"w.{c}" for c in same]),
+    )
+    full = found.select("w.set_a", F.struct("doc_id", "w.line_no").alias("at"), F.explode(own).alias("tokens"))
     full = keep(full)
-    left = full.select(F.col("id").alias("a"), F.struct("doc_id", "line_no").alias("at_a"), F.col("tokens").alias("x"))
-    right = full.select(F.col("id").alias("b"), F.struct("doc_id", "line_no").alias("at_b"), F.col("tokens").alias("y"))
-    common, union = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    match = 100 * common >= p.percent * (union - common)
-    later = F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b"))
-    return pairs.join(left, "a").join(right, "b").where(match).select(later.alias("set_a")).distinct()
+    left, right = (full.select(*[F.col(c).alias(c + side) for c in full.columns]) for side in "ab")
+    met = pairs.join(left, F.col("a") == F.col("set_aa")).join(right, F.col("b") == F.col("set_ab"))
+    common = F.size(F.array_intersect("tokensa", "tokensb"))
+    match = (100 + p.percent) * common >= p.percent * (F.size("tokensa") + F.size("tokensb"))
+    later = F.when(F.col("ata") > F.col("atb"), F.col("a")).otherwise(F.col("b"))
+    return met.where(match).select(later.alias("set_a")).distinct()
 
 
 def _pivot_pairs(sets: DataFrame, p: LineDedup) -> DataFrame:
-    """Every line with the most copied line that has its lowest, and its highest, token hash."""
-    score = F.shiftleft(F.least("copies", F.lit((1 << 20) - 1)), 42).bitwiseOR(F.col("set_a").bitwiseAND(F.lit((1 << 42) - 1)))
+    """Every line with the earliest, and the most copied, line that has its lowest, and its highest, token hash.
+
+    Places and counts are packed into a number that may wrap or tie: any pivot is a right one.
+    """
+    place = F.shiftleft("doc_id", 16).bitwiseOR(F.least("line_no", F.lit(65_535)).cast("long"))
     key = F.explode(F.array("low", F.bitwise_not("high")))
-    rows = sets.select("set_a", "n", "bits", score.alias("score"), key.alias("key"))
-    best = rows.groupBy("key").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key", "best")
-    pivots = sets.select(score.alias("best"), F.col("set_a").alias("b"), F.col("n").alias("m"), F.col("bits").alias("c"))
-    met = rows.join(best, "key").where("score <> best").select("set_a", "n", "bits", "best").distinct()
+    rows = sets.select("set_a", "n", "bits", "copies", place.alias("place"), key.alias("key"))
+    best = rows.groupBy("key").agg(
+        F.min("place").alias("first"), F.max_by("place", "copies").alias("most"), F.count(F.lit(1)).alias("lines")
+    )
+    best = best.where("lines > 1").select("key", F.explode(F.array_distinct(F.array("first", "most"))).alias("pivot"))
+    met = rows.join(best, "key").where("place <> pivot").select("set_a", "n", "bits", "pivot").distinct()
+    pivots = sets.select(place.alias("pivot"), F.col("set_a").alias("b"), F.col("n").alias("m"), F.col("bits").alias("c"))
     possible = _possible(p).replace("r.n", "m").replace("r.bits", "c").replace("l.", "")
-    return met.join(pivots, "best").where(possible).where("set_a <> b").select(F.col("set_a").alias("a"), "b").distinct()
+    pairs = met.join(pivots, "pivot").where(possible).where("set_a <> b")
+    return pairs.select(F.least("set_a", "b").alias("a"), F.greatest("set_a", "b").alias("b")).distinct()
 
 
 def _joined_pairs(sets: DataFrame, p: LineDedup) -> DataFrame:
     """Pairs with an undecided line that share a prefix token and pass all filters."""
     rows = sets.select("set_a", "bits", "n", "undecided", F.posexplode("prefix").alias("at", "token"))
-    rows = rows.select("token", "set_a", "bits", F.expr("n * 2L + undecided").alias("size"), "at")
-    spark = sets.sparkSession
-    n, m = "(l.size div 2)", "(r.size div 2)"
+    rows = rows.select("token", "set_a", "bits", F.expr("shiftleft(n * 2L + undecided, 32) | at").alias("packed"))
+    n, m, i, j = "(l.packed >> 33)", "(r.packed >> 33)", "(l.packed & 4294967295L)", "(r.packed & 4294967295L)"
     possible = _possible(p).replace("l.n", n).replace("r.n", m)
-    first = f"(CASE WHEN {n} <= {m} THEN l.at ELSE r.at END)"
     short = f"least({n}, {m})"
-    return spark.sql(
+    return sets.sparkSession.sql(
         f"""SELECT DISTINCT l.set_a AS a, r.set_a AS b FROM {{rows}} l JOIN {{rows}} r ON l.token = r.token
-        WHERE l.set_a < r.set_a AND (l.size % 2 + r.size % 2) > 0 AND {possible}
-          AND {first} <= {short} - ({_needed(p, short, short)})
-          AND 1 + least({n} - l.at, {m} - r.at) - 1 >= {_needed(p, n, m)}""",
+        WHERE l.set_a < r.set_a AND ((l.packed | r.packed) & 4294967296L) > 0 AND {possible}
+          AND (CASE WHEN {n} <= {m} THEN {i} ELSE {j} END) <= {short} - ({_needed(p, short, short)})
+          AND least({n} - {i}, {m} - {j}) >= {_needed(p, n, m)}""",
         rows=rows,
     )
 
