@@ -10,7 +10,9 @@ from pathpulse.operators import features_native as native
 from pathpulse.operators import features_signal as signal
 from pathpulse.operators.resample import resampled_sequences
 from pathpulse.operators.segments import KEYS
-from pathpulse.plans.extract import extract_features
+from pathpulse.params import TrackParams
+from pathpulse.plans.extract import FEATURES, extract_features
+from pathpulse.plans.full_extract import extract_full_features
 from pathpulse.session import cut_lineage
 
 QUERIES, ORACLES = {}, {}
@@ -18,6 +20,8 @@ QUERIES, ORACLES = {}, {}
 # The angles are scaled to [-1, 1]; thresholds that the defaults never reach are set to be reached here.
 PEAK_HEIGHT = 0.5
 TURN_THRESHOLD = 0.25
+# No event track is longer, so a whole track is one segment.
+ONE = TrackParams(segment_len=128, interp_limit=1, long_gap=2)
 
 
 def query(sql: str | None = None):
@@ -336,10 +340,36 @@ def feat_wavelet(spark, sf):
     return rounded(signal.signal_features(arrays, "wavelet"))
 
 
-@query()
+FAMILIES = """feat_basic feat_turning feat_meandering feat_entropy feat_frenetic feat_physics feat_statistical
+feat_temporal feat_behavior feat_higuchi feat_spectrum feat_roaming feat_wavelet""".split()
+
+
+def whole_sql(p: TrackParams, keys: str, label: str) -> str:
+    """All families' SQL on the segments of ``p``, joined into one row per segment."""
+    parts = []
+    for name in FAMILIES:
+        sql = ORACLES[name]
+        for given in (SHORT, LONG):
+            for trim in (True, False):
+                sql = sql.replace(clean_sql(given, trim), clean_sql(p))
+        sql = sql.replace(f"v >= {PEAK_HEIGHT}", "v >= 90").replace(f"> {TURN_THRESHOLD} THEN", "> 30 THEN")
+        parts.append(f"LEFT JOIN ({sql}) {name} USING (entity, seg)")
+    features = ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0.0) AS {f}" for f in FEATURES)
+    return f"""SELECT {keys}, {label}, {features} FROM (
+  WITH {clean_sql(p)} SELECT entity, seg, min(label) AS label FROM clean GROUP BY entity, seg) k
+  {" ".join(parts)}"""
+
+
+@query(whole_sql(LONG, "entity, seg", "label"))
 def feat_all(spark, sf):
-    """The full 57-column table; each family has its own checked query above."""
-    return extract_features(cut_lineage(cleaned(spark, sf, LONG)))
+    """The full 57-column table."""
+    return rounded(extract_features(cut_lineage(cleaned(spark, sf, LONG))))
+
+
+@query(whole_sql(ONE, "entity", "label"))
+def feat_full(spark, sf):
+    """The 57 features of whole tracks, on tracks that one segment holds."""
+    return rounded(extract_full_features(cut_lineage(cleaned(spark, sf, ONE))))
 
 
 @query(f"""WITH {clean_sql(SHORT)}, arr AS (

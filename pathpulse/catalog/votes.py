@@ -109,7 +109,7 @@ def group_vote(spark, sf):
 
 
 @query(f"""{GROUP_SQL} SELECT count(*) AS groups,
-  {r("avg(CASE WHEN predicted_class = label THEN 1.0 ELSE 0.0 END)")} AS accuracy,
+  {r("coalesce(avg(CASE WHEN predicted_class = label THEN 1.0 ELSE 0.0 END), 0)")} AS accuracy,
   {r("coalesce(avg(CASE WHEN label = 0 THEN CASE WHEN predicted_class = 0 THEN 1.0 ELSE 0.0 END END), 0)")}
     AS control_accuracy,
   {r("coalesce(avg(CASE WHEN label = 1 THEN CASE WHEN predicted_class = 1 THEN 1.0 ELSE 0.0 END END), 0)")}

@@ -109,8 +109,23 @@ def speed_changes(frames: DataFrame) -> DataFrame:
     )
 
 
+def distance_travelled(frames: DataFrame) -> DataFrame:
+    """Sum of steps; each coordinate steps from its own last known value, and a step has both."""
+    pair = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in ("x", "y")])
+    known = frames.select("entity", "frame", F.inline(pair)).where(F.col("v").isNotNull())
+    stepped = (
+        in_chunks(positions(known, CHANNEL), 1)
+        .withColumn("step", F.col("v") - F.lag("v").over(along(CHANNEL)))
+        .where(~F.col("repeated"))
+    )
+    dx, dy = (F.max(F.when(F.col("name") == c, F.col("step"))).alias(f"d{c}") for c in ("x", "y"))
+    length = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    both = stepped.groupBy("entity", "frame").agg(dx, dy)
+    return both.groupBy("entity").agg(F.sum(length).alias("total_distance"))
+
+
 def path_features(frames: DataFrame, window_size: int = 30) -> DataFrame:
-    """Distance travelled and meandering in whole windows of known positions."""
+    """Meandering in whole windows of known positions."""
     known = frames.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
         "entity", "frame", "x", "y"
     )
@@ -128,7 +143,6 @@ def path_features(frames: DataFrame, window_size: int = 30) -> DataFrame:
         .groupBy("entity", "win")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum("dist").alias("walked"),
             F.sum(F.when(F.col("pos") % window_size > 0, F.col("dist"))).alias("path"),
             F.sqrt(wide * wide + high * high).alias("net"),
         )
@@ -141,7 +155,6 @@ def path_features(frames: DataFrame, window_size: int = 30) -> DataFrame:
     )
     medians = exact_quantiles(windows.select("entity", "ratio"), ENTITY, "ratio", [0.5])
     summed = windows.groupBy("entity").agg(
-        F.sum("walked").alias("total_distance"),
         F.avg("ratio").alias("mean_meandering_ratio"),
         F.stddev_pop("ratio").alias("std_meandering_ratio"),
         F.min("ratio").alias("min_meandering_ratio"),

@@ -21,6 +21,7 @@ def extract_full_features(frames: DataFrame) -> DataFrame:
         long_tracks.moments(frames),
         long_tracks.speed_quartile_range(frames),
         long_tracks.speed_changes(frames),
+        long_tracks.distance_travelled(frames),
         long_tracks.path_features(frames),
         long_tracks.turning_frequency(frames),
         long_tracks.entropy_features(frames),

@@ -29,5 +29,5 @@ def compare_conditions(
         "correlations": hypothesis.correlations(df, names, "label"),
         "anova": hypothesis.anova(hypothesis.group_moments(df, names, "label")),
         "boxes": describe.box_statistics(df, names, "label"),
-        "matrix": describe.correlation_matrix(df, [*names[:30], "label"]),
+        "matrix": describe.correlation_matrix(df, [*names, "label"]),
     }

@@ -42,15 +42,15 @@ def model_rows(segments: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def sweep_subsets(
-    segments: DataFrame, scores: DataFrame, k: int = 5, max_features: int = 50, **overrides
+    segments: DataFrame, scores: DataFrame, k: int = 5, max_features: int | None = None, **overrides
 ) -> DataFrame:
-    """Held-out AUC with the best 1, 3, 5, … features by combined score."""
+    """Held-out AUC with the best 1, 3, 5, … features by combined score, up to all of them."""
     from pathpulse.operators.folds import with_folds
 
     # a row per feature
     ranked = [r["feature"] for r in scores.orderBy(F.desc("combined_score"), "feature").collect()]
     rows = cut_lineage(with_folds(model_rows(segments, ranked), k))
-    counts = range(1, min(max_features, len(ranked)) + 1, 2)
+    counts = range(1, min(max_features or len(ranked), len(ranked)) + 1, 2)
     return importance.subset_performance(
         rows, range(len(ranked)), range(k), counts, **{"numTrees": 50, **overrides}
     )

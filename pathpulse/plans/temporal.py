@@ -41,7 +41,7 @@ def temporal_analysis(
         ),
         "end_of_life": trends.linear_trends(end, trends.end_of_life_centre, min_bins=2),
         "end_of_life_means": end.groupBy("feature").pivot("bin", [1, 2, 3, 4]).agg(F.first("mean")),
-        "replicates": trends.replicate_variation(life, ["entity", "seg"], features[:10]),
+        "replicates": trends.replicate_variation(life, ["entity", "seg"], features),
     }
 
 
