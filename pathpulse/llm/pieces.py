@@ -108,7 +108,7 @@ class Vocabulary:
     added: tuple[str, ...]
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The visible letter that byte-level vocabularies write for every byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -125,4 +125,4 @@ def vocabulary(content: str) -> Vocabulary:
         left, right = merge.split(" ") if isinstance(merge, str) else merge
         pairs[ids[left] << 20 | ids[right]] = rank << 20 | ids[left + right]
     added = tuple(t["content"] for t in file["added_tokens"])
-    return Vocabulary(tuple(ids[x] for x in _byte_letters()), pairs, added)
+    return Vocabulary(tuple(ids[x] for x in byte_letters()), pairs, added)
