@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pathpulse.catalog.common import LONG, SHORT, clean_sql, cleaned, r, rounded
@@ -34,6 +36,10 @@ def query(sql: str | None = None):
     return keep
 
 
+def _even_angles(frames):
+    return frames.withColumn("turning_angle", F.round("turning_angle", 9))
+
+
 def _segments(frames):
     return frames.select(*KEYS).distinct()
 
@@ -344,32 +350,42 @@ FAMILIES = """feat_basic feat_turning feat_meandering feat_entropy feat_frenetic
 feat_temporal feat_behavior feat_higuchi feat_spectrum feat_roaming feat_wavelet""".split()
 
 
+# What the families' queries set to be reached on short segments, and the defaults of the full table.
+TO_DEFAULTS = (
+    (f"v >= {PEAK_HEIGHT}", "v >= 90"), (f"> {TURN_THRESHOLD} THEN", "> 30 THEN"), ("pos // 10", "pos // 30"),
+    ("pos % 10 >", "pos % 30 >"), ("HAVING count(*) = 10 AND", "HAVING count(*) = 30 AND"), ("range(1, 16)", "range(1, 64)"),
+)
+
+
 def whole_sql(p: TrackParams, keys: str, label: str) -> str:
     """All families' SQL on the segments of ``p``, joined into one row per segment."""
+    # the last digits of an angle decide which bin of the entropy an extreme falls into
+    clean = re.sub(r"turning_angle / (\S+) AS turning_angle FROM turned", r"round(turning_angle / \1, 9) AS turning_angle FROM turned", clean_sql(p))
     parts = []
     for name in FAMILIES:
         sql = ORACLES[name]
         for given in (SHORT, LONG):
             for trim in (True, False):
-                sql = sql.replace(clean_sql(given, trim), clean_sql(p))
-        sql = sql.replace(f"v >= {PEAK_HEIGHT}", "v >= 90").replace(f"> {TURN_THRESHOLD} THEN", "> 30 THEN")
+                sql = sql.replace(clean_sql(given, trim), clean)
+        for reached, default in TO_DEFAULTS:
+            sql = sql.replace(reached, default)
         parts.append(f"LEFT JOIN ({sql}) {name} USING (entity, seg)")
     features = ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0.0) AS {f}" for f in FEATURES)
     return f"""SELECT {keys}, {label}, {features} FROM (
-  WITH {clean_sql(p)} SELECT entity, seg, min(label) AS label FROM clean GROUP BY entity, seg) k
+  WITH {clean} SELECT entity, seg, min(label) AS label FROM clean GROUP BY entity, seg) k
   {" ".join(parts)}"""
 
 
 @query(whole_sql(LONG, "entity, seg", "label"))
 def feat_all(spark, sf):
     """The full 57-column table."""
-    return rounded(extract_features(cut_lineage(cleaned(spark, sf, LONG))))
+    return rounded(extract_features(cut_lineage(_even_angles(cleaned(spark, sf, LONG)))))
 
 
 @query(whole_sql(ONE, "entity", "label"))
 def feat_full(spark, sf):
     """The 57 features of whole tracks, on tracks that one segment holds."""
-    return rounded(extract_full_features(cut_lineage(cleaned(spark, sf, ONE))))
+    return rounded(extract_full_features(cut_lineage(_even_angles(cleaned(spark, sf, ONE)))))
 
 
 @query(f"""WITH {clean_sql(SHORT)}, arr AS (
