@@ -28,7 +28,7 @@ from pathpulse.sources.tables import read_table
 QUERIES, ORACLES = {}, {}
 WIDTH = 64
 NAMES = [f"e{i:02d}" for i in range(WIDTH)]
-# Small forests keep the whole catalogue within minutes; the named models have the full sizes.
+# The two sweeps fit hundreds of forests; their queries run smaller ones (README), the plans the named sizes.
 QUICK = {"numTrees": 20, "maxDepth": 5}
 
 
@@ -191,30 +191,30 @@ def pca2(spark, sf):
 
 @query()
 def rf_importance(spark, sf):
-    return importance.forest_importance(labelled_vectors(spark, sf), NAMES, trees=20, maxDepth=5)
+    return importance.forest_importance(labelled_vectors(spark, sf), NAMES)
 
 
 @query()
 def permutation_importance(spark, sf):
     rows = cut_lineage(labelled_vectors(spark, sf))
-    model = classifiers.fit(rows, "Random Forest", **QUICK)
-    return importance.permutation_importance(model, rows, NAMES, repeats=3)
+    model = classifiers.fit(rows, "Random Forest")
+    return importance.permutation_importance(model, rows, NAMES, repeats=10)
 
 
-def _folded(spark, sf, k: int = 3):
+def _folded(spark, sf, k: int = 5):
     return cut_lineage(folds.with_folds(labelled_vectors(spark, sf), k))
 
 
 @query()
 def cv_scores(spark, sf):
-    held_out = classifiers.cross_validated(_folded(spark, sf), "RandomForest", range(3), **QUICK)
+    held_out = classifiers.cross_validated(_folded(spark, sf), "RandomForest", range(5))
     return classifiers.fold_metrics(cut_lineage(held_out))
 
 
 @query()
 def cv_logistic(spark, sf):
     held_out = classifiers.cross_validated(
-        _folded(spark, sf), "LogisticRegression", range(3), maxIter=50
+        _folded(spark, sf), "LogisticRegression", range(5)
     )
     return evaluation.fold_summary(classifiers.fold_metrics(cut_lineage(held_out)), "auc")
 
@@ -222,21 +222,21 @@ def cv_logistic(spark, sf):
 @query()
 def cv_boosted(spark, sf):
     held_out = classifiers.cross_validated(
-        _folded(spark, sf), "Gradient Boosting", range(3), maxIter=10
+        _folded(spark, sf), "Gradient Boosting", range(5)
     )
     return classifiers.overall_metrics(cut_lineage(held_out))
 
 
 @query()
 def model_vote(spark, sf):
-    """Held-out forest predictions combined per entity, then in groups of five."""
-    held_out = classifiers.cross_validated(_folded(spark, sf), "Limited Random Forest", range(3), **QUICK)
+    """Held-out forest predictions combined per entity."""
+    held_out = classifiers.cross_validated(_folded(spark, sf), "Limited Random Forest", range(5))
     return voting.entity_votes(cut_lineage(held_out), "last_2_segments_confidence")
 
 
 @query()
 def subset_sweep(spark, sf):
-    rows = _folded(spark, sf)
+    rows = _folded(spark, sf, 3)
     return importance.subset_performance(rows, range(WIDTH), range(3), [1, 9, 33], **QUICK)
 
 
