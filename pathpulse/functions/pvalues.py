@@ -46,11 +46,20 @@ def beta_tail(a: float, b: float, x: float, y: float) -> float:
     return front * total
 
 
+def _near_normal(t: float, df: float) -> float:
+    """The normal limit of the two-sided Student probability with its first two corrections."""
+    first = t * (t * t + 1) / 4
+    second = t * (3 * t**6 - 7 * t**4 - 5 * t * t - 3) / 96
+    return math.erfc(t / math.sqrt(2)) + 2 * math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * (first + second / df) / df
+
+
 def student_two_sided(t: float, df: float) -> float:
     if pd.isna(t) or pd.isna(df) or df <= 0:
         return math.nan
     if not math.isfinite(t):
         return 0.0
+    if df > 1e6 and t**4 < df / 1e3:
+        return _near_normal(abs(t), df)
     return beta_tail(df / 2, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 

@@ -29,12 +29,17 @@ def get_session(app: str = "pathpulse", master: str | None = None, **conf) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for ``checkpoint()``: the cluster's shared one, a scratch one only where none is named."""
+    """Folder for ``checkpoint()``: the shared one named in ``spark.checkpoint.dir``.
+
+    A session inside one process may go without and gets a scratch folder; executors elsewhere could not read one.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and context.master.split("[")[0] != "local":
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pathpulse-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -158,3 +158,11 @@ def test_rankings(spark):
     assert [got[f]["rank_p_value"] for f in "abc"] == [2, 3, 1]
     assert got["c"]["combined_score"] == pytest.approx(1.0)
     assert got["b"]["combined_score"] == 0
+
+
+@pytest.mark.parametrize("df, known", [(1e10, 0.0455002639234), (1e12, 0.0455002638964)])
+def test_student_tail_keeps_its_digits_on_many_rows(df, known):
+    assert abs(student_two_sided(2.0, df) - known) < 1e-12
+    # both ways agree where they meet
+    a, b = student_two_sided(1.5, 1e6), student_two_sided(1.5, 1e6 + 1)
+    assert abs(a - b) < 1e-10
