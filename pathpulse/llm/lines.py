@@ -9,7 +9,7 @@ the full sets.
 
 Families of many similar lines would make a pair for each two members. Before the join each line is therefore
 held against two pivots for each of two min-hash values, the earliest and the most copied line of that value;
-lines found to match an earlier one there are decided, and the join takes only pairs with an undecided line.
+lines found to match an earlier one there are decided, and the join takes only pairs whose later line is undecided.
 """
 
 from __future__ import annotations
@@ -109,12 +109,11 @@ def _few(df: DataFrame, limit: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: LineDedup) -> DataFrame:
-    """set_a of the later line of every pair (a, b) whose full sets match."""
+    """id of the later line of every pair of ids (a before b) whose full sets match."""
     pairs = keep(pairs)
-    ids = pairs.select(F.col("a").alias("set_a")).unionByName(pairs.select(F.col("b").alias("set_a"))).distinct()
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     same = ["n", "low", "high", "bits"]
-    line = F.struct("line_no", "set_a", *same)
-    places = sets.join(ids, "set_a").groupBy("doc_id").agg(F.collect_list(line).alias("wanted"))
+    places = sets.join(ids, "id").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id", *same)).alias("wanted"))
     found = docs.join(_few(places, p.most_broadcast), "doc_id")
     found = found.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     # where rows repeat a doc_id, only the row that the line came from has its tokens
@@ -122,64 +121,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: LineDedup)
         F.array(_hashes(F.get("lines", F.col("w.line_no")))),
         lambda t: F.struct(F.size(t), F.array_min(t), F.array_max(t), _bitmap(t)) == F.struct(*[f"w.{c}" for c in same]),
     )
-    full = found.select("w.set_a", F.struct("doc_id", "w.line_no").alias("at"), F.explode(own).alias("tokens"))
-    full = keep(full)
-    left, right = (full.select(*[F.col(c).alias(c + side) for c in full.columns]) for side in "ab")
-    met = pairs.join(left, F.col("a") == F.col("set_aa")).join(right, F.col("b") == F.col("set_ab"))
-    common = F.size(F.array_intersect("tokensa", "tokensb"))
-    match = (100 + p.percent) * common >= p.percent * (F.size("tokensa") + F.size("tokensb"))
-    later = F.when(F.col("ata") > F.col("atb"), F.col("a")).otherwise(F.col("b"))
-    return met.where(match).select(later.alias("set_a")).distinct()
+    full = keep(found.select("w.id", F.explode(own).alias("tokens")))
+    left, right = (full.select(F.col("id").alias(side), F.col("tokens").alias(f"tokens_{side}")) for side in "ab")
+    met = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    match = (100 + p.percent) * common >= p.percent * (F.size("tokens_a") + F.size("tokens_b"))
+    return met.where(match).select(F.col("b").alias("id")).distinct()
 
 
 def _pivot_pairs(sets: DataFrame, p: LineDedup) -> DataFrame:
-    """Every line with the earliest, and the most copied, line that has its lowest, and its highest, token hash.
-
-    Places and counts are packed into a number that may wrap or tie: any pivot is a right one.
-    """
-    place = F.shiftleft("doc_id", 16).bitwiseOR(F.least("line_no", F.lit(65_535)).cast("long"))
+    """Every line with the earliest, and the most copied, line that has its lowest, and its highest, token hash."""
     key = F.explode(F.array("low", F.bitwise_not("high")))
-    rows = sets.select("set_a", "n", "bits", "copies", place.alias("place"), key.alias("key"))
-    best = rows.groupBy("key").agg(
-        F.min("place").alias("first"), F.max_by("place", "copies").alias("most"), F.count(F.lit(1)).alias("lines")
-    )
+    rows = sets.select("id", "n", "bits", "copies", key.alias("key"))
+    best = rows.groupBy("key").agg(F.min("id").alias("first"), F.max_by("id", "copies").alias("most"), F.count(F.lit(1)).alias("lines"))
     best = best.where("lines > 1").select("key", F.explode(F.array_distinct(F.array("first", "most"))).alias("pivot"))
-    met = rows.join(best, "key").where("place <> pivot").select("set_a", "n", "bits", "pivot").distinct()
-    pivots = sets.select(place.alias("pivot"), F.col("set_a").alias("b"), F.col("n").alias("m"), F.col("bits").alias("c"))
+    met = rows.join(best, "key").where("id <> pivot").select("id", "n", "bits", "pivot").distinct()
+    pivots = sets.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("bits").alias("c"))
     possible = _possible(p).replace("r.n", "m").replace("r.bits", "c").replace("l.", "")
-    pairs = met.join(pivots, "pivot").where(possible).where("set_a <> b")
-    return pairs.select(F.least("set_a", "b").alias("a"), F.greatest("set_a", "b").alias("b")).distinct()
+    pairs = met.join(pivots, "pivot").where(possible)
+    return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
 def _joined_pairs(sets: DataFrame, p: LineDedup) -> DataFrame:
-    """Pairs with an undecided line that share a prefix token and pass all filters."""
-    rows = sets.select("set_a", "bits", "n", "undecided", F.posexplode("prefix").alias("at", "token"))
-    rows = rows.select("token", "set_a", "bits", F.expr("shiftleft(n * 2L + undecided, 32) | at").alias("packed"))
+    """Pairs whose later line is undecided, that share a prefix token and pass all filters."""
+    rows = sets.select("id", "bits", "n", "undecided", F.posexplode("prefix").alias("at", "token"))
+    token = F.col("token").bitwiseAND(F.lit((1 << 40) - 1))
+    rows = rows.select(token.alias("token"), "id", "bits", F.expr("shiftleft(n * 2L + undecided, 32) | at").alias("packed"))
     n, m, i, j = "(l.packed >> 33)", "(r.packed >> 33)", "(l.packed & 4294967295L)", "(r.packed & 4294967295L)"
     possible = _possible(p).replace("l.n", n).replace("r.n", m)
     short = f"least({n}, {m})"
+    # a condition on the later line alone would filter one side before its exchange, and both could not share it
+    undecided = "((r.packed | (l.packed & 0L)) & 4294967296L) > 0"
     return sets.sparkSession.sql(
-        f"""SELECT DISTINCT l.set_a AS a, r.set_a AS b FROM {{rows}} l JOIN {{rows}} r ON l.token = r.token
-        WHERE l.set_a < r.set_a AND ((l.packed | r.packed) & 4294967296L) > 0 AND {possible}
+        f"""SELECT DISTINCT l.id AS a, r.id AS b FROM {{rows}} l JOIN {{rows}} r ON l.token = r.token
+        WHERE l.id < r.id AND {undecided} AND {possible}
           AND (CASE WHEN {n} <= {m} THEN {i} ELSE {j} END) <= {short} - ({_needed(p, short, short)})
           AND least({n} - {i}, {m} - {j}) >= {_needed(p, n, m)}""",
         rows=rows,
     )
 
 
+def _numbered(sets: DataFrame, lines: DataFrame) -> DataFrame:
+    """``sets`` with an id that ascends with (doc_id, line_no): both packed if they fit, else the place in a sort."""
+    low, high, last = lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("line_no")).first()
+    if low is None:
+        return sets.withColumn("id", F.lit(0).cast("long"))
+    width = int(last).bit_length()
+    if isinstance(low, int) and (high - low).bit_length() + width <= 62:
+        return sets.withColumn("id", F.shiftleft(F.col("doc_id").cast("long") - F.lit(low), width) + F.col("line_no"))
+    return sets.orderBy("doc_id", "line_no").withColumn("id", F.monotonically_increasing_id())
+
+
 def matched_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """(doc_id, line_no) of every line of ``docs`` (doc_id, text) that matches an earlier line; numbers begin at 0."""
     lines = keep(_lines(docs, p))
+    place = F.struct("doc_id", "line_no")
     first = F.min(F.struct("doc_id", "line_no", "n", "bits", "low", "high", "prefix")).alias("first")
     grouped = lines.groupBy("set_a", "set_b").agg(first, F.count(F.lit(1)).alias("copies"))
-    sets = keep(grouped.select("set_a", "set_b", "copies", "first.*"))
-    repeated = sets.where("copies > 1").select("set_a", "set_b", F.struct("doc_id", "line_no").alias("first"))
-    place = F.struct("doc_id", "line_no")
+    sets = keep(_numbered(grouped.select("set_a", "set_b", "copies", "first.*"), lines))
+    repeated = sets.where("copies > 1").select("set_a", "set_b", place.alias("first"))
     copies = lines.select("set_a", "set_b", "doc_id", "line_no").join(repeated, ["set_a", "set_b"]).where(place != F.col("first"))
     decided = keep(_verified(_pivot_pairs(sets, p), sets, docs, p))
-    marked = sets.join(decided.withColumn("decided", F.lit(1)), "set_a", "left").withColumn("undecided", F.expr("CASE WHEN decided IS NULL THEN 1 ELSE 0 END"))
-    rest = _verified(_joined_pairs(marked, p), sets, docs, p)
-    near = sets.join(decided.unionByName(rest).distinct(), "set_a")
+    marked = sets.join(decided.withColumn("decided", F.lit(1)), "id", "left")
+    rest = _verified(_joined_pairs(marked.withColumn("undecided", F.expr("CASE WHEN decided IS NULL THEN 1 ELSE 0 END")), p), sets, docs, p)
+    near = sets.join(decided.unionByName(rest).distinct(), "id")
     return copies.select("doc_id", "line_no").unionByName(near.select("doc_id", "line_no")).distinct()
 
 

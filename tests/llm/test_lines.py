@@ -56,3 +56,11 @@ def test_texts_and_other_columns(spark):
     ]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert without_matched_lines(empty).collect() == []
+
+
+def test_ids_that_do_not_pack_and_ids_of_text(spark):
+    rows = [(k * (1 << 55) - (1 << 62), t) for k, t in corpus(3)]
+    for kind, name in (("long", int), ("string", lambda k: f"d{k + (1 << 62):020d}")):
+        given = [(name(k), t) for k, t in rows]
+        got = {tuple(r) for r in matched_lines(spark.createDataFrame(given, f"doc_id {kind}, text string")).collect()}
+        assert got == brute(given)
