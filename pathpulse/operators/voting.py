@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathpulse.operators.numbering import number_rows, seg_block
+from pathpulse.operators.numbering import MAX_GROUP_ROWS, largest_group, number_rows, seg_block
 
 STRATEGIES = (
     "uniform",
@@ -113,10 +113,21 @@ def compare_strategies(
     )
 
 
-def entity_block(df: DataFrame, size: int = 65_536, prefix: int = 33) -> Column:
-    """Order block for entities: id ranges, or the leading part of names (through the date)."""
+def entity_block(
+    df: DataFrame, keys: Sequence[str] = ("fold", "label"), size: int = 65_536, prefix: int = 33, most: int = MAX_GROUP_ROWS
+) -> Column:
+    """Order block for entities: id ranges, or the leading part of names.
+
+    The leading part begins with the date and grows until no block of a group holds more than ``most`` rows.
+    """
     if isinstance(df.schema["entity"].dataType, T.NumericType):
         return F.floor(F.col("entity") / F.lit(size))
+    longest = df.agg(F.max(F.length("entity"))).first()[0] or 0
+    while prefix < longest:
+        lead = F.substring("entity", 1, prefix)
+        if largest_group(df.withColumn("_lead", lead), [*keys, "_lead"]) <= most:
+            break
+        prefix += 4
     return F.substring("entity", 1, prefix)
 
 

@@ -192,3 +192,13 @@ def test_predictor_job(spark):
     assert classifiers.overall_metrics(held_out).first()["auc"] > 0.8
     risk = predictor.predict_risk(model, names, segments.drop("other"))
     assert risk.where("p1 between 0 and 1").count() == 180
+
+
+def test_entity_blocks_of_names_stay_bounded(spark):
+    from pathpulse.operators.voting import entity_block
+
+    rows = [(0, 1, f"coordinates_highestspeed_20240827_{k:05d}_1") for k in range(500)]
+    df = spark.createDataFrame(rows, "fold int, label int, entity string")
+    blocks = df.groupBy(entity_block(df, most=50).alias("b")).count()
+    assert blocks.agg({"count": "max"}).first()[0] <= 50
+    assert df.groupBy(entity_block(df).alias("b")).count().count() == 1
