@@ -121,9 +121,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: LineDedup)
         F.array(_hashes(F.get("lines", F.col("w.line_no")))),
         lambda t: F.struct(F.size(t), F.array_min(t), F.array_max(t), _bitmap(t)) == F.struct(*[f"w.{c}" for c in same]),
     )
-    full = keep(found.select("w.id", F.explode(own).alias("tokens")))
-    left, right = (full.select(F.col("id").alias(side), F.col("tokens").alias(f"tokens_{side}")) for side in "ab")
-    met = pairs.join(left, "a").join(right, "b")
+    full = found.select("w.id", F.explode(own).alias("tokens"))
+    full = keep(full.withColumn("brief", F.array_distinct(F.transform("tokens", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short")))))
+    # tokens cut to 15 bits give an upper bound of the common ones; few pairs that pass it don't match
+    lost = F.least(F.col("n_a") - F.size("brief_a"), F.col("n_b") - F.size("brief_b"))
+    bound = F.size(F.array_intersect("brief_a", "brief_b")) + lost
+    met = _both(pairs, full.select("id", F.size("tokens").alias("n"), "brief"))
+    met = met.select("a", "b", bound.alias("bound"), (F.col("n_a") + F.col("n_b")).alias("sum"))
+    close = keep(met.where((100 + p.percent) * F.col("bound") >= p.percent * F.col("sum")).select("a", "b", "bound"))
+    # one match decides a line: its closest pair first, the others only if that one fails
+    closest = close.groupBy("b").agg(F.max_by("a", "bound").alias("a"))
+    first = keep(_exact(closest, full, p))
+    others = close.select("a", "b").join(first.withColumnRenamed("id", "b"), "b", "left_anti")
+    return first.unionByName(_exact(others, full, p)).distinct()
+
+
+def _both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the other columns of ``rows`` (id, ...) for either side."""
+    left, right = (rows.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "id"]) for x in "ab")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _exact(pairs: DataFrame, full: DataFrame, p: LineDedup) -> DataFrame:
+    """id of the later line of the pairs whose full sets match."""
+    met = _both(pairs, full.select("id", "tokens"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     match = (100 + p.percent) * common >= p.percent * (F.size("tokens_a") + F.size("tokens_b"))
     return met.where(match).select(F.col("b").alias("id")).distinct()
