@@ -8,7 +8,8 @@ parity bitmaps of their tokens, all of which only exclude pairs that cannot matc
 the full sets.
 
 Families of many similar lines would make a pair for each two members. Before the join each line is therefore
-held against two pivots for each of two min-hash values, the earliest and the most copied line of that value;
+held against a few pivots for each of two min-hash values: the most copied line of that value, and the earliest of
+each of ``pivots`` shares of its lines;
 lines found to match an earlier one there are decided, and the join takes only pairs whose later line is undecided.
 """
 
@@ -37,6 +38,7 @@ class LineDedup:
     least_tokens: int = 5
     buckets: int = 1 << 15
     most_broadcast: int = 500_000
+    pivots: int = 8
 
 
 def _words(line: Column) -> Column:
@@ -151,11 +153,15 @@ def _exact(pairs: DataFrame, full: DataFrame, p: LineDedup) -> DataFrame:
 
 
 def _pivot_pairs(sets: DataFrame, p: LineDedup) -> DataFrame:
-    """Every line with the earliest, and the most copied, line that has its lowest, and its highest, token hash."""
+    """Every line with the most copied line, and the earliest of each of some shares, of those that have its lowest
+    or its highest token hash."""
     key = F.explode(F.array("low", F.bitwise_not("high")))
     rows = sets.select("id", "n", "bits", "copies", key.alias("key"))
-    best = rows.groupBy("key").agg(F.min("id").alias("first"), F.max_by("id", "copies").alias("most"), F.count(F.lit(1)).alias("lines"))
-    best = best.where("lines > 1").select("key", F.explode(F.array_distinct(F.array("first", "most"))).alias("pivot"))
+    share = F.pmod(F.xxhash64("id"), F.lit(p.pivots)).alias("share")
+    best = rows.groupBy("key", share).agg(F.min("id").alias("first"), F.max_by("id", "copies").alias("most"), F.max("copies").alias("copies"))
+    best = best.groupBy("key").agg(F.collect_list("first").alias("firsts"), F.max_by("most", "copies").alias("most"), F.count(F.lit(1)).alias("shares"))
+    some = F.array_distinct(F.concat("firsts", F.array("most")))
+    best = best.where("shares > 1 OR firsts[0] <> most").select("key", F.explode(some).alias("pivot"))
     met = rows.join(best, "key").where("id <> pivot").select("id", "n", "bits", "pivot").distinct()
     pivots = sets.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("bits").alias("c"))
     possible = _possible(p).replace("r.n", "m").replace("r.bits", "c").replace("l.", "")
