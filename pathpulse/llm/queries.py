@@ -8,6 +8,7 @@ from pathpulse.llm.decontaminate import contaminated
 from pathpulse.llm.language import languages
 from pathpulse.llm.lines import without_matched_lines, without_matched_lines_sql
 from pathpulse.llm.minhash import MinHash, near_duplicates
+from pathpulse.llm.mixing import mixture_digest, mixture_sql
 from pathpulse.llm.packing import pack
 from pathpulse.llm.personal import personal_data
 from pathpulse.llm.pitman_yor import language_scores
@@ -61,6 +62,10 @@ def op10_skip_chain_personal_data(spark: SparkSession, folder: str) -> DataFrame
     return personal_data(_documents(spark, folder))
 
 
+def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture_digest(_documents(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,10 +79,12 @@ QUERIES = {
         op8_spaced_seed_decontamination,
         op9_pitman_yor_scores,
         op10_skip_chain_personal_data,
+        op12_source_mixing,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op3_adaptive_quality_rules": quality_rules_sql(),
     "op5_line_dedup": without_matched_lines_sql(),
+    "op12_source_mixing": mixture_sql(),
 }
