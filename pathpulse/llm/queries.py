@@ -15,6 +15,7 @@ from pathpulse.llm.pitman_yor import language_scores
 from pathpulse.llm.quality import quality_scores
 from pathpulse.llm.rules import quality_rules, quality_rules_sql
 from pathpulse.llm.tokens import token_counts
+from pathpulse.llm.whitening import whitened_components
 from pathpulse.sources.tables import read_table
 
 
@@ -62,6 +63,10 @@ def op10_skip_chain_personal_data(spark: SparkSession, folder: str) -> DataFrame
     return personal_data(_documents(spark, folder))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened_components(read_table(spark, folder, "embeddings"))
+
+
 def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixture_digest(_documents(spark, folder))
 
@@ -79,6 +84,7 @@ QUERIES = {
         op8_spaced_seed_decontamination,
         op9_pitman_yor_scores,
         op10_skip_chain_personal_data,
+        op11_embedding_whitening,
         op12_source_mixing,
     )
 }
