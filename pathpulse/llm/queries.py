@@ -9,6 +9,7 @@ from pathpulse.llm.language import languages
 from pathpulse.llm.lines import without_matched_lines, without_matched_lines_sql
 from pathpulse.llm.minhash import MinHash, near_duplicates
 from pathpulse.llm.mixing import mixture_digest, mixture_sql
+from pathpulse.llm.negatives import hard_negative_digest, hard_negative_sql
 from pathpulse.llm.packing import pack
 from pathpulse.llm.personal import personal_data
 from pathpulse.llm.pitman_yor import language_scores
@@ -71,6 +72,10 @@ def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixture_digest(_documents(spark, folder))
 
 
+def op13_cover_tree_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negative_digest(read_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +91,7 @@ QUERIES = {
         op10_skip_chain_personal_data,
         op11_embedding_whitening,
         op12_source_mixing,
+        op13_cover_tree_negatives,
     )
 }
 
@@ -93,4 +99,5 @@ ORACLES: dict[str, str] = {
     "op3_adaptive_quality_rules": quality_rules_sql(),
     "op5_line_dedup": without_matched_lines_sql(),
     "op12_source_mixing": mixture_sql(),
+    "op13_cover_tree_negatives": hard_negative_sql(),
 }

@@ -114,16 +114,22 @@ def components(covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- passes over the vectors ---
 
 
-def _whole(vector: Column, p: Whitening) -> Column:
-    """Whole-number entries as doubles (exact below 2^52); NULL unless all are there and finite."""
+def whole_entries(vector: Column, scale: int, offset: int = 0) -> Column:
+    """floor(scale * c) + offset of every entry, as doubles (exact below 2^52); NULL unless all are there and finite."""
     x = vector.cast("array<double>")
-    fits = lambda c: F.abs(c) <= LARGEST / p.scale  # noqa: E731  (not so for NaN, which is above all)
-    made = F.transform(x, lambda c: F.when(fits(c), F.floor(c * float(p.scale)).cast("double") + float(p.offset)))
+    fits = lambda c: F.abs(c) <= LARGEST / scale  # noqa: E731  (not so for NaN, which is above all)
+    made = F.transform(x, lambda c: F.when(fits(c), F.floor(c * float(scale)).cast("double") + float(offset)))
     bad = F.exists(x, lambda c: c.isNull() | ~fits(c))
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), made)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def commonest_length(rows: DataFrame) -> int:
+    """Length of most lists ``x`` (the longest in a tie); 1 for an empty table."""
+    first = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).first()
+    return first[0] if first else 1
+
+
+def as_matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list column of ``dim`` doubles each."""
     return np.asarray(column.flatten(), np.float64).reshape(len(column), dim)
 
@@ -142,7 +148,7 @@ def _covariance(rows: DataFrame, mean: np.ndarray, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for batch in batches:
-            x = _matrix(batch.column(0), dim) - mean
+            x = as_matrix(batch.column(0), dim) - mean
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([total[upper]], pa.list_(pa.float64()))], names=["values"])
 
@@ -187,10 +193,9 @@ def whitened(vectors: DataFrame, p: Whitening = Whitening(), vec_id: str = "vec_
     left out of identity_error; with equal eigenvalues any basis of theirs may come. Other columns are ignored; an
     empty table gives an empty result.
     """
-    made = vectors.select(vectors[vec_id].alias("vec_id"), _whole(vectors[vector], p).alias("x")).where("x is not null and size(x) > 0")
+    made = vectors.select(vectors[vec_id].alias("vec_id"), whole_entries(vectors[vector], p.scale, p.offset).alias("x")).where("x is not null and size(x) > 0")
     rows = keep(made)
-    lengths = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).first()
-    dim = lengths[0] if lengths else 1
+    dim = commonest_length(rows)
     rows = rows.where(F.size("x") == dim)
     n, sums = _exact_sums(rows)
     if n:
@@ -209,7 +214,7 @@ def whitened(vectors: DataFrame, p: Whitening = Whitening(), vec_id: str = "vec_
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1), dim)
+            x = as_matrix(batch.column(1), dim)
             z = ((x - whole) - rest) @ plane
             yield pa.RecordBatch.from_arrays(
                 [
