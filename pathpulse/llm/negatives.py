@@ -212,11 +212,13 @@ def _placed(rows: DataFrame, dim: int, p: Mining) -> tuple[DataFrame, Pivots]:
     """``rows`` (vec_id, label, x) with their pivot and part, and the pivots."""
     n, square = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c))).first()
     norm = max(1.0, float(np.sqrt(square or 0.0)))
-    few = rows.orderBy(F.xxhash64("vec_id", "x"), "vec_id").limit(p.sample_rows).select("x").collect() if n else []
+    # of four times as many rows by the hash's low bits, so that what the tasks send doesn't grow with their number
+    some = F.xxhash64("vec_id", "x").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit((1 << 40) * 4 * p.sample_rows // max(n, 1))
+    few = rows.where(some).orderBy(F.xxhash64("vec_id", "x"), "vec_id").limit(p.sample_rows).select("x").collect() if n else []
     sample = augmented(np.array([r.x for r in few], float).reshape(-1, dim), norm)
     count = min(p.most_pivots, max(1, -(-n // p.block_rows)))
-    chosen = farthest_first(sample, 0, 0.0, count)[0] if n else []
-    centres = sample[chosen]
+    chosen = farthest_first(sample, 0, 0.0, count)[0] if len(sample) else []
+    centres = sample[chosen] if chosen else augmented(np.zeros((1, dim)), norm)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
