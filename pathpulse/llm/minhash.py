@@ -205,6 +205,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         part = np.zeros((len(sets), width), np.float32)
         part[row[a:b], column[a:b] - first] = 1
         out += (part @ part.T).astype(np.int64)
+    # a value of one set only meets itself
+    np.fill_diagonal(out, [len(s) for s in sets])
     return out
 
 
