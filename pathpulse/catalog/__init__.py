@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["tracks", "features", "stats", "life", "votes", "models"]
+MODULES = ["tracks", "grains", "features", "stats", "life", "votes", "models"]
 
 
 def _merged(attribute: str) -> dict:

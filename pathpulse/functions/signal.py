@@ -1,10 +1,13 @@
 """Signal transforms of one segment that built-in functions cannot express, as Arrow functions.
 
-Each takes one array per segment (at most a segment's frames) and returns a struct or a number.
+Each takes one array per segment (at most a segment's frames) and returns a struct whose last field is an error
+message: a segment that cannot be computed gets a message and no values, and the others are not affected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,7 +15,9 @@ from pyspark.sql import types as T
 
 NUMBER = T.DoubleType()
 NUMBERS = T.ArrayType(NUMBER)
-SUMMARY = T.StructType([T.StructField("strongest", NUMBER), T.StructField("centroid", NUMBER)])
+ERROR = T.StructField("error", T.StringType())
+SUMMARY = T.StructType([T.StructField("strongest", NUMBER), T.StructField("centroid", NUMBER), ERROR])
+BANDS = T.StructType([T.StructField("values", NUMBERS), ERROR])
 
 # The eight low-pass taps of the Daubechies wavelet with four vanishing moments.
 DB4_LOW = np.array(
@@ -66,21 +71,32 @@ def _known(values) -> np.ndarray:
     if values is None:
         return np.empty(0)
     array = np.asarray(values, dtype=float)
+    if np.isinf(array).any():
+        raise ValueError("a value is not finite")
     return array[~np.isnan(array)]
 
 
-@F.pandas_udf(NUMBERS)
-def wavelet_bands(signal: pd.Series) -> pd.Series:
-    return signal.map(lambda v: wavelet_spread(_known(v)))
+def tried(signals: pd.Series, work: Callable[[np.ndarray], list], width: int) -> list[list]:
+    """``work`` on every signal: its ``width`` results and None, or no results and what went wrong."""
+    out = []
+    for values in signals:
+        try:
+            out.append([*work(_known(values)), None])
+        except Exception as wrong:  # noqa: BLE001 - a bad segment is reported in its own row
+            out.append([*[None] * width, f"{type(wrong).__name__}: {wrong}"])
+    return out
+
+
+@F.pandas_udf(BANDS)
+def wavelet_bands(signal: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(tried(signal, lambda x: [wavelet_spread(x)], 1), columns=["values", "error"])
 
 
-@F.pandas_udf(NUMBERS)
-def smoothed(signal: pd.Series) -> pd.Series:
-    return signal.map(lambda v: smooth(_known(v)) if len(_known(v)) else [])
+@F.pandas_udf(BANDS)
+def smoothed(signal: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(tried(signal, lambda x: [smooth(x) if len(x) else []], 1), columns=["values", "error"])
 
 
 @F.pandas_udf(SUMMARY)
 def spectrum_summary(signal: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(
-        [spectrum(_known(v)) for v in signal], columns=["strongest", "centroid"]
-    )
+    return pd.DataFrame(tried(signal, lambda x: list(spectrum(x)), 2), columns=["strongest", "centroid", "error"])

@@ -34,8 +34,11 @@ def segment_arrays(frames: DataFrame) -> DataFrame:
     )
 
 
-def signal_features(arrays: DataFrame, *families: str) -> DataFrame:
-    """Families among ``spectrum wavelet roaming``; all share one Arrow exchange."""
+def signal_features(arrays: DataFrame, *families: str, errors: bool = False) -> DataFrame:
+    """Families among ``spectrum wavelet roaming``; all share one Arrow exchange.
+
+    With ``errors`` a column ``error`` holds the first message of a segment that failed, else null.
+    """
     work = {}
     for channel in ("speed", "turning"):
         if "spectrum" in families:
@@ -43,8 +46,10 @@ def signal_features(arrays: DataFrame, *families: str) -> DataFrame:
         if "wavelet" in families:
             work[f"{channel}_w"] = wavelet_bands(channel)
         if "roaming" in families:
-            work[f"{channel}_g"] = smoothed(channel)
+            work[f"{channel}_r"] = smoothed(channel)
     out = arrays.withColumns(work)
+    if "roaming" in families:
+        out = out.withColumns({f"{c}_g": F.col(f"{c}_r.values") for c in ("speed", "turning")})
     names: list[str] = []
     extra: dict[str, Column] = {}
     if "spectrum" in families:
@@ -55,11 +60,14 @@ def signal_features(arrays: DataFrame, *families: str) -> DataFrame:
     if "wavelet" in families:
         for channel in ("speed", "turning"):
             for i in range(4):
-                extra[f"wavelet_{channel}_level{i}"] = F.get(f"{channel}_w", i)
+                extra[f"wavelet_{channel}_level{i}"] = F.get(f"{channel}_w.values", i)
         names += WAVELET
     if "roaming" in families:
         extra |= roaming_columns()
         names += ROAMING
+    if errors:
+        extra["error"] = F.coalesce(*[F.col(f"{name}.error") for name in work])
+        names = [*names, "error"]
     return out.withColumns(extra).select(*KEYS, *names)
 
 

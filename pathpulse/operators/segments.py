@@ -49,6 +49,15 @@ def segment_metadata(frames: DataFrame) -> DataFrame:
     )
 
 
+def track_metadata(frames: DataFrame) -> DataFrame:
+    """One row per whole track: death segment, label and frame count."""
+    return frames.groupBy("entity").agg(
+        F.min("death_segment").alias("death_segment"),
+        F.min("label").alias("label"),
+        F.count(F.lit(1)).alias("n_frames"),
+    )
+
+
 def coordinate_bounds(frames: DataFrame, entity: str = "entity") -> DataFrame:
     """Smallest and largest position, angle and speed over all files, and the files holding each.
 

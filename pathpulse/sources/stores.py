@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathpulse.operators.labels import labelled
-from pathpulse.operators.resample import sequences
+from pathpulse.operators.resample import sequences, track_chunks
 from pathpulse.operators.segments import KEYS
+from pathpulse.sources.manifest import absent, read_tolerant, write_manifest
 
 GRAINS = ("segments", "full")
 
@@ -15,7 +16,7 @@ GRAINS = ("segments", "full")
 def write_frames(frames: DataFrame, path: str) -> None:
     """Cleaned frames, a folder per label, whole segments together and in frame order.
 
-    One table serves both grains: a full track is its segments in order.
+    One table serves both grains: a full track is its segments in order. A manifest of its files lies beside it.
     """
     (
         frames.repartition(*KEYS)
@@ -24,10 +25,12 @@ def write_frames(frames: DataFrame, path: str) -> None:
         .partitionBy("label")
         .parquet(path)
     )
+    write_manifest(frames.sparkSession, path)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_frames(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+    """Stored frames; ``tolerant`` leaves out files that cannot be read (see ``manifest.stored_report``)."""
+    return read_tolerant(spark, path) if tolerant else spark.read.parquet(path)
 
 
 def write_table(table: DataFrame, path: str) -> None:
@@ -78,7 +81,23 @@ def load_sequences(frames: DataFrame, metadata: DataFrame) -> tuple[DataFrame, D
     """Sequences of the listed segments, and the listed segments that have no frames."""
     listed = metadata.select(*KEYS)
     found = sequences(frames.join(listed, KEYS, "left_semi"))
-    return found, listed.join(frames.select(*KEYS).distinct(), KEYS, "left_anti")
+    return found, absent(listed, frames, KEYS)
+
+
+def load_full_sequences(
+    frames: DataFrame, metadata: DataFrame, size: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Chunks of the listed entities' whole tracks, and the listed entities that have no frames."""
+    listed = metadata.select("entity").distinct()
+    wanted = frames.join(listed, "entity", "left_semi")
+    return track_chunks(wanted, size) if size else track_chunks(wanted), absent(listed, frames, ["entity"])
+
+
+def full_sequence_lengths(chunks: DataFrame) -> DataFrame:
+    tracks = chunks.where("chunk = 0")
+    return tracks.agg(
+        F.min("n_frames").alias("min_length"), F.max("n_frames").alias("max_length"), F.avg("n_frames").alias("mean_length")
+    )
 
 
 def sequence_lengths(found: DataFrame) -> DataFrame:
