@@ -230,10 +230,55 @@ def levene_f(spark, sf):
   SELECT feature, n1, n2, {r("u", 1)} AS u, {r("z")} AS z, {r("least(" + z_p_sql("z") + ", 1)")} AS p_value
   FROM z""")
 def mann_whitney_u(spark, sf):
-    out = hypothesis.mann_whitney(_two(spark, sf), FEATURES, "label", 0, 1)
+    out = hypothesis.mann_whitney(_two(spark, sf), FEATURES, "label", 0, 1).drop("method")
     return rounded(out.withColumn("u", F.round("u", 1)))
 
 
+NATIONS = 25
+# Counts of U = 0 … top for every pair of sample sizes, by the product of (1 - q^(m+i)) / (1 - q^i).
+BOX_SQL = """RECURSIVE box(k, m, top, i, c) AS (
+  SELECT *, 0, list_transform(range(0, top + 1), lambda j: CASE WHEN j = 0 THEN CAST(1 AS HUGEINT) ELSE 0 END) FROM (
+    SELECT DISTINCT CAST(least(n1, n2) AS BIGINT) AS k, CAST(greatest(n1, n2) AS BIGINT) AS m,
+      CAST(least(n1, n2) * greatest(n1, n2) // 2 AS BIGINT) AS top FROM u WHERE least(n1, n2) BETWEEN 1 AND 8 AND ties = 0)
+  UNION ALL SELECT k, m, top, i + 1, list_transform(range(0, top + 1), lambda j: list_sum(list_transform(
+    range(j, -1, -(i + 1)), lambda x: c[x + 1] - CASE WHEN x >= m + i + 1 THEN c[x - m - i] ELSE 0 END)))
+  FROM box WHERE i < k), counts AS (SELECT k, m, c FROM box WHERE i = k)"""
+
+
+@query(f"""WITH RECURSIVE a AS (
+  SELECT 's' || s_nationkey AS feature, s_acctbal AS value, s_suppkey % 2 AS label FROM supplier
+  UNION ALL SELECT 'c' || c_nationkey, c_acctbal, c_custkey % 2 FROM customer), rk AS (
+  SELECT feature, label, rank() OVER (PARTITION BY feature ORDER BY value)
+      + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rk FROM a), tie AS (
+  SELECT feature, sum(power(k, 3) - k) AS ties FROM (
+    SELECT feature, value, CAST(count(*) AS DOUBLE) AS k FROM a GROUP BY feature, value) GROUP BY feature), s AS (
+  SELECT feature, CAST(count(CASE WHEN label = 0 THEN 1 END) AS DOUBLE) AS n1,
+    CAST(count(CASE WHEN label = 1 THEN 1 END) AS DOUBLE) AS n2,
+    coalesce(sum(CASE WHEN label = 0 THEN CAST(rk AS DOUBLE) END), 0) AS r1 FROM rk GROUP BY feature), u AS (
+  SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM s JOIN tie USING (feature)), {BOX_SQL.replace('RECURSIVE ', '')}, z AS (
+  SELECT *, least(n1, n2) <= 8 AND ties = 0 AS few, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5)
+    / nullif(sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / nullif((n1 + n2) * (n1 + n2 - 1), 0))), 0) AS z FROM u
+  LEFT JOIN counts ON k = least(n1, n2) AND m = greatest(n1, n2))
+  SELECT feature, n1, n2, {r("u", 1)} AS u, CASE WHEN few THEN 'exact' ELSE 'normal' END AS method,
+    CASE WHEN least(n1, n2) = 0 THEN NULL WHEN few THEN {r("least(1, 2 * CAST(list_sum(c[1:CAST(least(u, n1 * n2 - u) AS BIGINT) + 1]) AS DOUBLE) / CAST(exp(lgamma(n1 + n2 + 1) - lgamma(n1 + 1) - lgamma(n2 + 1)) AS DOUBLE))")}
+      ELSE {r("least(" + z_p_sql("z") + ", 1)")} END AS p_value FROM z""")
+def mann_whitney_small(spark, sf):
+    """Balances of odd against even keys per nation: few suppliers, tested exactly, and many customers."""
+    parts = [
+        read_table(spark, sf, table).select(
+            (F.col(f"{p}_{key}") % 2).alias("label"),
+            *[
+                F.when((F.col(f"{p}_nationkey") == k) & F.lit(p == own), F.col(f"{p}_acctbal")).alias(f"{own}{k}")
+                for own in "sc" for k in range(NATIONS)
+            ],
+        )
+        for table, p, key in (("supplier", "s", "suppkey"), ("customer", "c", "custkey"))
+    ]
+    rows = parts[0].unionByName(parts[1])
+    out = hypothesis.mann_whitney(rows, [c for c in rows.columns if c != "label"], "label", 0, 1)
+    return rounded(out.withColumn("u", F.round("u", 1)).drop("z"))
+
+
 @query(f"""WITH {TWO_SQL}, c AS (SELECT feature, count(value) AS n, corr(value, label) AS r FROM lv
     GROUP BY feature), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c)
   SELECT feature, n, {r("r")} AS r, {r("abs(r)")} AS abs_r, {r("t")} AS t,

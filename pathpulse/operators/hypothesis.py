@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathpulse.functions.pvalues import f_p_value, t_p_value, z_p_value
+from pathpulse.functions.pvalues import f_p_value, rank_sum_p_value, t_p_value, z_p_value
 from pathpulse.operators.longview import per_feature, to_long
 from pathpulse.operators.ordered import average_rank, exact_quantiles, ordered_counts
 
@@ -109,10 +109,18 @@ def anova(moments: DataFrame) -> DataFrame:
     )
 
 
+#: Up to so many values on one side, and without ties, the U test is exact.
+EXACT_SIZE = 8
+
+
 def mann_whitney(
     df: DataFrame, features: Sequence[str], group: str, first, second
 ) -> DataFrame:
-    """Two-sided U test: average ranks, tie-corrected normal approximation, continuity 0.5."""
+    """Two-sided U test.
+
+    ``method`` is ``exact`` where no value repeats and a group has at most ``EXACT_SIZE``; else ``normal``: average
+    ranks, tie-corrected approximation, continuity 0.5. A feature without values in one group has no p-value.
+    """
     long = to_long(df.where(F.col(group).isin(first, second)), [group], features)
     counts = ordered_counts(
         long,
@@ -131,11 +139,16 @@ def mann_whitney(
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
     larger = F.greatest(F.col("u"), n1 * n2 - F.col("u"))
+    few = (F.least(n1, n2) <= EXACT_SIZE) & (F.col("ties") == 0)
     return (
         ranks.withColumn("u", u)
         .withColumn("z", F.try_divide(larger - n1 * n2 / 2 - 0.5, spread))
-        .withColumn("p_value", F.least(z_p_value("z"), F.lit(1.0)))
-        .select("feature", "n1", "n2", "u", "z", "p_value")
+        .withColumn("method", F.when(few, "exact").otherwise("normal"))
+        # a row per feature; the functions skip rows that are null for them
+        .withColumn("_exact", rank_sum_p_value(F.when(few, n1), n2, "u"))
+        .withColumn("_normal", F.least(z_p_value("z"), F.lit(1.0)))
+        .withColumn("p_value", F.when(F.least(n1, n2) > 0, F.when(few, F.col("_exact")).otherwise(F.col("_normal"))))
+        .select("feature", "n1", "n2", "u", "z", "p_value", "method")
     )
 
 
