@@ -137,23 +137,57 @@ def life_decile_risk(spark, sf):
     return rounded(thresholds.risk_by_ten_percent(predictions(spark, sf)))
 
 
-@query("""WITH m AS (SELECT vec_id AS id, embedding FROM embeddings WHERE label < 2), d AS (
-  SELECT a.id, b.id AS other, list_sum(list_transform(range(1, 65),
+def _nearest_sql(which: str) -> str:
+    """CTE ``k``: the five nearest others of every embedding that meets the condition."""
+    return f"""m AS (SELECT vec_id AS id, embedding FROM embeddings WHERE {which}), d AS (
+  SELECT a.id, b.id AS other, list_sum(list_transform(range(1, {WIDTH + 1}),
       lambda i: power(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))) AS d
   FROM m a JOIN m b ON a.id <> b.id), k AS (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rn FROM d)
-  SELECT id, CAST(rn AS INTEGER) AS place, round(sqrt(d), 6) AS dist FROM k WHERE rn <= 5""")
-def nearest_minority(spark, sf):
-    """Distances to the five nearest vectors among two classes, the search behind oversampling."""
-    points = read_table(spark, sf, "embeddings").where("label < 2").select(
-        F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("vec")
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rn FROM d QUALIFY rn <= 5)"""
+
+
+def _vectors(spark, sf):
+    return read_table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("vec")
     )
-    near = neighbors.nearest_neighbors(points, 5)
+
+
+@query(f"""WITH {_nearest_sql("true")} SELECT id, CAST(rn AS INTEGER) AS place, round(sqrt(d), 6) AS dist FROM k""")
+def nearest_minority(spark, sf):
+    """Distances to the five nearest vectors, the search behind oversampling."""
+    near = neighbors.nearest_neighbors(_vectors(spark, sf).drop("label"), 5)
     return near.select("id", F.posexplode("nn").alias("at", "x")).select(
         "id", (F.col("at") + 1).alias("place"), F.round("x.dist", 6).alias("dist")
     )
 
 
+def _digest_sql(*parts: str) -> str:
+    text = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)"
+
+
+@query(f"""WITH {_nearest_sql("label < 2")}, n AS (
+  SELECT count(*) FILTER (label < 2) AS few, count(*) FILTER (label >= 2) - count(*) FILTER (label < 2) AS need FROM embeddings), p AS (
+  SELECT id, embedding, row_number() OVER (ORDER BY {_digest_sql("id", "42")}, id) AS pos FROM m), w AS (
+  SELECT p.id, p.embedding, unnest(range(1, need // few + CASE WHEN pos <= need % few THEN 1 ELSE 0 END + 1)) AS draw FROM p, n), x AS (
+  SELECT w.*, {_digest_sql("w.id", "draw", "44")} / power(2.0, 52) AS u, k.other AS partner
+  FROM w JOIN k ON k.id = w.id AND k.rn = 1 + CAST(floor({_digest_sql("w.id", "draw", "43")} / power(2.0, 52) * 5) AS BIGINT)), v AS (
+  SELECT x.id AS origin, CAST(draw AS INTEGER) AS draw, partner, u, list_transform(range(1, {WIDTH + 1}),
+    lambda i: CAST(x.embedding[i] AS DOUBLE) + (CAST(m.embedding[i] AS DOUBLE) - CAST(x.embedding[i] AS DOUBLE)) * u) AS vec
+  FROM x JOIN m ON m.id = x.partner)
+  SELECT origin, draw, partner, {r("u")} AS position, {r("vec[1]")} AS first, {r(f"vec[{WIDTH}]")} AS last,
+    {r("list_sum(vec)")} AS total FROM v""")
+def smote_rows(spark, sf):
+    """Every made row of the rarer class: the row and neighbour it lies between, where, and its values."""
+    rows = _vectors(spark, sf).withColumn("label", (F.col("label") < 2).cast("int"))
+    label, need = balance.minority(rows)
+    made = balance.synthetic_rows(rows.where(F.col("label") == label).select("id", "vec"), need)
+    return rounded(made.select(
+        "origin", F.col("draw").cast("int").alias("draw"), "partner", "position", F.get("vec", 0).alias("first"),
+        F.element_at("vec", -1).alias("last"), F.aggregate("vec", F.lit(0.0), lambda a, v: a + v).alias("total"),
+    ))
+
+
 @query("""WITH c AS (SELECT count(*) AS n, count(CASE WHEN label < 2 THEN 1 END) AS few FROM embeddings)
   SELECT 1 AS label, few AS given, greatest(n - 2 * few, 0) AS made FROM c
   UNION ALL SELECT 0, n - few, 0 FROM c""")

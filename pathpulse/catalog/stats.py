@@ -43,6 +43,14 @@ def _two(spark, sf):
     )
 
 
+def _graded(spark, sf):
+    """All rows with the flag as a number: A, R and N are 0, 1 and 2."""
+    flag = F.col("l_returnflag")
+    return read_table(spark, sf, "lineitem").select(
+        *FEATURES, F.when(flag == "A", 0).when(flag == "R", 1).otherwise(2).alias("label")
+    )
+
+
 LONG_SQL = "lv AS (" + " UNION ALL ".join(
     f"SELECT '{f}' AS feature, {f} AS value, l_returnflag AS label FROM lineitem" for f in FEATURES
 ) + ")"
@@ -51,6 +59,11 @@ TWO_SQL = "lv AS (" + " UNION ALL ".join(
     f" FROM lineitem WHERE l_returnflag IN ('A', 'R')"
     for f in FEATURES
 ) + ")"
+GRADE_SQL = "lv AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {f} AS value, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS label"
+    f" FROM lineitem"
+    for f in FEATURES
+) + ")"
 PAIR_SQL = f"""WITH {TWO_SQL}, m AS (
   SELECT feature, count(CASE WHEN label = 0 THEN value END) AS n1,
     count(CASE WHEN label = 1 THEN value END) AS n2,
@@ -279,15 +292,15 @@ def mann_whitney_small(spark, sf):
     return rounded(out.withColumn("u", F.round("u", 1)).drop("z"))
 
 
-@query(f"""WITH {TWO_SQL}, c AS (SELECT feature, count(value) AS n, corr(value, label) AS r FROM lv
+@query(f"""WITH {GRADE_SQL}, c AS (SELECT feature, count(value) AS n, corr(value, label) AS r FROM lv
     GROUP BY feature), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c)
   SELECT feature, n, {r("r")} AS r, {r("abs(r)")} AS abs_r, {r("t")} AS t,
     {r(t_p_sql("t", "CAST(n - 2 AS DOUBLE)"))} AS p_value FROM t""")
 def pearson_label(spark, sf):
-    return rounded(hypothesis.pearson(_two(spark, sf), FEATURES, "label"))
+    return rounded(hypothesis.pearson(_graded(spark, sf), FEATURES, "label"))
 
 
-RANKS_SQL = f"""WITH {TWO_SQL}, rk AS (SELECT feature, value, label,
+RANKS_SQL = f"""WITH {GRADE_SQL}, rk AS (SELECT feature, value, label,
     rank() OVER (PARTITION BY feature ORDER BY value)
       + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS a,
     rank() OVER (PARTITION BY feature ORDER BY label)
@@ -297,7 +310,7 @@ RANKS_SQL = f"""WITH {TWO_SQL}, rk AS (SELECT feature, value, label,
 
 @query(f"{RANKS_SQL} SELECT feature, {r('rho')} AS rho FROM sp")
 def spearman_label(spark, sf):
-    return rounded(hypothesis.spearman(_two(spark, sf), FEATURES, "label"))
+    return rounded(hypothesis.spearman(_graded(spark, sf), FEATURES, "label"))
 
 
 @query(f"""{RANKS_SQL}, c AS (SELECT feature, count(value) AS n, corr(value, label) AS r FROM lv
@@ -305,7 +318,7 @@ def spearman_label(spark, sf):
   SELECT feature, {r("r")} AS r, {r("abs(r)")} AS abs_r, {r("rho")} AS rho, {r("t")} AS t,
     {r(t_p_sql("t", "CAST(n - 2 AS DOUBLE)"))} AS p_value FROM t JOIN sp USING (feature)""")
 def label_correlations(spark, sf):
-    return rounded(hypothesis.correlations(_two(spark, sf), FEATURES, "label"))
+    return rounded(hypothesis.correlations(_graded(spark, sf), FEATURES, "label"))
 
 
 _PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[:i]]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathpulse.operators.features_native import with_histogram_bin
-from pathpulse.operators.longview import per_feature, to_long
+from pathpulse.operators.longview import literals, per_feature, to_long
 from pathpulse.operators.ordered import exact_quantiles
 
 
@@ -41,17 +41,17 @@ def with_equal_width_bin(df: DataFrame, bins: int) -> DataFrame:
     ).drop("_guess", "_width")
 
 
-def with_feature_range(long: DataFrame, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Attach each feature's smallest and largest value; one row per feature joins."""
-    ranges = per_feature(df, [], features, {"low": F.min, "high": F.max})
-    return long.join(ranges, "feature").where(F.col("value").isNotNull())
+def long_with_range(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    """The long view with each feature's smallest and largest value beside its values."""
+    ranges = per_feature(df, [], features, {"low": lambda c: F.min(c.cast("double")), "high": lambda c: F.max(c.cast("double"))})
+    extra = literals(ranges, ["low", "high"], features)
+    return to_long(df, [label], features, extra).where(F.col("value").isNotNull())
 
 
 def equal_width_counts(
     df: DataFrame, features: Sequence[str], label: str, bins: int = 5
 ) -> DataFrame:
-    long = with_feature_range(to_long(df, [label], features), df, features)
-    return _counts(with_equal_width_bin(long, bins), label)
+    return _counts(with_equal_width_bin(long_with_range(df, label, features), bins), label)
 
 
 def equal_frequency_edges(long: DataFrame, bins: int = 5) -> DataFrame:
@@ -67,7 +67,9 @@ def equal_frequency_counts(
 ) -> DataFrame:
     """Counts per quantile bin and label; ties share a bin because repeated edges are merged."""
     long = to_long(df, [label], features).where(F.col("value").isNotNull())
-    binned = long.join(equal_frequency_edges(long, bins), "feature").withColumn(
+    extra = literals(equal_frequency_edges(long, bins), ["edges"], features)
+    beside = to_long(df, [label], features, extra).where(F.col("value").isNotNull())
+    binned = beside.withColumn(
         "bin",
         F.greatest(
             F.size(F.filter("edges", lambda e: e < F.col("value"))), F.lit(1)
@@ -91,6 +93,6 @@ def row_proportions(counts: DataFrame, label: str) -> DataFrame:
 def histogram_by_label(
     df: DataFrame, features: Sequence[str], label: str, bins: int = 20
 ) -> DataFrame:
-    long = with_feature_range(to_long(df, [label], features), df, features)
+    long = long_with_range(df, label, features)
     binned = with_histogram_bin(long, "value", F.col("low"), F.col("high"), bins)
     return _counts(binned.withColumn("bin", F.col("bin").cast("int")), label)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathpulse.operators.longview import per_feature, to_long
+from pathpulse.operators.longview import group_literals, per_feature, to_long
 from pathpulse.operators.ordered import exact_quantiles
+from pathpulse.session import stored
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -33,20 +34,29 @@ def describe(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def box_statistics(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 quartile ranges, and the outliers beyond."""
     long = to_long(df, [label], features).where(F.col("value").isNotNull())
-    quartiles = exact_quantiles(long, ["feature", label], "value", [0.25, 0.5, 0.75]).select(
+    quartiles = stored(exact_quantiles(long, ["feature", label], "value", [0.25, 0.5, 0.75]))
+    of = group_literals(quartiles, label, "q", features)
+
+    def beyond(f: str) -> Column:
+        """The value where it is an outlier of its class, with a flag."""
+        low, high = F.get(of[f], 0), F.get(of[f], 2)
+        v, reach = F.col(f).cast("double"), (high - low) * 1.5
+        return F.struct(v.between(low - reach, high + reach).alias("inside"), v.alias("v"))
+
+    whiskers = per_feature(
+        df, [label], features,
+        {
+            "whisker_low": lambda c: F.min(F.when(c["inside"], c["v"])),
+            "whisker_high": lambda c: F.max(F.when(c["inside"], c["v"])),
+            "outliers": lambda c: F.count_if(~c["inside"]),
+        },
+        beyond,
+    )
+    # a row per feature and class on either side
+    return whiskers.join(quartiles, ["feature", label]).select(
         "feature", label,
         F.get("q", 0).alias("q25"), F.get("q", 1).alias("q50"), F.get("q", 2).alias("q75"),
-    )
-    reach = (F.col("q75") - F.col("q25")) * 1.5
-    inside = F.col("value").between(F.col("q25") - reach, F.col("q75") + reach)
-    return (
-        long.join(quartiles, ["feature", label])
-        .groupBy("feature", label, "q25", "q50", "q75")
-        .agg(
-            F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-            F.count_if(~inside).alias("outliers"),
-        )
+        "whisker_low", "whisker_high", "outliers",
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathpulse.functions.pvalues import f_p_value, rank_sum_p_value, t_p_value, z_p_value
-from pathpulse.operators.longview import per_feature, to_long
+from pathpulse.operators.longview import group_literals, per_feature, to_long
 from pathpulse.operators.ordered import average_rank, exact_quantiles, ordered_counts
 
 MOMENTS = {"n": F.count, "mean": F.avg, "var": F.var_samp}
@@ -156,13 +156,8 @@ def levene(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
     """Equality of spread: one-way F test on distances to each group's exact median."""
     long = to_long(df, [group], features).where(F.col("value").isNotNull())
     medians = exact_quantiles(long, ["feature", group], "value", [0.5])
-    away = F.abs(F.col("value") - F.get("q", 0))
-    moments = (
-        long.join(medians, ["feature", group])
-        .groupBy("feature", group)
-        .agg(F.count(away).alias("n"), F.avg(away).alias("mean"), F.var_samp(away).alias("var"))
-    )
-    return anova(moments)
+    of = group_literals(medians.select("feature", group, F.get("q", 0).alias("m")), group, "m", features)
+    return anova(per_feature(df, [group], features, MOMENTS, lambda f: F.abs(F.col(f).cast("double") - of[f])))
 
 
 def pearson(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -185,19 +180,28 @@ def pearson(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     )
 
 
+#: Up to so many different labels travel with the plan; more are joined.
+LABELS_IN_PLAN = 1000
+
+
 def spearman(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Rank correlation with a label: Pearson over average ranks, from value counts on both sides."""
-    long = to_long(
-        df.where(F.col(label).isNotNull()), [label], features
-    ).where(F.col("value").isNotNull())
+    known = df.where(F.col(label).isNotNull())
+    long = to_long(known, [label], features).where(F.col("value").isNotNull())
     label_ranks = ordered_counts(long, ["feature"], label, {"n": F.count(F.lit(1))}).select(
         "feature",
         label,
         (average_rank() - (F.col("n_total") + 1) / 2).alias("label_rank"),
     )
+    if known.select(label).distinct().limit(LABELS_IN_PLAN + 1).count() <= LABELS_IN_PLAN:
+        of = group_literals(label_ranks, label, "label_rank", features)
+        ranked = to_long(known, [], features, {f: {"label_rank": of[f]} for f in features})
+        ranked = ranked.where(F.col("value").isNotNull())
+    else:
+        ranked = long.join(label_ranks, ["feature", label])
     # label ranks are centred, so their sums per value are all that the products need
     counts = ordered_counts(
-        long.join(label_ranks, ["feature", label]),
+        ranked,
         ["feature"],
         "value",
         {

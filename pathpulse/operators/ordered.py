@@ -1,8 +1,8 @@
 """Order statistics over columns of any length: running counts, ranks and exact quantiles.
 
 Rows are first collapsed to distinct values with counts. If a key still holds more rows than one
-task should sort, the value axis is cut at sketch quantiles into blocks; offsets come from the
-block totals and the running count is finished inside each block. Results are exact either way:
+task should sort, the value axis is cut at sketch quantiles into blocks, and blocks that are still too large
+are cut again; offsets come from the block totals and the running count is finished inside each block. Results are exact either way:
 the sketch only decides where to cut.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathpulse.operators.numbering import MAX_GROUP_ROWS, largest_group
-from pathpulse.session import cut_lineage
+from pathpulse.session import cut_lineage, stored
 
 CUTS = 1023
 SKETCH_ACCURACY = 10_000
@@ -79,27 +79,40 @@ def ordered_counts(
             ).withColumn(f"{name}_total", F.sum(name).over(whole))
         return out.drop("_all")
 
-    blocked = (
+    blocks = ["_block"]
+    blocked = stored(
         per_value.join(cuts, keys)
         .withColumn("_block", _cut_number(F.col("_cuts"), F.col(value).cast("double")))
         .drop("_cuts")
     )
-    sums = blocked.groupBy(*keys, "_block").agg(*[F.sum(m).alias(f"_{m}") for m in sums_of])
+    # a block of too many values is cut again, as often as it takes; values that doubles cannot tell apart stay together
+    size, before_size = largest_group(blocked, [*keys, *blocks]), None
+    while size > max_rows and size != before_size:
+        name = f"_block{len(blocks)}"
+        finer = _value_cuts(blocked, [*keys, *blocks], value)
+        blocked = stored(
+            blocked.join(finer, [*keys, *blocks])
+            .withColumn(name, _cut_number(F.col("_cuts"), F.col(value).cast("double")))
+            .drop("_cuts")
+        )
+        blocks.append(name)
+        size, before_size = largest_group(blocked, [*keys, *blocks]), size
+    sums = blocked.groupBy(*keys, *blocks).agg(*[F.sum(m).alias(f"_{m}") for m in sums_of])
     whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("_block").rowsBetween(*upto)
+    earlier = whole.orderBy(*blocks).rowsBetween(*upto)
     offsets = sums.select(
         *keys,
-        "_block",
+        *blocks,
         *[F.coalesce(F.sum(f"_{m}").over(earlier), F.lit(0)).alias(f"_{m}_off") for m in sums_of],
         *[F.sum(f"_{m}").over(whole).alias(f"{m}_total") for m in sums_of],
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(*upto)
-    out = blocked.join(offsets, [*keys, "_block"])
+    inside = Window.partitionBy(*keys, *blocks).orderBy(value).rowsBetween(*upto)
+    out = blocked.join(offsets, [*keys, *blocks])
     for m in sums_of:
         out = out.withColumn(
             f"{m}_before", F.col(f"_{m}_off") + F.coalesce(F.sum(m).over(inside), F.lit(0))
         )
-    return out.drop("_all", "_block", *[f"_{m}_off" for m in sums_of])
+    return out.drop("_all", *blocks, *[f"_{m}_off" for m in sums_of])
 
 
 def average_rank(count: str = "n") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pathpulse.operators import ordered
-from pathpulse.operators.neighbors import nearest_neighbors
+from pathpulse.operators.neighbors import FOUND, _best, nearest_neighbors
 from pathpulse.operators.numbering import largest_group, number_rows, order_block, seg_block
 from pathpulse.sources.event_tracks import event_tracks
 
@@ -120,3 +120,45 @@ def test_neighbours_are_exact_with_copies(spark, block_rows):
         assert [n["dist"] for n in row["nn"]] == pytest.approx(want.tolist())
         if tuple(row["vec"]) == tuple(pts[0].tolist()):
             assert row["copies"] == 51
+
+
+def test_blocks_are_cut_again_until_they_fit(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CUTS", 7)
+    rows = [("big", (k * 7919) % 5000 / 3) for k in range(6000)] + [("small", float(k)) for k in range(30)]
+    df = spark.createDataFrame(rows, "k string, value double")
+    seen = []
+    real = ordered.largest_group
+    monkeypatch.setattr(ordered, "largest_group", lambda d, keys: seen.append((len(keys), real(d, keys))) or seen[-1][1])
+    measures = {"n": F.count(F.lit(1))}
+    cols = ["k", "value", "n", "n_before", "n_total"]
+    split = ordered.ordered_counts(df, ["k"], "value", measures, max_rows=40).select(cols)
+    plain = ordered.ordered_counts(df, ["k"], "value", measures, None).select(cols)
+    assert rows_of(split, "k", "value") == rows_of(plain, "k", "value")
+    # the key alone, then with one, two, … levels of blocks
+    assert max(n for n, _ in seen) >= 4 and seen[-1][1] <= 40
+
+
+def test_blocks_that_cannot_be_cut_end(spark):
+    df = spark.createDataFrame([(2**60 + k,) for k in range(90)], "value long")
+    split = ordered.ordered_counts(df, [], "value", {"n": F.count(F.lit(1))}, max_rows=20).collect()
+    assert sorted((r["value"] - 2**60, r["n_before"]) for r in split) == [(k, k) for k in range(90)]
+
+
+def test_neighbours_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(6)
+    vectors = np.vstack([rng.standard_normal((300, 64)), np.repeat(rng.standard_normal((2, 64)), 40, 0)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "id long, vec array<double>")
+    first = {tuple(v): k for k, v in reversed(list(enumerate(map(tuple, vectors))))}
+    distinct = sorted(first.values())
+    for block_rows in (9, 5000):
+        got = {r["id"]: [x["id"] for x in r["nn"]] for r in nearest_neighbors(df, 4, block_rows).collect()}
+        assert sorted(got) == distinct
+        for k in distinct:
+            dist = {j: float(np.sqrt(((vectors[j] - vectors[k]) ** 2).sum())) for j in distinct if j != k}
+            assert got[k] == sorted(dist, key=lambda j: (dist[j], j))[:4]
+
+
+def test_neighbours_are_limited_before_they_are_shuffled(spark):
+    found = spark.createDataFrame([(1, 0.5, 2, 1)], FOUND)
+    plan = _best(found, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2

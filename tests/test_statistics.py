@@ -1,13 +1,14 @@
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathpulse.functions.pvalues import fisher_upper, normal_two_sided, student_two_sided
-from pathpulse.operators import bins, folds, hypothesis, labels, trends
+from pathpulse.functions.pvalues import fisher_upper, normal_two_sided, rank_sum_two_sided, student_two_sided
+from pathpulse.operators import bins, describe, folds, hypothesis, labels, trends
 from pathpulse.operators.compare import ranked
 from pathpulse.operators.longview import feature_columns, varying_features
 
@@ -166,3 +167,69 @@ def test_student_tail_keeps_its_digits_on_many_rows(df, known):
     # both ways agree where they meet
     a, b = student_two_sided(1.5, 1e6), student_two_sided(1.5, 1e6 + 1)
     assert abs(a - b) < 1e-10
+
+
+def _all_ways(n1, n2, u):
+    """Share of all ways to deal out the ranks with a U at least as far from the middle."""
+    far = abs(u - n1 * n2 / 2)
+    sums = [sum(c) - n1 * (n1 - 1) / 2 for c in itertools.combinations(range(n1 + n2), n1)]
+    return sum(abs(s - n1 * n2 / 2) >= far - 1e-9 for s in sums) / len(sums)
+
+
+@pytest.mark.parametrize("n1, n2", [(1, 1), (1, 9), (2, 5), (8, 8), (4, 11), (7, 3)])
+def test_exact_rank_sum_probabilities(n1, n2):
+    for u in range(n1 * n2 + 1):
+        assert abs(rank_sum_two_sided(n1, n2, u) - min(1.0, _all_ways(n1, n2, u))) < 1e-12
+
+
+def test_rank_sums_beside_a_large_sample(monkeypatch):
+    exact = {u: rank_sum_two_sided(8, 200_000, u) for u in (100_000, 300_000, 790_000)}
+    monkeypatch.setattr("pathpulse.functions.pvalues.MOST_COUNTS", 10)
+    for u, p in exact.items():
+        assert rank_sum_two_sided(8, 200_000, u) == pytest.approx(p, rel=1e-8)
+    assert math.isnan(rank_sum_two_sided(0, 5, 0))
+
+
+def test_exact_and_normal_branch_in_one_table(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k % 2, float(v) if k < 12 else None, float(round(v, 1)), float(v), None if k % 2 else float(v)) for k, v in enumerate(rng.standard_normal(60))]
+    df = spark.createDataFrame(rows, "g int, few double, ties double, many double, one_sided double")
+    got = {r["feature"]: r for r in hypothesis.mann_whitney(df, ["few", "ties", "many", "one_sided"], "g", 0, 1).collect()}
+    assert {f: r["method"] for f, r in got.items()} == {"few": "exact", "ties": "normal", "many": "normal", "one_sided": "exact"}
+    assert abs(got["few"]["p_value"] - _all_ways(6, 6, got["few"]["u"])) < 1e-12
+    assert got["one_sided"]["p_value"] is None
+
+
+def test_feature_statistics_travel_as_literals(spark):
+    """The long rows are never shuffled to meet their feature's range, edges, medians or ranks."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k % 3), *map(float, rng.standard_normal(2))) for k in range(300)]
+    df = spark.createDataFrame(rows, "label int, a double, b double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        made = {
+            "width": bins.equal_width_counts(df, ["a", "b"], "label"),
+            "frequency": bins.equal_frequency_counts(df, ["a", "b"], "label"),
+            "histogram": bins.histogram_by_label(df, ["a", "b"], "label"),
+            "spread": hypothesis.levene(df, ["a", "b"], "label"),
+            "ranks": hypothesis.spearman(df, ["a", "b"], "label"),
+            "box": describe.box_statistics(df, ["a", "b"], "label"),
+        }
+        for name, table in made.items():
+            plan = table._jdf.queryExecution().optimizedPlan().toString()
+            for line in plan.split("\n"):
+                # what is joined is a row per feature (and class)
+                assert "Join" not in line or name in ("spread", "box"), (name, line)
+            assert table.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_labels_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(v), float(w)) for v, w in zip(rng.integers(0, 40, 200), rng.standard_normal(200))]
+    df = spark.createDataFrame(rows, "label int, a double")
+    one = hypothesis.spearman(df, ["a"], "label").first()["rho"]
+    monkeypatch.setattr(hypothesis, "LABELS_IN_PLAN", 5)
+    assert hypothesis.spearman(df, ["a"], "label").first()["rho"] == pytest.approx(one, abs=1e-12)
