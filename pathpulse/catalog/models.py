@@ -28,8 +28,6 @@ from pathpulse.sources.tables import read_table
 QUERIES, ORACLES = {}, {}
 WIDTH = 64
 NAMES = [f"e{i:02d}" for i in range(WIDTH)]
-# The two sweeps fit hundreds of forests; their queries run smaller ones (README), the plans the named sizes.
-QUICK = {"numTrees": 20, "maxDepth": 5}
 
 
 def query(sql: str | None = None):
@@ -270,28 +268,29 @@ def model_vote(spark, sf):
 
 @query()
 def subset_sweep(spark, sf):
-    rows = _folded(spark, sf, 3)
-    return importance.subset_performance(rows, range(WIDTH), range(3), [1, 9, 33], **QUICK)
+    """Held-out AUC with the first 1, 3, 5, … features up to all, five folds, forests of 50 full trees."""
+    rows = _folded(spark, sf)
+    return importance.subset_performance(rows, range(WIDTH), range(5), range(1, WIDTH + 1, 2), numTrees=50)
+
+
+@query()
+def quick_feature_test(spark, sf):
+    return importance.quick_feature_test(_folded(spark, sf), NAMES, range(5))
 
 
 @query()
 def sequence_mlp(spark, sf):
-    """Fixed-length sequences, flattened, through a small perceptron; scored on held-out entities."""
-    made = resample.resampled_sequences(cleaned(spark, sf, SHORT), length=10)
+    """Sequences of 300 points, flattened, through the named net; scored on held-out entities."""
+    made = resample.resampled_sequences(cleaned(spark, sf, SHORT))
     rows = folds.with_folds(
-        made.select(F.xxhash64(*KEYS).alias("id"), *KEYS, "label", resample.flattened().alias("vec")), 3
+        made.select(F.xxhash64(*KEYS).alias("id"), *KEYS, "label", resample.flattened().alias("vec")), 5
     )
-    held_out = classifiers.cross_validated(
-        cut_lineage(rows), "MLP", range(3), layers=[40, 16, 2], maxIter=30
-    )
-    return classifiers.fold_metrics(cut_lineage(held_out))
+    return classifiers.fold_metrics(cut_lineage(classifiers.cross_validated(rows, "MLP", range(5))))
 
 
 @query()
 def threshold_sweep(spark, sf):
-    """Close-to-death prediction at several thresholds: class counts and held-out AUC."""
+    """Close-to-death prediction at every threshold: class counts, held-out AUC and metrics on the training rows."""
     from pathpulse.plans.predictor import compare_thresholds
 
-    return compare_thresholds(
-        segment_features(spark, sf), [1, 2], model="RandomForest", k=3, use_smote=False, **QUICK
-    )
+    return compare_thresholds(segment_features(spark, sf))

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import math
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pathpulse.operators import balance, classifiers, evaluation, importance, impute, projection
 from pathpulse.operators import thresholds as choice
+from pathpulse.operators.neighbors import nearest_in_groups
 from pathpulse.operators import voting
 from pathpulse.plans import predictor
 
@@ -202,3 +206,123 @@ def test_entity_blocks_of_names_stay_bounded(spark):
     blocks = df.groupBy(entity_block(df, most=50).alias("b")).count()
     assert blocks.agg({"count": "max"}).first()[0] <= 50
     assert df.groupBy(entity_block(df).alias("b")).count().count() == 1
+
+
+def test_trials_side_by_side_equal_single_fits(separable):
+    table = classifiers.matrix(separable)
+    fold = F.col("fold")
+    trials = [
+        classifiers.Trial("LogisticRegression", fold != 0, fold == 0, overrides={"maxIter": 20}),
+        classifiers.Trial("LogisticRegression", fold != 1, fold == 1, positions=(1, 2), overrides={"maxIter": 20}),
+        classifiers.Trial("LogisticRegression", fold != 2, fold == 2, 1 - F.col("label"), overrides={"maxIter": 20}),
+    ]
+    models, predicted = classifiers.side_by_side(table, trials)
+    got = {(r["trial"], r["id"]): (r["label"], r["p1"]) for r in predicted.collect()}
+    assert len(got) == separable.count() and len(models) == 3
+    kept = F.array(F.get("vec", 1), F.get("vec", 2))
+    for i, (rows, features, label) in enumerate((("fold <> 0", F.col("vec"), F.col("label")), ("fold <> 1", kept, F.col("label")), ("fold <> 2", F.col("vec"), 1 - F.col("label")))):
+        data = separable.withColumns({"vec": features, "label": label})
+        model = classifiers.fit(data.where(rows), "LogisticRegression", maxIter=20)
+        for r in classifiers.score(model, data.where(rows.replace("<>", "="))).collect():
+            assert got[i, r["id"]] == (r["label"], pytest.approx(r["p1"], abs=1e-9))
+
+
+def test_oversampled_trials_take_made_rows_of_their_own_part(separable):
+    table = classifiers.matrix(separable)
+    trials = [classifiers.Trial("LogisticRegression", F.col("fold") != k, F.col("fold") == k) for k in range(3)]
+    counts = classifiers._class_counts(table, trials)
+    made = classifiers._oversampled(table, trials, counts).collect()
+    rows = separable.collect()
+    for k in range(3):
+        sizes = [sum(r["fold"] != k and r["label"] == c for r in rows) for c in (0, 1)]
+        assert counts[k] == dict(enumerate(sizes))
+        mine = [r for r in made if r["group"] == k]
+        assert len(mine) == sizes[0] - sizes[1] and {r["label"] for r in mine} == {1}
+        given = np.array([r["vec"] for r in rows if r["fold"] != k and r["label"] == 1])
+        low, high = given.min(0), given.max(0)
+        assert all((low <= r["vec"]).all() and (r["vec"] <= high).all() for r in mine)
+
+
+def test_neighbours_of_many_groups_at_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, k, rng.integers(0, 4, 2).astype(float).tolist()) for g in range(3) for k in range(40 * g + 3)]
+    near = nearest_in_groups(spark.createDataFrame(rows, "group int, id long, vec array<double>"), 3, block_rows=7).collect()
+    for g in range(3):
+        first = {}
+        for _, k, v in sorted(r for r in rows if r[0] == g):
+            first.setdefault(tuple(v), k)
+        got = {r["id"]: [x["id"] for x in r["nn"]] for r in near if r["group"] == g}
+        assert sorted(got) == sorted(first.values())
+        for v, k in first.items():
+            others = sorted((math.dist(v, w), j) for w, j in first.items() if j != k)
+            assert got[k] == [j for _, j in others[:3]]
+
+
+def test_stored_run_of_the_predictor(spark, tmp_path):
+    """Metrics are held against SQL over the stored predictions."""
+    rng = np.random.default_rng(12)
+    rows = [(e, s, e % 2, float(s - 12 + 2 * rng.normal()), float(rng.normal())) for e in range(15) for s in range(12)]
+    segments = spark.createDataFrame(rows, "entity long, seg long, label int, mean_speed double, std_speed double")
+    path = str(tmp_path / "run")
+    results = predictor.run_predictor(segments, path, 2, k=3, numTrees=10, maxDepth=4)
+    con = duckdb.connect()
+    for name in ("predictions", "risks"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}/*.parquet'")
+    assert con.execute("SELECT count(*), count(DISTINCT id), count(DISTINCT fold) FROM predictions").fetchone() == (180, 180, 3)
+    metric = """count(*) FILTER (prediction = label) / count(*) AS accuracy,
+      (SELECT avg(CASE WHEN a.p1 > b.p1 THEN 1 WHEN a.p1 = b.p1 THEN 0.5 ELSE 0 END) FROM {0} a, {0} b
+       WHERE a.label = 1 AND b.label = 0{1}) AS auc,
+      2 * count(*) FILTER (prediction = 1 AND label = 1) / (count(*) FILTER (prediction = 1) + count(*) FILTER (label = 1)) AS f1"""
+    per_fold = con.execute(
+        f"SELECT p.fold, {metric.format('predictions', ' AND a.fold = p.fold AND b.fold = p.fold')} FROM predictions p GROUP BY p.fold ORDER BY 1"
+    ).fetchall()
+    got = [(r["fold"], r["accuracy"], r["auc"], r["f1"]) for r in results["cv"].orderBy("fold").collect()]
+    for a, b in zip(got, per_fold, strict=True):
+        assert a == pytest.approx(b)
+    whole = con.execute(f"SELECT {metric.format('risks', '')} FROM risks").fetchone()
+    row = results["evaluation"].first()
+    assert (row["accuracy"], row["auc"], row["f1"]) == pytest.approx(whole)
+    stages = con.execute("""SELECT ceil(seg / 11.0 * 5) AS stage, avg(p1), stddev_samp(p1), count(*) FROM risks WHERE seg > 0
+      GROUP BY 1 ORDER BY 1""").fetchall()
+    got = [(r["life_stage"], r["mean"], r["std"], r["n"]) for r in results["stages"].orderBy("life_stage").collect()]
+    for a, b in zip(got, stages, strict=True):
+        assert a == pytest.approx(b)
+    loaded, names, threshold = classifiers.load_model(path)
+    assert (names, threshold) == (["mean_speed", "std_speed"], 2)
+    again = {r["id"]: r["p1"] for r in classifiers.score(loaded, predictor.prepare(segments, 2)[0]).collect()}
+    assert {r["id"]: r["p1"] for r in results["risks"].collect()} == pytest.approx(again)
+
+
+def test_thresholds_are_compared_on_one_matrix(spark):
+    rng = np.random.default_rng(13)
+    rows = [(e, s, e % 2, float(s - 12 + rng.normal())) for e in range(20) for s in range(12)]
+    segments = spark.createDataFrame(rows, "entity long, seg long, label int, mean_speed double")
+    got = {r["threshold"]: r for r in predictor.compare_thresholds(segments, (1, 3, 20), k=3, numTrees=8, maxDepth=4).collect()}
+    assert got[1]["positive_samples"] == 40 and got[3]["positive_samples"] == 80 and got[20]["negative_samples"] == 0
+    assert got[1]["cv_auc_mean"] > 0.8 and got[3]["test_auc"] > 0.9 and got[20]["cv_auc_mean"] is None
+    assert got[1]["total_features"] == 1
+
+
+def test_quick_test_takes_the_best_features(separable):
+    row = importance.quick_feature_test(separable, ["shifted", "noise1", "noise2"], range(3), n_features=1).first()
+    assert row["features"] == ["shifted"] and row["mean_auc"] > 0.9
+
+
+def test_permutation_equals_a_plain_shuffle(separable):
+    """A feature the model does not use loses nothing; the others lose what numpy's shuffle loses, within its spread."""
+    model = classifiers.fit(separable, "LogisticRegression", maxIter=20)
+    got = {r["feature"]: r for r in importance.permutation_importance(model, separable, ["a", "b", "c"], repeats=20).collect()}
+    rows = separable.collect()
+    x, y = np.array([r["vec"] for r in rows]), np.array([r["label"] for r in rows])
+    scaler, line = model.stages
+    weights = line.coefficients.toArray() / scaler.std.toArray()
+    bias = line.intercept - (weights * scaler.mean.toArray()).sum()
+    hit = lambda m: (((m @ weights + bias) > 0) == y).mean()
+    rng = np.random.default_rng(1)
+    for i, name in enumerate("abc"):
+        drops = []
+        for _ in range(200):
+            m = x.copy()
+            m[:, i] = rng.permutation(m[:, i])
+            drops.append(hit(x) - hit(m))
+        assert abs(got[name]["perm_importance"] - np.mean(drops)) < 4 * np.std(drops) / 20**0.5 + 1e-3
