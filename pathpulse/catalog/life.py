@@ -255,7 +255,13 @@ def replicate_cv(spark, sf):
     )
 
 
-_COMPARE_SQL = f"""{FEAT_SQL}, {long_sql("CASE WHEN pct <= 50 THEN 0 WHEN pct > 50 THEN 1 END AS g")}, v AS (
+_HALVES = "CASE WHEN pct <= 50 THEN 0 WHEN pct > 50 THEN 1 END AS g"
+_ENDS = "CASE WHEN total_segments > 4 AND up <= 2 THEN 0 WHEN total_segments > 4 AND down <= 2 THEN 1 END AS g"
+
+
+def _compare_sql(parts: str) -> str:
+    """CTE ``res`` with all statistics between the parts 0 and 1."""
+    return f"""{FEAT_SQL}, {long_sql(parts)}, v AS (
   SELECT * FROM lv WHERE g IS NOT NULL), m AS (
   SELECT feature, count(CASE WHEN g = 0 THEN 1 END) AS n1, count(CASE WHEN g = 1 THEN 1 END) AS n2,
     avg(CASE WHEN g = 0 THEN value END) AS m1, avg(CASE WHEN g = 1 THEN value END) AS m2,
@@ -285,7 +291,8 @@ _COMPARE_SQL = f"""{FEAT_SQL}, {long_sql("CASE WHEN pct <= 50 THEN 0 WHEN pct >
   SELECT * FROM wp JOIN uq USING (feature) JOIN lp USING (feature))"""
 
 
-@query(f"""{_COMPARE_SQL} SELECT feature, {r("m1")} AS first_mean, {r("m2")} AS last_mean,
+_COMPARE_SQL = _compare_sql(_HALVES)
+_COMPARE_COLUMNS = f"""feature, {r("m1")} AS first_mean, {r("m2")} AS last_mean,
   {r("sqrt(v1)")} AS first_std, {r("sqrt(v2)")} AS last_std, {r("d1")} AS first_median,
   {r("d2")} AS last_median, {r("m2 - m1")} AS absolute_difference,
   {r("(m2 - m1) / abs(m1) * 100", 4)} AS percentage_change, {r("d")} AS effect_size_cohens_d,
@@ -293,10 +300,18 @@ _COMPARE_SQL = f"""{FEAT_SQL}, {long_sql("CASE WHEN pct <= 50 THEN 0 WHEN pct >
     ELSE 'large' END AS effect_interpretation, {r("t")} AS t_statistic, {r("tp")} AS t_p_value,
   {r("u")} AS mannwhitney_u, {r("u_p")} AS mannwhitney_p_value, {r("f")} AS levene_statistic,
   {r("l_p")} AS levene_p, tp < 0.05 AS t_significant, u_p < 0.05 AS mannwhitney_significant,
-  l_p > 0.05 AS variance_equal, n1 AS n_first, n2 AS n_last FROM res""")
+  l_p > 0.05 AS variance_equal, n1 AS n_first, n2 AS n_last"""
+
+
+@query(f"{_COMPARE_SQL} SELECT {_COMPARE_COLUMNS} FROM res")
 def first_vs_last(spark, sf):
-    halves = labels.halves_by_percentage(segment_features(spark, sf))
-    return _trend_rounded(compare.compare_parts(halves, FEATURES))
+    return _trend_rounded(compare.first_against_last(segment_features(spark, sf), FEATURES))
+
+
+@query(f"{_compare_sql(_ENDS)} SELECT {_COMPARE_COLUMNS} FROM res")
+def first_vs_last_ends(spark, sf):
+    """The first against the last two segments of every entity that has more than four."""
+    return _trend_rounded(compare.first_against_last(segment_features(spark, sf), FEATURES, "absolute", 2))
 
 
 @query(f"""{_COMPARE_SQL}, sc AS (SELECT feature, d, tp, (m2 - m1) / abs(m1) * 100 AS pc,
@@ -330,3 +345,25 @@ def feature_ranking(spark, sf):
 def comparison_summary(spark, sf):
     halves = labels.halves_by_percentage(segment_features(spark, sf))
     return compare.summary_counts(compare.compare_parts(halves, FEATURES))
+
+
+_SUMMARY_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS analysis, count(*) FILTER (p < 0.05 AND {which}) AS significant FROM ({sql})"
+    for name, sql, which in (
+        ("overall", _trend_sql("", "bin * 20 - 10", 3) + " SELECT p FROM tr", "true"),
+        ("per_condition", _trend_sql("label", "bin * 20 - 10", 3) + " SELECT p FROM tr", "true"),
+        ("increasing", _trend_sql("", "bin * 20 - 10", 3) + " SELECT p, slope FROM tr", "slope > 0"),
+        ("decreasing", _trend_sql("", "bin * 20 - 10", 3) + " SELECT p, slope FROM tr", "slope <= 0"),
+        ("end_of_life", _trend_sql("", "bin * 5 + 77.5", 2, "eol") + " SELECT p FROM tr", "true"),
+        ("early_late", _change_sql("CASE WHEN pct <= 20 THEN 'first' WHEN pct >= 80 THEN 'last' END").rsplit("SELECT feature", 1)[0] + "SELECT p FROM p", "true"),
+        ("first_last_50", _change_sql("CASE WHEN pct <= 50 THEN 'first' WHEN pct > 50 THEN 'last' END").rsplit("SELECT feature", 1)[0] + "SELECT p FROM p", "true"),
+    )
+)
+
+
+@query(_SUMMARY_SQL)
+def temporal_summary(spark, sf):
+    """How many features change significantly in every analysis of age."""
+    from pathpulse.plans import temporal
+
+    return temporal.summary(temporal.temporal_analysis(segment_features(spark, sf), FEATURES))

@@ -21,7 +21,10 @@ from pathpulse.operators import (
     thresholds,
     voting,
 )
+from pathpulse.operators.numbering import group_extremes
 from pathpulse.operators.segments import KEYS
+from pathpulse.params import VOTING_FEATURES
+from pathpulse.plans.extract import extract_features
 from pathpulse.session import cut_lineage
 from pathpulse.sources.tables import read_table
 
@@ -294,3 +297,62 @@ def threshold_sweep(spark, sf):
     from pathpulse.plans.predictor import compare_thresholds
 
     return compare_thresholds(segment_features(spark, sf))
+
+
+_CHOICE_SQL = f"""{PRED_SQL}, t AS (SELECT unnest([1, 2, 3, 5]) AS threshold), lt AS (
+  SELECT threshold, fold, p1, prediction, CAST(max(seg) OVER (PARTITION BY entity, threshold) - seg <= threshold AS INTEGER) AS y
+  FROM pred, t), rk AS (
+  SELECT *, rank() OVER f + (count(*) OVER (PARTITION BY threshold, fold, p1) - 1) / 2.0 AS fr,
+    rank() OVER a + (count(*) OVER (PARTITION BY threshold, p1) - 1) / 2.0 AS ar FROM lt
+  WINDOW f AS (PARTITION BY threshold, fold ORDER BY p1), a AS (PARTITION BY threshold ORDER BY p1)), fa AS (
+  SELECT threshold, (sum(fr) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0) AS auc
+  FROM rk GROUP BY threshold, fold), cv AS (SELECT threshold, avg(auc) AS cv_auc_mean FROM fa GROUP BY threshold), al AS (
+  SELECT threshold, avg(y) AS positive_rate, (sum(ar) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0) AS test_auc,
+    avg(CAST(prediction = y AS INTEGER)) AS test_accuracy, coalesce(2.0 * count(*) FILTER (prediction = 1 AND y = 1)
+      / nullif(count(*) FILTER (prediction = 1) + sum(y), 0), 0) AS test_f1 FROM rk GROUP BY threshold), res AS (
+  SELECT * FROM al JOIN cv USING (threshold))
+  SELECT {{}} FROM res""".format(", ".join(
+    f"(SELECT CAST(threshold AS INTEGER) FROM res {where} ORDER BY round({by}, 9) DESC NULLS LAST, threshold LIMIT 1) AS {name}"
+    for name, by, where in (
+        ("best_cv_auc", "cv_auc_mean", ""), ("best_test_auc", "test_auc", ""), ("best_accuracy", "test_accuracy", ""),
+        ("best_f1", "test_f1", ""), ("best_balanced", "cv_auc_mean", "WHERE positive_rate BETWEEN 0.05 AND 0.15"),
+    )
+)) + " LIMIT 1"
+
+
+@query(_CHOICE_SQL)
+def threshold_choice(spark, sf):
+    """The best threshold by every measure, for a score that is the same at all of them."""
+    at = [1, 2, 3, 5]
+    scored = predictions(spark, sf)
+    away = group_extremes(scored, ["entity"], max_segment=F.max("seg"))
+    near = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), (F.col("max_segment") - F.col("seg") <= t).cast("int").alias("label")) for t in at]))
+    rows = cut_lineage(away.drop("label").select("*", near.alias("x")).select("fold", "p1", "prediction", "x.*"))
+    cv = classifiers.fold_metrics(rows, ["threshold", "fold"]).groupBy("threshold").agg(F.avg("auc").alias("cv_auc_mean"))
+    seen = classifiers.fold_metrics(rows, ["threshold"]).select(
+        "threshold", F.col("auc").alias("test_auc"), F.col("accuracy").alias("test_accuracy"), F.col("f1").alias("test_f1")
+    )
+    rate = rows.groupBy("threshold").agg(F.avg("label").alias("positive_rate"))
+    table = cv.join(seen, "threshold").join(rate, "threshold")
+    return thresholds.best_thresholds(table.select("threshold", "positive_rate", *[F.round(c, 9).alias(c) for c in ("cv_auc_mean", "test_auc", "test_accuracy", "test_f1")]))
+
+
+def _published(spark, sf):
+    """Held-out boosting on the ten published features."""
+    features = extract_features(cut_lineage(cleaned(spark, sf, SHORT)))
+    rows = features.select(
+        F.xxhash64(*KEYS).alias("id"), *KEYS, "label", F.array(*VOTING_FEATURES).alias("vec")
+    )
+    folded = folds.with_folds(cut_lineage(rows), 5)
+    return cut_lineage(classifiers.cross_validated(folded, "Gradient Boosting", range(5)))
+
+
+@query()
+def published_vote(spark, sf):
+    """Entities decided by the last ten segments of boosted trees on ten features, weighted by confidence."""
+    return voting.entity_votes(_published(spark, sf), "last_10_segments_confidence")
+
+
+@query()
+def published_group_vote(spark, sf):
+    return voting.group_vote_summary(voting.group_votes(_published(spark, sf), "last_10_segments_confidence"))

@@ -357,3 +357,37 @@ def binned_mi(spark, sf):
 def sample_rows(spark, sf):
     events = read_table(spark, sf, "events").select("event_id", "user_id", "value")
     return describe.random_sample(events, ["event_id"])
+
+
+@query(f"""WITH {GRADE_SQL}, c AS (SELECT feature, abs(corr(value, label)) AS r FROM lv GROUP BY feature),
+  e AS (SELECT feature, unnest(list_distinct(
+      quantile_cont(value, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS edge FROM lv GROUP BY feature), vv AS (
+  SELECT feature, value, label, count(*) AS k FROM lv GROUP BY ALL), b AS (
+  SELECT vv.feature, vv.value, vv.label, vv.k, greatest(count(CASE WHEN edge < value THEN 1 END), 1) AS bin
+  FROM vv JOIN e USING (feature) GROUP BY vv.feature, vv.value, vv.label, vv.k), cells AS (
+  SELECT feature, bin, label, sum(k) AS n FROM b GROUP BY feature, bin, label), p AS (
+  SELECT feature, n / sum(n) OVER (PARTITION BY feature) AS p,
+    sum(n) OVER (PARTITION BY feature, bin) / sum(n) OVER (PARTITION BY feature) AS px,
+    sum(n) OVER (PARTITION BY feature, label) / sum(n) OVER (PARTITION BY feature) AS py FROM cells), mi AS (
+  SELECT feature, sum(p * ln(p / (px * py))) AS mi FROM p GROUP BY feature), f AS (
+  SELECT * FROM (WITH {_anova_sql("lv")}))
+  SELECT feature, f AS f_score, {r("mi", 9)} AS mutual_info, {r("r", 9)} AS abs_correlation
+  FROM f JOIN mi USING (feature) JOIN c USING (feature)""")
+def statistical_scores(spark, sf):
+    """F score, mutual information and correlation of every column with the flag."""
+    from pathpulse.plans.importances import statistical_scores as scores
+
+    out = scores(_graded(spark, sf), FEATURES)
+    return rounded(out.withColumn("f_score", F.round(F.col("f_score") + 3.3e-11, 6)), 9)
+
+
+@query(f"""WITH s AS (SELECT l_linenumber AS n_features, avg(l_discount) AS mean_auc FROM lineitem GROUP BY l_linenumber)
+  SELECT arg_max(n_features, mean_auc) AS n_features, {r("max(mean_auc)")} AS mean_auc,
+    {r("max(mean_auc) - arg_min(mean_auc, n_features)")} AS gain FROM s""")
+def feature_count_choice(spark, sf):
+    """The smallest count with the best score, on mean discounts per line number."""
+    from pathpulse.operators.importance import best_feature_count
+
+    items = read_table(spark, sf, "lineitem")
+    sweep = items.groupBy(F.col("l_linenumber").alias("n_features")).agg(F.avg("l_discount").alias("mean_auc"))
+    return rounded(best_feature_count(sweep))

@@ -207,3 +207,16 @@ def clean_track(spark, sf):
             "entity", "label", "seg", "frame", "speed", "x", "y", "turning_angle"
         )
     )
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN CAST(event_id % 5 AS DOUBLE)
+    WHEN event_type = 'view' THEN NULL ELSE event_id % 7 + 0.5 END AS segment FROM events""")
+def segment_from_name(spark, sf):
+    """Segment of a feature row: the stored index, else the number in the file name."""
+    name = F.concat(
+        F.lit("worm-"),
+        F.when(F.col("event_type") == "view", "whole").otherwise(F.concat(F.lit("segment"), (F.col("event_id") % 7).cast("string"), F.lit(".5"))),
+        F.lit("-preprocessed.csv"),
+    )
+    stored = F.when(F.col("event_type") == "error", F.col("event_id") % 5)
+    return read_table(spark, sf, "events").select("event_id", filenames.segment_or_extracted(stored, name).alias("segment"))

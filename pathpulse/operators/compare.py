@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pathpulse.functions.pvalues import t_p_value
 from pathpulse.operators import hypothesis as h
+from pathpulse.operators.labels import first_and_last, halves_by_percentage
 from pathpulse.operators.longview import to_long
 from pathpulse.operators.ordered import exact_quantiles
 from pathpulse.operators.trends import percentage_change
@@ -69,6 +70,22 @@ def compare_parts(df: DataFrame, features: Sequence[str], part: str = "part") ->
     )
 
 
+DEFINITIONS = ("percentage", "absolute")
+
+
+def first_against_last(
+    segments: DataFrame, features: Sequence[str], definition: str = "percentage", threshold: int = 50
+) -> DataFrame:
+    """Compare the first with the last part of life: up to ``threshold`` percent of it against the rest, or the
+    first against the last ``threshold`` segments of entities that have more than twice as many."""
+    if definition not in DEFINITIONS:
+        raise ValueError(f"unknown definition: {definition}; known: {DEFINITIONS}")
+    parts = (
+        halves_by_percentage(segments, threshold) if definition == "percentage" else first_and_last(segments, threshold)
+    )
+    return compare_parts(parts, features)
+
+
 def ranked(results: DataFrame) -> DataFrame:
     """Four 1-based rankings of the features; the table has one row per feature."""
     size = F.abs("effect_size_cohens_d")

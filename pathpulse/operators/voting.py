@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathpulse.operators.numbering import MAX_GROUP_ROWS, largest_group, number_rows, seg_block
+from pathpulse.operators.numbering import MAX_GROUP_ROWS, number_rows, seg_block
 
 STRATEGIES = (
     "uniform",
@@ -123,12 +123,13 @@ def entity_block(
     if isinstance(df.schema["entity"].dataType, T.NumericType):
         return F.floor(F.col("entity") / F.lit(size))
     longest = df.agg(F.max(F.length("entity"))).first()[0] or 0
-    while prefix < longest:
-        lead = F.substring("entity", 1, prefix)
-        if largest_group(df.withColumn("_lead", lead), [*keys, "_lead"]) <= most:
-            break
-        prefix += 4
-    return F.substring("entity", 1, prefix)
+    lengths = [*range(prefix, max(longest, prefix), 4), max(longest, prefix)]
+    # the largest block for every length at once
+    leads = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("entity", 1, n).alias("lead")) for n in lengths]))
+    blocks = df.select(*keys, leads.alias("x")).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("rows"))
+    largest = dict(blocks.groupBy("x.n").agg(F.max("rows")).collect())
+    fits = [n for n in lengths if largest.get(n, 0) <= most]
+    return F.substring("entity", 1, fits[0] if fits else lengths[-1])
 
 
 def group_votes(

@@ -40,3 +40,10 @@ AGING_FEATURES = """
     mean_frenetic_score std_frenetic_score
     speed_persistence activity_level speed_skewness speed_kurtosis
 """.split()
+
+# The ten features of the published weighted vote, in their published order.
+VOTING_FEATURES = """
+    median_meandering_ratio mean_meandering_ratio min_meandering_ratio wavelet_turning_level0
+    std_turning_angle turning_entropy wavelet_turning_level1 wavelet_turning_level2
+    speed_fractal_dim wavelet_turning_level3
+""".split()

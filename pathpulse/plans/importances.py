@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pathpulse.operators import classifiers, hypothesis, importance
 from pathpulse.session import cut_lineage
+from pathpulse.sources.stores import write_csv, write_table
 
 
 def score_features(
@@ -20,18 +21,18 @@ def score_features(
     model = classifiers.fit(rows, "Random Forest", **{"numTrees": 50, **overrides})
     forest = importance.forest_importance(rows, names, **overrides)
     shuffled = importance.permutation_importance(model, rows, names, repeats)
-    statistics = (
-        hypothesis.anova(hypothesis.group_moments(segments, names, "label"))
+    return importance.combine_scores(forest, shuffled, statistical_scores(segments, names))
+
+
+def statistical_scores(segments: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
+    """``(feature, f_score, mutual_info, abs_correlation)`` against the label."""
+    correlation = hypothesis.pearson(segments, features, label).select("feature", F.col("abs_r").alias("abs_correlation"))
+    return (
+        hypothesis.anova(hypothesis.group_moments(segments, features, label))
         .select("feature", F.col("f").alias("f_score"))
-        .join(hypothesis.binned_mutual_information(segments, names, "label"), "feature")
-        .join(
-            hypothesis.pearson(segments, names, "label").select(
-                "feature", F.col("abs_r").alias("abs_correlation")
-            ),
-            "feature",
-        )
+        .join(hypothesis.binned_mutual_information(segments, features, label), "feature")
+        .join(correlation, "feature")
     )
-    return importance.combine_scores(forest, shuffled, statistics)
 
 
 def model_rows(segments: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -54,3 +55,20 @@ def sweep_subsets(
     return importance.subset_performance(
         rows, range(len(ranked)), range(k), counts, **{"numTrees": 50, **overrides}
     )
+
+
+def importance_job(
+    segments: DataFrame, path: str, features: Sequence[str], top: int = 20, k: int = 5, max_features: int = 50, **overrides
+) -> dict[str, DataFrame]:
+    """Write all scores, the ``top`` ones, the subset sweep and its choice as CSV and tables; return the tables."""
+    spark = segments.sparkSession
+    write_table(score_features(segments, features, **overrides), f"{path}/all_features")
+    scores = spark.read.parquet(f"{path}/all_features")
+    best = scores.orderBy(F.desc("combined_score"), "feature").limit(top)
+    write_table(sweep_subsets(segments, scores, k, max_features, **overrides), f"{path}/performance")
+    sweep = spark.read.parquet(f"{path}/performance")
+    tables = {"all_features": scores, "top_features": best, "performance": sweep, "choice": importance.best_feature_count(sweep)}
+    for name, order in (("all_features", F.desc("combined_score")), ("top_features", F.desc("combined_score")), ("performance", F.asc("n_features"))):
+        # a row per feature or size: one file keeps their order
+        write_csv(tables[name].coalesce(1).sortWithinPartitions(order), f"{path}/{name}_csv")
+    return tables

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathpulse.operators import labels, trends
 from pathpulse.operators.longview import feature_columns
 from pathpulse.session import cut_lineage
+from pathpulse.sources.stores import write_analyses, write_table
 
 
 def temporal_analysis(
@@ -56,3 +57,15 @@ def summary(results: dict[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def temporal_job(
+    segments: DataFrame, path: str, features: Sequence[str] | None = None, conditions: Sequence[int] = (0, 1)
+) -> DataFrame:
+    """Write every table of the analysis, a folder each, and the summary; return the summary."""
+    spark = segments.sparkSession
+    results = temporal_analysis(segments, features, conditions)
+    write_analyses(results, f"{path}/analyses")
+    stored = {name: spark.read.parquet(f"{path}/analyses/analysis={name}") for name in results}
+    write_table(summary(stored), f"{path}/summary")
+    return spark.read.parquet(f"{path}/summary")
