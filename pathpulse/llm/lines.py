@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathpulse.llm.store import keep
+from pathpulse.llm.store import keep, settled
 
 SPACES = r"[\x20\x09-\x0D]+"
 _MASK = (1 << 56) - 1
@@ -29,14 +29,14 @@ _MASK = (1 << 56) - 1
 class LineDedup:
     """Lines match at 100 * intersection >= percent * union; shorter ones than ``least_tokens`` distinct tokens stay.
 
-    ``buckets`` is the size of the rarity sketch. Up to ``most_broadcast`` documents with lines to look up or
-    to remove are broadcast to the texts; more are joined.
+    ``buckets`` is the size of the rarity sketch. Up to ``most_broadcast`` bytes of lines to look up or to remove
+    are broadcast to the texts; more are joined.
     """
 
     percent: int = 80
-    least_tokens: int = 5
+    least_tokens: int = 1
     buckets: int = 1 << 15
-    most_broadcast: int = 500_000
+    most_broadcast: int = 64 << 20
 
 
 def _words(line: Column) -> Column:
@@ -102,10 +102,11 @@ def _possible(p: LineDedup) -> str:
       AND bit_count(l.bits ^ r.bits) <= l.n + r.n - 2 * ({_needed(p, 'l.n', 'r.n')})"""
 
 
-def _few(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` stored, and broadcast if it has at most ``limit`` rows."""
+def _few(df: DataFrame, lists: str, width: int, limit: int) -> DataFrame:
+    """``df`` stored, and broadcast if its rows, with lists of items of ``width`` bytes, have at most ``limit`` bytes."""
     df = keep(df)
-    return F.broadcast(df) if df.count() <= limit else df
+    size = df.agg(F.sum(F.lit(64) + F.size(lists).cast("long") * width)).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: LineDedup) -> DataFrame:
@@ -114,7 +115,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: LineDedup)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     same = ["n", "low", "high", "bits"]
     places = sets.join(ids, "id").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id", *same)).alias("wanted"))
-    found = docs.join(_few(places, p.most_broadcast), "doc_id")
+    found = docs.join(_few(places, "wanted", 64, p.most_broadcast), "doc_id")
     found = found.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     # where rows repeat a doc_id, only the row that the line came from has its tokens
     own = F.filter(
@@ -195,6 +196,7 @@ def _numbered(sets: DataFrame, lines: DataFrame) -> DataFrame:
 
 def matched_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """(doc_id, line_no) of every line of ``docs`` (doc_id, text) that matches an earlier line; numbers begin at 0."""
+    spark = docs.sparkSession
     lines = keep(_lines(docs, p))
     place = F.struct("doc_id", "line_no")
     first = F.min(F.struct("doc_id", "line_no", "n", "bits", "low", "high", "prefix")).alias("first")
@@ -202,9 +204,12 @@ def matched_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     sets = keep(_numbered(grouped.select("set_a", "set_b", "copies", "first.*"), lines))
     repeated = sets.where("copies > 1").select("set_a", "set_b", place.alias("first"))
     copies = lines.select("set_a", "set_b", "doc_id", "line_no").join(repeated, ["set_a", "set_b"]).where(place != F.col("first"))
-    decided = keep(_verified(_pivot_pairs(sets, p), sets, docs, p))
-    marked = sets.join(decided.withColumn("decided", F.lit(1)), "id", "left")
-    rest = _verified(_joined_pairs(marked.withColumn("undecided", F.expr("CASE WHEN decided IS NULL THEN 1 ELSE 0 END")), p), sets, docs, p)
+    # a set too small to lose a token matches its equals only, which are one row here
+    able = sets.where(100 * F.col("n") >= p.percent * (F.col("n") + 1))
+    decided = settled(spark, lambda: _verified(_pivot_pairs(able, p), able, docs, p))
+    marked = able.join(decided.withColumn("decided", F.lit(1)), "id", "left")
+    marked = marked.withColumn("undecided", F.expr("CASE WHEN decided IS NULL THEN 1 ELSE 0 END"))
+    rest = settled(spark, lambda: _verified(_joined_pairs(marked, p), able, docs, p))
     near = sets.join(decided.unionByName(rest).distinct(), "id")
     return copies.select("doc_id", "line_no").unionByName(near.select("doc_id", "line_no")).distinct()
 
@@ -213,22 +218,27 @@ def without_matched_lines(docs: DataFrame, p: LineDedup = LineDedup(), doc_id: s
     """``docs`` with lines removed that match an earlier line, and n_lines (before) and n_removed.
 
     Earlier means a smaller (doc_id, line number), whether or not that line stays. Tokens are runs of characters
-    other than ASCII white space; lines of fewer than five different tokens always stay. A null text stays
-    null without lines; rows without id lose nothing and remove nothing; rows that repeat an id are one document,
+    other than ASCII white space; lines without any stay. A long text, or many lines of one, is no case of its
+    own. A null text stays null without lines; rows without id lose nothing and remove nothing; rows that repeat an id are one document,
     whose lines at the same place are not held against each other. Other columns stay as they are, but
     columns named n_lines and n_removed are replaced; an empty table stays empty.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    removed = matched_lines(source, p).groupBy("doc_id").agg(F.collect_list("line_no").alias("__removed"))
-    removed = _few(removed.withColumnRenamed("doc_id", "__doc"), p.most_broadcast)
-    lines = F.split(text, "\n")
-    left = F.filter(lines, lambda line, k: ~F.array_contains("__removed", k))
+    removed = settled(
+        docs.sparkSession,
+        lambda: matched_lines(source, p).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line_no").alias("__removed")),
+    )
+    removed = _few(removed, "__removed", 4, p.most_broadcast)
+    # a generator splits a text once; as an expression inside the lambda it would be split for every line
+    lines = F.explode(F.array(F.split(text, "\n"))).alias("__lines")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__removed"))
+    left = F.transform(stay, lambda k: F.get("__lines", k))
     return (
-        docs.drop("n_lines", "n_removed").join(removed, F.col(doc_id) == F.col("__doc"), "left")
-        .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))
+        docs.drop("n_lines", "n_removed").join(removed, F.col(doc_id) == F.col("__doc"), "left").select("*", lines)
+        .withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)))
         .withColumn("n_removed", F.coalesce(F.size("__removed"), F.lit(0)))
         .withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
-        .drop("__doc", "__removed")
+        .drop("__doc", "__removed", "__lines")
     )
 
 

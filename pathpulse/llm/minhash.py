@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pathpulse.llm.store import components, in_blocks, keep
+from pathpulse.llm.store import components, in_blocks, keep, settled
 from pathpulse.llm.words import as_binary, distinct, mix, per_text, shingles, texts, words
 
 
@@ -183,7 +184,8 @@ def _near(units: DataFrame, p: MinHash) -> DataFrame:
 
     order = ["key", "left", "right"]
     rows = units.select(*order, "block", "rep", "n_shingles", "signature")
-    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    # by rep inside a unit, so that every forest hangs from its smallest one
+    return rows.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(run, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -252,8 +254,11 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), doc_id: str = "doc_
     none and is linked with nothing. Documents with equal sets are always linked. component_id is the
     smallest doc_id reached over links. Rows that repeat a doc_id are linked by their texts; if two texts
     share a doc_id, the id joins their components. A null doc_id gets a null component and kept true.
-    Other columns of ``docs`` are ignored; an empty table gives an empty result.
+    Ids that are no whole numbers are compared as they sort. Other columns of ``docs`` are ignored; an empty table
+    gives an empty result; a long text is read whole, in a slice of its own.
     """
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        return _by_number(docs, p, doc_id, text)
     signed = keep(signatures(docs, p, doc_id, text))
     known = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["set_a", "set_b", "n_shingles"]
@@ -261,7 +266,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), doc_id: str = "doc_
     units = in_blocks(_keys(reps, p), ["key"], "rep", p.bucket_block).join(
         reps.select("rep", "n_shingles", "signature"), "rep"
     )
-    families = keep(components(_near(units, p).distinct()))
+    families = settled(docs.sparkSession, lambda: components(_near(units, p).distinct()))
     roots = families.select("root").distinct().select("root", F.col("root").alias("node"))
     members = families.unionByName(roots)
     wanted = members.select(F.col("node").alias("rep"), F.col("root").alias("family"))
@@ -274,7 +279,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), doc_id: str = "doc_
     alias = known.join(reps.select(*same, "rep"), same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = alias.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high")
     extra = alias.join(repeated.select("a", "low"), "a").where("low <> b").select(F.col("low").alias("a"), "b")
-    found = components(links.unionByName(extra))
+    found = settled(docs.sparkSession, lambda: components(links.unionByName(extra)))
     ids = signed.join(reps.select(*same, "rep"), same, "left").join(
         found.select(F.col("node").alias("rep"), F.col("root")), "rep", "left"
     )
@@ -282,3 +287,16 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), doc_id: str = "doc_
     return ids.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def _by_number(docs: DataFrame, p: MinHash, doc_id: str, text: str) -> DataFrame:
+    """``near_duplicates`` of texts with other ids, by each id's place in their order."""
+    ids = docs.select(docs[doc_id].alias("id")).where("id is not null").distinct()
+    places = keep(ids.orderBy("id").withColumn("place", F.monotonically_increasing_id()))
+    named = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).join(places, "id", "left")
+    found = near_duplicates(named.select("place", "text"), p, "place", "text")
+    first = places.select(F.col("place").alias("component_id"), F.col("id").alias("component"))
+    own = places.select(F.col("place").alias("doc_id"), "id")
+    return found.join(first, "component_id", "left").join(own, "doc_id", "left").select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept"
+    )

@@ -2,24 +2,64 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathpulse.session import ensure_checkpoint_dir
 
 
+#: Paths of the tables made in each open scope, innermost last.
+_scopes: list[list[str]] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it again.
 
-    The table survives a lost executor and is small on disk; the folder is the cluster's to clean.
+    The table survives a lost executor and is small on disk. Inside ``settled`` it goes when that ends; else it is
+    the cluster's to clean.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, stored, without the tables that it kept on its way; also if it fails.
+
+    The driver's garbage is collected too, upon which Spark removes the shuffle files of the finished jobs.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        out = build()
+        schema = out.schema
+        path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+    finally:
+        _scopes.remove(made)
+        _remove(spark, made)
+    if _scopes:
+        _scopes[-1].append(path)
+    del out
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = files.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def key_hash(column: str) -> Column:
     """crc32 of the key as text; NULL for a null key."""
     return F.crc32(F.col(column).cast("string"))
@@ -48,6 +88,14 @@ def in_blocks(members: DataFrame, group: list[str], item: str, limit: int) -> Da
     )
 
 
+def _smaller(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), v smaller, with every u and its other neighbours tied to u's smallest neighbour."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    joined = edges.join(least, "u")
+    pairs = F.array(F.struct("u", "m"), F.when(F.col("v") != F.col("m"), F.struct(F.col("v").alias("u"), "m")))
+    return joined.select(F.explode(F.array_compact(pairs)).alias("e")).select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b) as (node, root): root is the smallest node reached.
 
@@ -55,18 +103,14 @@ def components(edges: DataFrame) -> DataFrame:
     no rows; self-loops and repeated edges do no harm.
     """
     down = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    stars = keep(edges.where("a <> b").select(*down).distinct())
+    # one small step first: a node that many forests gave a parent keeps the smallest, and so do these parents
+    stars = keep(_smaller(edges.where("a <> b").select(*down).distinct()))
     before = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select("u", F.col("m").alias("v")).unionByName(
-            joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        stars = keep(small.distinct())
+        stars = keep(_smaller(large))
         state = stars.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("v")
         ).first()

@@ -8,7 +8,7 @@ import pytest
 from pathpulse.llm.lines import LineDedup, matched_lines, without_matched_lines
 
 
-def brute(rows, percent=80, least=5):
+def brute(rows, percent=80, least=1):
     lines = []
     for doc, text in rows:
         if doc is not None and text is not None:
@@ -39,7 +39,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("p", [LineDedup(), LineDedup(buckets=4, most_broadcast=0), LineDedup(percent=60, least_tokens=2)])
+@pytest.mark.parametrize("p", [LineDedup(), LineDedup(buckets=4, most_broadcast=0), LineDedup(percent=60, least_tokens=2), LineDedup(least_tokens=5)])
 def test_removes_what_all_pairs_remove(spark, p):
     rows = corpus(p.percent) + [(500, None), (501, ""), (502, "\n\n"), (None, "a b c d e f"), (503, "a b c d e f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -49,10 +49,10 @@ def test_removes_what_all_pairs_remove(spark, p):
 
 
 def test_texts_and_other_columns(spark):
-    rows = [(1, "a b c d e\nx\na b c d e f", 7), (2, "a b c d e\n q r s t u", 8), (3, None, 9), (None, "a b c d e", 1), (4, "", 2), (4, "", 3)]
+    rows = [(1, "a b c d e\nx\na b c d e f", 7), (2, "a b c d e\n q r s t u\nx", 8), (3, None, 9), (None, "a b c d e", 1), (4, "", 2), (4, "", 3)]
     got = without_matched_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int")).collect()
     assert sorted((r.doc_id or 0, r.text or "-", r.n_lines, r.n_removed) for r in got) == [
-        (0, "a b c d e", 1, 0), (1, "a b c d e\nx", 3, 1), (2, " q r s t u", 2, 1), (3, "-", 0, 0), (4, "-", 1, 0), (4, "-", 1, 0),
+        (0, "a b c d e", 1, 0), (1, "a b c d e\nx", 3, 1), (2, " q r s t u", 3, 2), (3, "-", 0, 0), (4, "-", 1, 0), (4, "-", 1, 0),
     ]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert without_matched_lines(empty).collect() == []
@@ -64,3 +64,15 @@ def test_ids_that_do_not_pack_and_ids_of_text(spark):
         given = [(name(k), t) for k, t in rows]
         got = {tuple(r) for r in matched_lines(spark.createDataFrame(given, f"doc_id {kind}, text string")).collect()}
         assert got == brute(given)
+
+
+def test_short_lines_and_lines_without_blanks(spark):
+    rows = [(1, "All rights reserved.\n\nyes\n一个没有空格的句子"), (2, "yes\nAll rights reserved.\n \nno"), (3, "一个没有空格的句子\nb a"), (4, "a b\na b c d\na b c d e")]
+    got = {r.doc_id: r.text for r in without_matched_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\n \nno"[1:], 3: "b a", 4: "a b c d"}
+
+
+def test_many_equal_lines_of_one_text(spark):
+    text = "\n".join(["one two three", "", "four"] * 40_000)
+    row = without_matched_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_removed == 79_998 and row.text.replace("\n", "") == "one two threefour" and row.n_lines == 120_000

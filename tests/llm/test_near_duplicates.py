@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from pathpulse.llm.minhash import MinHash, near_duplicates, overlaps
-from pathpulse.llm.store import components
+from pathpulse.llm.store import _smaller, components, keep, settled
+from pathpulse.session import ensure_checkpoint_dir
 
 SCHEMA = "doc_id long, text string, rep long, key string, family int, n_shingles string"
 
@@ -71,3 +72,30 @@ def test_overlaps_count_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, n)).astype(np.uint64) for n in (0, 1, 20, 30, 39)]
     assert overlaps(sets).tolist() == [[len(set(a) & set(b)) for b in sets] for a in sets]
+
+
+def test_ids_of_text(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "x y z u v w"), (None, "x y z u v w"), ("d", None)]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"b": ("a", False), "a": ("a", True), "c": ("c", True), "d": ("d", True), None: (None, True)}
+
+
+def test_a_hub_of_many_forests_shrinks_at_once(spark):
+    rng = np.random.default_rng(3)
+    edges = [(u, int(v)) for u in range(60, 1500) for v in rng.choice(60, 12, replace=False)]
+    table = spark.createDataFrame(edges, "u long, v long")
+    assert _smaller(table).count() < 1440 + 60 * 60
+    found = {r.node: r.root for r in components(table.toDF("a", "b")).collect()}
+    assert found == {k: 0 for k in range(1, 1500)}
+
+
+def test_a_settled_table_leaves_nothing_else(spark):
+    import os
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = settled(spark, lambda: keep(keep(spark.range(9)).where("id > 3")).selectExpr("id * 2 AS id"))
+    assert sorted(r.id for r in out.collect()) == [8, 10, 12, 14, 16] and len(set(os.listdir(folder)) - before) == 1
+    with pytest.raises(ZeroDivisionError):
+        settled(spark, lambda: keep(spark.range(5)).where(str(1 / 0)))
+    assert len(set(os.listdir(folder)) - before) == 1
