@@ -3,11 +3,15 @@
 The field's nodes are the patterns' own finds and other candidates: number runs, and mail addresses that are
 written with ``(at)`` and ``(dot)``. A node's potential is a multinomial logistic model of its shape. Neighbouring nodes
 are joined by chain edges; nodes that repeat or resemble one another (the same address, or the same last
-digits) are joined by skip edges, however far apart, each to the one before it. Loopy sum-product messages over all
-edges make the labels of a document agree, and a candidate whose marginal is high enough is added.
-
-All potentials are learned piecewise from the patterns' finds in all texts: the logistic model from counts of
-shapes and labels, the edges' from counts of label pairs. Both tables are bounded by the number of shapes and labels.
+digits) are joined by skip edges, however far apart: all to the first find among them, or, without a find, each
+to the one before it. Loopy sum-product messages over all edges, until they change no more, make the labels of a
+document agree, and a candidate whose marginal is high enough is added.
+
+All potentials are learned piecewise from all texts: the logistic model from counts of shapes and labels, the edges'
+from counts of label pairs. Finds count under their labels and candidates that resemble no find as none;
+candidates that resemble one are unlabelled, and neither they nor their edges are counted, so that however often a text
+repeats a find unmarked, it doesn't teach that such places are none. Both tables are bounded by the number of shapes
+and labels.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +49,11 @@ Span = tuple[str, int, int]
 
 @dataclass(frozen=True)
 class SkipChain:
-    """Rounds and damping of the messages, the marginal that adds a span, and the pairs counted before any is seen."""
+    """Change at which messages have settled (and the rounds after which they are left as they are, if they swing),
+    their damping, the marginal that adds a span, and the pairs counted before any is seen."""
 
-    rounds: int = 10
+    tolerance: float = 1e-5
+    rounds: int = 2000
     damping: float = 0.3
     least: float = 0.9
     same: float = 20.0
@@ -161,25 +167,31 @@ def _likeness(found: str) -> str:
 
 @dataclass
 class Graph:
-    """Nodes of some texts: text, place, label so far (0 for a candidate), shape; chain and skip edges."""
+    """Nodes of some texts: text, place, label so far (0 for a candidate), shape; chain and skip edges; the candidates
+    that resemble a find of their text."""
 
-    nodes: list[tuple[int, int, int, int, str]]
-    chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    nodes: list[tuple[int, int, int, int, str]] = field(default_factory=list)
+    chain: list[tuple[int, int]] = field(default_factory=list)
+    skip: list[tuple[int, int]] = field(default_factory=list)
+    unlabelled: set[int] = field(default_factory=set)
 
     def add(self, number: int, text: str, base: list[Span]) -> None:
         rows = {(a, b): LABELS.index(kind) for kind, a, b in reversed(base)}
         rows.update({span: 0 for span in _candidates(text, base)})
-        last: dict[str, int] = {}
+        alike: dict[str, list[int]] = {}
         for k, ((a, b), label) in enumerate(sorted(rows.items())):
             node = len(self.nodes)
             self.nodes.append((number, a, b, label, shape(text[a:b])))
             if k:
                 self.chain.append((node - 1, node))
-            key = _likeness(text[a:b])
-            if key in last:
-                self.skip.append((last[key], node))
-            last[key] = node
+            alike.setdefault(_likeness(text[a:b]), []).append(node)
+        for mentions in alike.values():
+            first = next((n for n in mentions if self.nodes[n][3]), None)
+            if first is None:
+                self.skip += zip(mentions, mentions[1:])
+                continue
+            self.skip += ((min(first, n), max(first, n)) for n in mentions if n != first)
+            self.unlabelled.update(n for n in mentions if not self.nodes[n][3])
 
 
 def _scanned(column: pa.Array) -> Iterator[tuple[int, str, list[Span]]]:
@@ -200,13 +212,13 @@ def _counts(docs: DataFrame) -> Counter:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            graph = Graph([], [], [])
+            graph = Graph()
             for number, text, base in _scanned(batch.column(0)):
                 graph.add(number, text, base)
-            label = [n[3] for n in graph.nodes]
-            seen.update((n[4], n[3], 0) for n in graph.nodes)
+            label, open_ = [n[3] for n in graph.nodes], graph.unlabelled
+            seen.update((n[4], n[3], 0) for k, n in enumerate(graph.nodes) if k not in open_)
             for name, edges in (("chain", graph.chain), ("skip", graph.skip)):
-                seen.update((name, *sorted((label[a], label[b]))) for a, b in edges)
+                seen.update((name, *sorted((label[a], label[b]))) for a, b in edges if a not in open_ and b not in open_)
         if seen:
             rows = [(*k, n) for k, n in seen.items()]
             yield pa.RecordBatch.from_arrays(
@@ -284,7 +296,7 @@ def _logistic(design: np.ndarray, seen: np.ndarray, penalty: float) -> np.ndarra
 
 
 def marginals(field: Field, graph: Graph, p: SkipChain) -> np.ndarray:
-    """Label probabilities of all nodes after rounds of damped sum-product messages; found nodes are fixed."""
+    """Label probabilities of all nodes from damped sum-product messages that have settled; found nodes are fixed."""
     unary = field.unary([n[4] for n in graph.nodes])
     label = np.array([n[3] for n in graph.nodes], np.int64)
     fixed = np.flatnonzero(label)
@@ -301,7 +313,10 @@ def marginals(field: Field, graph: Graph, p: SkipChain) -> np.ndarray:
         np.add.at(belief, target, messages)
         fresh = np.logaddexp.reduce((belief[source] - messages[back])[:, :, None] + pair, axis=1)
         fresh -= fresh.max(axis=1, keepdims=True)
-        messages = p.damping * messages + (1 - p.damping) * fresh
+        change = (1 - p.damping) * (fresh - messages)
+        messages = messages + change
+        if np.abs(change).max() <= p.tolerance:
+            break
     belief = unary.copy()
     np.add.at(belief, target, messages)
     belief = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -317,7 +332,7 @@ def personal_data(docs: DataFrame, p: SkipChain = SkipChain(), doc_id: str = "do
     """Spans of personal data of every row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     The counts and the digest are of the patterns' finds; ``spans`` has those and the field's additions as
-    kind:start:end, in code points. A null text is empty and has none. Repeated rows are learned from and
+    kind:start:end, in code points. A null text is empty and has none; a long one is one field, whole. Repeated rows are learned from and
     searched each; other columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -328,7 +343,7 @@ def personal_data(docs: DataFrame, p: SkipChain = SkipChain(), doc_id: str = "do
             base: dict[int, list[Span]] = {}
             added: dict[int, list[Span]] = {}
             held: dict[int, str] = {}
-            graph = Graph([], [], [])
+            graph = Graph()
             for number, text_, spans in _scanned(batch.column(1)):
                 base[number] = spans
                 nodes = len(graph.nodes)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pathpulse.llm.personal import base_spans, luhn, personal_data
+from pathpulse.llm.personal import Field, Graph, SkipChain, base_spans, luhn, marginals, personal_data
 from pathpulse.llm.pitman_yor import PitmanYor, language_scores, seat
 from pathpulse.llm.quality import quality_scores
 
@@ -136,3 +137,38 @@ def test_field_adds_what_agrees_and_leaves_the_rest(spark, small):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(counts[k] for k in PATTERNS)
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
     assert personal_data(both.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 5, 8, 60])
+def test_all_unmarked_repeats_of_a_find_are_added(spark, small, m):
+    folder = small.replace("0.001", "0.01")
+    mention = "1 (407) 555-7710"
+    text = " then ".join([mention] * m) + " or +1 (407) 555-7710 now"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(90001, text)], "doc_id long, text string")
+    )
+    spans = next(r.spans for r in personal_data(docs).collect() if r.doc_id == 90001).split(",")
+    places = [k * (len(mention) + 6) for k in range(m)]
+    assert spans == [f"phone:{a}:{a + len(mention)}" for a in places] + [f"phone:{len(text) - 21}:{len(text) - 4}"]
+
+
+def test_marginals_equal_enumeration_on_trees_and_settle_on_loops():
+    rng = np.random.default_rng(4)
+    pair = [np.log(rng.random((5, 5)) + 0.1) for _ in range(2)]
+    chain, skip = (x + x.T for x in pair)
+    weights = rng.normal(size=(3, 5))
+    model = Field({(0, "s"): 1, (0, "t"): 2}, weights, chain, skip)
+    for edges, loop in ((([(0, 1), (1, 2)], [(2, 3)]), False), (([(0, 1), (1, 2), (2, 3)], [(0, 3)]), True)):
+        graph = Graph([(0, k, k, 2 if k == 3 else 0, "st"[k % 2]) for k in range(4)], *edges)
+        unary = model.unary([n[4] for n in graph.nodes])
+        want = np.zeros((4, 5))
+        for labels in itertools.product(range(5), repeat=4):
+            if labels[3] == 2:
+                total = sum(unary[k, x] for k, x in enumerate(labels))
+                total += sum(chain[labels[a], labels[b]] for a, b in edges[0]) + sum(skip[labels[a], labels[b]] for a, b in edges[1])
+                for k, x in enumerate(labels):
+                    want[k, x] += np.exp(total)
+        want /= want.sum(axis=1, keepdims=True)
+        got = marginals(model, graph, SkipChain(tolerance=1e-10))
+        # the found node is fixed, which opens this loop
+        assert np.abs(got - want).max() < 1e-6, loop
