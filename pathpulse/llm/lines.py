@@ -55,6 +55,17 @@ def _bitmap(tokens: Column | str) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseXOR(bit(x)))
 
 
+#: Words of the wide bitmap that pairs are held against before their sets.
+WIDE = 4
+
+
+def _wide_bitmap(tokens: Column | str) -> list[Column]:
+    """Parity of the tokens on each of 256 bits, in four columns ``w0`` to ``w3``."""
+    word = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WIDE - 1))
+    parts = [F.filter(tokens, lambda x, k=k: word(x) == k) for k in range(WIDE)]
+    return [_bitmap(part).alias(f"w{k}") for k, part in enumerate(parts)]
+
+
 def _magnitudes(docs: DataFrame, p: LineDedup) -> bytearray:
     """One byte for every bucket of token hashes: the number of bits of its count over all texts."""
     tokens = docs.select(F.explode(F.split("text", SPACES)).alias("token"))
@@ -124,6 +135,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: LineDedup)
     )
     full = found.select("w.id", F.explode(own).alias("tokens"))
     full = keep(full.withColumn("brief", F.array_distinct(F.transform("tokens", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short")))))
+    # wide bitmaps differ in no more bits than the sets in tokens; they are short, and most pairs end here
+    apart = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(WIDE)), F.lit(0))
+    seen = _both(pairs, full.select("id", F.size("tokens").alias("n"), *_wide_bitmap("tokens")))
+    pairs = keep(seen.where((100 + p.percent) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * p.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
     # tokens cut to 15 bits give an upper bound of the common ones; few pairs that pass it don't match
     lost = F.least(F.col("n_a") - F.size("brief_a"), F.col("n_b") - F.size("brief_b"))
     bound = F.size(F.array_intersect("brief_a", "brief_b")) + lost
