@@ -61,9 +61,10 @@ WIDE = 4
 
 def _wide_bitmap(tokens: Column | str) -> list[Column]:
     """Parity of the tokens on each of 256 bits, in four columns ``w0`` to ``w3``."""
-    word = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WIDE - 1))
-    parts = [F.filter(tokens, lambda x, k=k: word(x) == k) for k in range(WIDE)]
-    return [_bitmap(part).alias(f"w{k}") for k, part in enumerate(parts)]
+    def part(k: int) -> Column:
+        return F.filter(tokens, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WIDE - 1)) == k)
+
+    return [_bitmap(part(k)).alias(f"w{k}") for k in range(WIDE)]
 
 
 def _magnitudes(docs: DataFrame, p: LineDedup) -> bytearray:
