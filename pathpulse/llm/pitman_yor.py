@@ -1,15 +1,16 @@
 """A hierarchical Pitman-Yor language model of word contexts, seated by Gibbs sampling.
 
-Every context is a restaurant; a context is the previous word's class (one of ``contexts`` hash classes,
-which the most frequent words have almost to themselves) or the beginning of a text. All contexts share one
-parent, the restaurant of single words, which rests on the uniform distribution. A context's tables are the
-parent's customers.
-
-Seating depends on a restaurant's totals and on the counts of the word alone, so the state is dealt by words:
-a sweep empties one word's customers out of every restaurant and seats them again one by one, given the
-totals of the sweep before. Large counts are seated in steps of a sixteenth of those that sit. Sweeps draw from
-generators seeded by place and sweep, so any task can be run again, and a sweep is rebuilt from the counts
-instead of being stored. Predictive probabilities are averaged over the samples kept.
+Every context is a restaurant; a context is the previous word, or the beginning of a text, so contexts grow with
+the vocabulary. All contexts share one parent, the restaurant of single words, which rests on the uniform
+distribution. A context's tables are the parent's customers.
+
+The state is dealt by words into buckets: a sweep empties one word's customers out of every restaurant and seats
+them again one by one, given the restaurants' totals of the sweep before. After a sweep every bucket sends the tables
+of its contexts to the contexts' own buckets, which add them up and answer in the same order: totals are a table of
+Spark's, never an array of the driver's. Pairs of the most frequent words are dealt by their contexts too, and
+only these few words' sums pass the driver. Large counts are seated in steps of a sixteenth of those that sit.
+Sweeps draw from generators seeded by place and sweep, so any task can be run again, and a sweep is rebuilt from the
+counts and the totals instead of being stored. Predictive probabilities are averaged over the samples kept.
 
 Texts are dealt into blocks of bounded size. A block asks for its distinct (context, word) pairs, the model
 answers in the same order, and the block scores its texts; neither texts nor vocabulary pass the driver.
@@ -26,11 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathpulse.llm.store import keep, key_hash
+from pathpulse.llm.store import keep, key_hash, settled
 from pathpulse.llm.words import Text, mix, texts, words
 
-#: Hash that stands for the end of a text.
+#: Hashes that stand for the end of a text and, as a context, for its beginning.
 END = np.uint64(0xE2D0F7E37)
+BEGIN = np.uint64(0xB0E61A9C5D3F7E21)
 
 
 @dataclass(frozen=True)
@@ -38,10 +40,12 @@ class PitmanYor:
     """``sweeps`` of Gibbs sampling, of which the last ``samples`` are averaged; strengths are fixed.
 
     Discounts are estimated from the counts of once and twice seen pairs (n1 / (n1 + 2 n2)).
-    ``block_bytes`` bounds the text that one task scores at a time.
+    ``block_bytes`` bounds the text that one task scores at a time. Pairs of the ``hot_words`` most frequent words of
+    some ``sample_bytes`` of text are dealt by context as well; that decides where pairs lie, not how they count.
     """
 
-    contexts: int = 512
+    hot_words: int = 2048
+    sample_bytes: int = 16 << 20
     sweeps: int = 4
     samples: int = 2
     strength: float = 1.0
@@ -94,22 +98,49 @@ def _packets(docs: DataFrame, blocks: int) -> DataFrame:
     )
 
 
+@dataclass
+class Deal:
+    """Where pairs lie: 2 ** bits buckets by word, or by word and context for the words in ``hot`` (ascending)."""
+
+    hot: np.ndarray
+    bits: int
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash in ``hot``, or -1."""
+        if not len(self.hot):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
+        return np.where(self.hot[at] == hashes, at, -1)
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
+
+    def keys(self, contexts: np.ndarray) -> np.ndarray:
+        """A context's bucket and the next 32 bits of its hash."""
+        return contexts >> np.uint64(32 - self.bits)
+
+
 @dataclass
 class Block:
-    """Tokens of a block: distinct words, distinct pairs (in word order), and the pair of every token."""
+    """Tokens of a block: its pairs by (bucket, word, context) and the pair of every token.
+
+    ``group`` numbers the (bucket, word) of a pair; ``contexts`` are the hashes that ``pair_context`` points to.
+    """
 
     ids: list
     learned: np.ndarray
     of: np.ndarray
-    words: np.ndarray
-    pair_word: np.ndarray
+    contexts: np.ndarray
+    group_word: np.ndarray
+    group_bucket: np.ndarray
+    group: np.ndarray
     pair_context: np.ndarray
     token_pair: np.ndarray
 
 
-def _read(packets: pa.Table, contexts: int) -> Block:
+def _read(packets: pa.Table, deal: Deal) -> Block:
     open_ = zstandard.ZstdDecompressor()
-    ids, learned, hashes, classes, sizes = [], [], [], [], []
+    ids, learned, hashes, sizes = [], [], [], []
     for k in range(packets.num_rows):
         lengths = np.array(packets.column("sizes")[k].as_py(), np.int64)
         data = np.frombuffer(open_.decompress(packets.column("data")[k].as_py()), np.uint8) if lengths.any() else np.zeros(0, np.uint8)
@@ -118,54 +149,78 @@ def _read(packets: pa.Table, contexts: int) -> Block:
         at = np.concatenate(([0], np.cumsum(lengths)))
         column = pa.Array.from_buffers(pa.large_utf8(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(data)])
         for part in texts(column):
-            h, c, n = _tokens(part, contexts)
+            h, n = _tokens(part)
             hashes.append(h)
-            classes.append(c)
             sizes.append(n)
-    hashes, classes, sizes = (np.concatenate(x) for x in (hashes, classes, sizes))
+    hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
+    of = np.concatenate(([0], np.cumsum(sizes)))
     distinct, word = np.unique(hashes, return_inverse=True)
-    pairs, token_pair = np.unique(word * contexts + classes, return_inverse=True)
+    before = np.concatenate(([0], word[:-1]))
+    before[of[:-1]] = len(distinct)
+    pairs, token_pair = np.unique(word * (len(distinct) + 1) + before, return_inverse=True)
+    pair_word, pair_context = np.divmod(pairs, len(distinct) + 1)
+    contexts = np.append(distinct, BEGIN)
+    bucket = deal.bucket(distinct)[pair_word]
+    split = np.flatnonzero(deal.place(distinct)[pair_word] >= 0)
+    bucket[split] = deal.bucket(mix(distinct[pair_word[split]] ^ mix(contexts[pair_context[split]])))
+    order = np.argsort(bucket, kind="stable")
+    spot = np.empty(len(order), np.int64)
+    spot[order] = np.arange(len(order))
+    bucket, pair_word = bucket[order], pair_word[order]
+    new = np.append(True, (bucket[1:] != bucket[:-1]) | (pair_word[1:] != pair_word[:-1]))
     return Block(
-        ids, np.array(learned, bool), np.concatenate(([0], np.cumsum(sizes))), distinct,
-        pairs // contexts, pairs % contexts, token_pair,
+        ids, np.array(learned, bool), of, contexts, distinct[pair_word[new]], bucket[new], np.cumsum(new) - 1,
+        pair_context[order], spot[token_pair],
     )
 
 
-def _tokens(part: Text, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the tokens of some texts with their ends, the context of each, and tokens per text."""
+def _tokens(part: Text) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of some texts with their ends, and tokens per text."""
     w = words(part, fold=True)
-    hashes = np.insert(w.hashes, w.of[1:], END)
-    of = w.of + np.arange(len(w.of))
-    classes = np.empty(len(hashes), np.int64)
-    classes[1:] = mix(hashes[:-1]) % np.uint64(contexts - 1)
-    classes[of[:-1]] = contexts - 1
-    return hashes, classes, np.diff(of)
+    return np.insert(w.hashes, w.of[1:], END), np.diff(w.of) + 1
 
 
-def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+def _hot_words(source: DataFrame, size: int, p: PitmanYor) -> np.ndarray:
+    """Hashes of the most frequent words of a part of the texts of bounded size, ascending."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in texts(batch.column(0)):
+                found, n = np.unique(_tokens(part)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
-def _requests(packets: DataFrame, p: PitmanYor, bits: int) -> DataFrame:
-    """Per block and bucket of words: the words, their pairs, and the pairs' counts in learned texts."""
+    part = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 + size // p.sample_bytes)) == 0).select("text")
+    counts = part.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "hash").limit(p.hot_words).collect()
+    return np.sort(np.array([r.hash for r in rows], np.int64).view(np.uint64))
+
+
+def _requests(packets: DataFrame, deal: Deal) -> DataFrame:
+    """Per block and bucket: the words, their pairs, the pairs' contexts, and their counts in learned texts."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        b = _read(table, p.contexts)
+        b = _read(table, deal)
         seen = np.repeat(b.learned, np.diff(b.of))
-        counts = np.bincount(b.token_pair[seen], minlength=len(b.pair_word)).astype(np.uint32)
-        edges = np.searchsorted(_bucket(b.words, bits), np.arange((1 << bits) + 1))
-        pair_edges = np.searchsorted(b.pair_word, edges)
+        counts = np.bincount(b.token_pair[seen], minlength=len(b.group)).astype(np.uint32)
+        edges = np.searchsorted(b.group_bucket, np.arange((1 << deal.bits) + 1))
+        pair_edges = np.searchsorted(b.group, edges)
         rows = []
         for k in np.flatnonzero(np.diff(edges)).tolist():
             w, e = slice(edges[k], edges[k + 1]), slice(pair_edges[k], pair_edges[k + 1])
-            pairs = np.bincount(b.pair_word[e] - edges[k], minlength=edges[k + 1] - edges[k]).astype(np.uint16)
-            rows.append((k, key[0].as_py(), b.words[w].tobytes(), pairs.tobytes(), b.pair_context[e].astype(np.uint16).tobytes(), _narrow(counts[e])))
-        columns = list(zip(*rows)) or [[]] * 6
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            pairs = np.bincount(b.group[e] - edges[k], minlength=edges[k + 1] - edges[k]).astype(np.uint32)
+            used, context = np.unique(b.pair_context[e], return_inverse=True)
+            rows.append((
+                k, key[0].as_py(), b.group_word[w].tobytes(), pairs.tobytes(), deal.keys(b.contexts[used]).tobytes(),
+                context.astype(np.uint32).tobytes(), _narrow(counts[e]),
+            ))
+        columns = list(zip(*rows)) or [[]] * 7
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    names = ["bucket", "block", "words", "pairs", "contexts", "counts"]
-    return packets.groupBy("block").applyInArrow(run, "bucket int, block int, words binary, pairs binary, contexts binary, counts binary")
+    names = ["bucket", "block", "words", "pairs", "keys", "contexts", "counts"]
+    return packets.groupBy("block").applyInArrow(
+        run, "bucket int, block int, words binary, pairs binary, keys binary, contexts binary, counts binary"
+    )
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -180,50 +235,62 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _merged(requests: DataFrame, contexts: int) -> DataFrame:
-    """Per bucket: counts of all its pairs, statistics, and for each block where its pairs and words lie."""
+def _merged(requests: DataFrame, deal: Deal) -> DataFrame:
+    """Per bucket: its contexts, counts of all its pairs, statistics, and for each block where its pairs and words lie.
+
+    ``facts``: counts of the hot words, their contexts, then tokens, other words, pairs seen once and twice, and other
+    words with one and two contexts.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        parts = []
-        for row in table.to_pylist():
-            hashes, pairs = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["pairs"], np.uint16)
-            context = np.frombuffer(row["contexts"], np.uint16).astype(np.int64)
-            parts.append((row["block"], hashes, pairs, context, _wide(row["counts"], len(context))))
-        parts.sort(key=lambda x: x[0])
-        every, word = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
-        pair_word = np.repeat(word, np.concatenate([x[2] for x in parts]).astype(np.int64))
-        codes, pair = np.unique(pair_word * contexts + np.concatenate([x[3] for x in parts]), return_inverse=True)
-        counts = np.bincount(pair, np.concatenate([x[4] for x in parts]), len(codes)).astype(np.int64)
-        in_context = np.bincount(codes % contexts, counts, contexts).astype(np.int64)
-        per_word = np.bincount(codes // contexts, counts, len(every)).astype(np.int64)
-        kinds = np.bincount(codes // contexts, counts > 0, len(every)).astype(np.int64)
-        facts = [per_word.sum(), (per_word > 0).sum(), *((x == n).sum() for x in (counts, kinds) for n in (1, 2))]
-        word_at = np.cumsum([0, *(len(x[1]) for x in parts)])
-        pair_at = np.cumsum([0, *(len(x[3]) for x in parts)])
+        table = table.sort_by("block")
+        read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+        blocks, hashes, pairs = table.column("block").to_pylist(), read("words", np.uint64), read("pairs", np.uint32)
+        keys, contexts = read("keys", np.uint64), read("contexts", np.uint32)
+        asked_counts = [_wide(x, len(c)) for x, c in zip(table.column("counts").to_pylist(), contexts)]
+        every, word = np.unique(np.concatenate(hashes), return_inverse=True)
+        own, key_at = np.unique(np.concatenate(keys), return_inverse=True)
+        first = np.cumsum([0, *map(len, keys)])
+        context = key_at[np.concatenate([c.astype(np.int64) + f for c, f in zip(contexts, first)])]
+        pair_word = np.repeat(word, np.concatenate(pairs).astype(np.int64))
+        codes, pair = np.unique(pair_word * len(own) + context, return_inverse=True)
+        counts = np.bincount(pair, np.concatenate(asked_counts), len(codes)).astype(np.int64)
+        of_word, of_context = np.divmod(codes, len(own))
+        per_word = np.bincount(of_word, counts, len(every)).astype(np.int64)
+        kinds = np.bincount(of_word, counts > 0, len(every)).astype(np.int64)
+        place = deal.place(every)
+        hot, cold = place >= 0, place < 0
+        sums = np.zeros((2, len(deal.hot)), np.int64)
+        sums[:, place[hot]] = per_word[hot], kinds[hot]
+        facts = [
+            per_word.sum(), (per_word[cold] > 0).sum(), *((counts == n).sum() for n in (1, 2)), *((kinds[cold] == n).sum() for n in (1, 2))
+        ]
+        word_at, pair_at = (np.cumsum([0, *map(len, x)]) for x in (hashes, contexts))
         asked = [
-            {"block": x[0], "words": word[a:b].astype(np.uint32).tobytes(), "pairs": pair[c:d].astype(np.uint32).tobytes()}
-            for x, a, b, c, d in zip(parts, word_at[:-1], word_at[1:], pair_at[:-1], pair_at[1:])
+            {"block": x, "words": word[a:b].astype(np.uint32).tobytes(), "pairs": pair[c:d].astype(np.uint32).tobytes()}
+            for x, a, b, c, d in zip(blocks, word_at[:-1], word_at[1:], pair_at[:-1], pair_at[1:])
         ]
         row = {
             "bucket": key[0].as_py(),
-            "per_word": np.bincount(codes // contexts, minlength=len(every)).astype(np.uint16).tobytes(),
-            "contexts": (codes % contexts).astype(np.uint16).tobytes(),
+            "hot": place.astype(np.int32).tobytes(),
+            "per_word": np.bincount(of_word, minlength=len(every)).astype(np.uint32).tobytes(),
+            "edges": np.searchsorted(own >> np.uint64(32), np.arange((1 << deal.bits) + 1, dtype=np.uint64)).astype(np.uint32).tobytes(),
+            "keys": own.astype(np.uint32).tobytes(),
+            "contexts": of_context.astype(np.uint32).tobytes(),
             "counts": _narrow(counts),
-            "facts": [*in_context.tolist(), *map(int, facts)],
+            "facts": [*sums.ravel().tolist(), *map(int, facts)],
             "asked": asked,
         }
         return pa.Table.from_pylist([row], schema)
 
+    binaries = ["hot", "per_word", "edges", "keys", "contexts", "counts"]
+    ask = pa.struct([("block", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary())])
     schema = pa.schema(
-        [
-            ("bucket", pa.int32()), ("per_word", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary()),
-            ("facts", pa.list_(pa.int64())),
-            ("asked", pa.list_(pa.struct([("block", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary())]))),
-        ]
+        [("bucket", pa.int32()), *((x, pa.binary()) for x in binaries), ("facts", pa.list_(pa.int64())), ("asked", pa.list_(ask))]
     )
     return requests.groupBy("bucket").applyInArrow(
         run,
-        "bucket int, per_word binary, contexts binary, counts binary, facts array<long>, "
+        f"bucket int, {', '.join(f'{x} binary' for x in binaries)}, facts array<long>, "
         "asked array<struct<block:int,words:binary,pairs:binary>>",
     )
 
@@ -262,106 +329,225 @@ def seat(customers: np.ndarray, new: np.ndarray, per_table: np.ndarray, discount
     return out
 
 
+@dataclass
+class Parent:
+    """The parent restaurant after a sweep: customers and tables in all, and those of the hot words."""
+
+    customers: int
+    tables: int
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
+
+
 @dataclass
 class Model:
-    """Totals that all tasks share: customers of the contexts, discounts, and tables after every sweep."""
+    """What all tasks share: discounts, vocabulary, and the parent after every sweep."""
 
     p: PitmanYor
-    in_context: np.ndarray
     vocabulary: int
     discount: float
     parent_discount: float
-    history: list[np.ndarray]
+    history: list[Parent]
+    hot_counts: np.ndarray
+
+    @property
+    def base(self) -> float:
+        return 1 / (self.vocabulary + 1)
 
-    def parent(self, customers: np.ndarray, tables: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    def above(self, customers: np.ndarray, tables: np.ndarray, parent: Parent) -> np.ndarray:
         """Probability of words in the parent restaurant."""
-        n, m = totals[-2], totals[-1]
-        base = 1 / (self.vocabulary + 1)
-        back = (self.p.strength + self.parent_discount * m) * base
-        return (customers - self.parent_discount * tables + back) / (self.p.strength + n)
-
-    def sweeps(self, row: dict) -> Iterator[tuple[np.ndarray, ...]]:
-        """Word and context of the pairs, counts, and their tables and the words' customers and tables per sweep."""
-        per_word = np.frombuffer(row["per_word"], np.uint16).astype(np.int64)
-        context = np.frombuffer(row["contexts"], np.uint16).astype(np.int64)
-        counts = _wide(row["counts"], len(context))
-        word = np.repeat(np.arange(len(per_word)), per_word)
-        tables = (counts > 0).astype(np.int64)
-        customers = np.bincount(word, tables, len(per_word))
-        sat = (customers > 0).astype(np.int64)
-        for s, totals in enumerate(self.history[: self.p.sweeps]):
-            rng = np.random.default_rng([self.p.seed, s, row["bucket"]])
-            above = self.parent(customers, sat, totals)[word]
-            rest = totals[context] - tables
-            tables = seat(counts, (self.p.strength + self.discount * rest) * above, self.discount * above, self.discount, rng)
-            customers = np.bincount(word, tables, len(per_word)).astype(np.int64)
-            base = 1 / (self.vocabulary + 1)
-            new = (self.p.strength + self.parent_discount * (totals[-1] - sat)) * base
-            sat = seat(customers, new, np.full(len(sat), self.parent_discount * base), self.parent_discount, rng)
-            yield word, context, counts, tables, customers, sat
-
-
-def _start(rows: DataFrame, contexts: int) -> DataFrame:
-    """Totals of the first state: one table for every pair and every word."""
+        back = (self.p.strength + self.parent_discount * parent.tables) * self.base
+        return (customers - self.parent_discount * tables + back) / (self.p.strength + parent.customers)
+
+    def seat_words(self, customers: np.ndarray, tables: np.ndarray, parent: Parent, rng: np.random.Generator) -> np.ndarray:
+        """Tables of words in the parent when their ``customers`` sit down again."""
+        new = (self.p.strength + self.parent_discount * (parent.tables - tables)) * self.base
+        return seat(customers, new, np.full(len(new), self.parent_discount * self.base), self.parent_discount, rng)
+
+    def after(self, totals: np.ndarray) -> Parent:
+        """The parent from the hot words' customers and the other words' customers and tables."""
+        hot = totals[:-2]
+        if not self.history:
+            tables = (hot > 0).astype(np.int64)
+        else:
+            last = self.history[-1]
+            rng = np.random.default_rng([self.p.seed, len(self.history), 1 << 31])
+            tables = self.seat_words(hot, last.hot_tables, last, rng)
+        return Parent(int(totals[-2] + hot.sum()), int(totals[-1] + tables.sum()), hot, tables)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                context = np.frombuffer(row["contexts"], np.uint16).astype(np.int64)
-                some = _wide(row["counts"], len(context)) > 0
-                per_word = np.frombuffer(row["per_word"], np.uint16).astype(np.int64)
-                words_ = np.bincount(np.repeat(np.arange(len(per_word)), per_word), some, len(per_word)) > 0
-                totals = [*np.bincount(context, some, contexts).astype(int).tolist(), int(some.sum()), int(words_.sum())]
-                yield pa.RecordBatch.from_arrays([pa.array([totals], pa.list_(pa.int64()))], names=["totals"])
 
-    return rows.select("per_word", "contexts", "counts").mapInArrow(run, "totals array<long>")
+@dataclass
+class State:
+    """A bucket after a sweep: tables of its pairs, customers and tables of its words in the parent."""
+
+    tables: np.ndarray
+    customers: np.ndarray
+    sat: np.ndarray
+
+
+class Bucket:
+    """Pairs of a bucket, from its row, with what the contexts' buckets answered (``totals`` rows) after each sweep."""
+
+    def __init__(self, row: dict, totals: pa.Table | None = None):
+        self.number = row["bucket"]
+        self.hot = np.frombuffer(row["hot"], np.int32)
+        self.word = np.repeat(np.arange(len(self.hot)), np.frombuffer(row["per_word"], np.uint32).astype(np.int64))
+        self.context = np.frombuffer(row["contexts"], np.uint32).astype(np.int64)
+        self.counts = _wide(row["counts"], len(self.context))
+        self.keys = np.frombuffer(row["keys"], np.uint32)
+        self.edges = np.frombuffer(row["edges"], np.uint32).astype(np.int64)
+        self.in_context = np.zeros(len(self.keys), np.int64)
+        self.rounds: list[np.ndarray] = []
+        for r in totals.to_pylist() if totals is not None else []:
+            place = slice(self.edges[r["part"]], self.edges[r["part"] + 1])
+            while len(self.rounds) <= r["round"]:
+                self.rounds.append(np.zeros(len(self.keys), np.int64))
+            self.rounds[r["round"]][place] = _wide(r["tables"], place.stop - place.start)
+            if r["counts"]:
+                self.in_context[place] = _wide(r["counts"], place.stop - place.start)
+
+    def start(self) -> State:
+        tables = (self.counts > 0).astype(np.int64)
+        customers = np.bincount(self.word, tables, len(self.hot)).astype(np.int64)
+        return State(tables, customers, (customers > 0).astype(np.int64))
+
+    def with_hot(self, state: State, parent: Parent) -> State:
+        """``state`` with the hot words' customers and tables of all buckets."""
+        hot = self.hot >= 0
+        customers, sat = state.customers.copy(), state.sat.copy()
+        customers[hot], sat[hot] = parent.hot_customers[self.hot[hot]], parent.hot_tables[self.hot[hot]]
+        return State(state.tables, customers, sat)
+
+    def sweeps(self, model: Model) -> Iterator[State]:
+        """States after every sweep that the totals known so far allow."""
+        p, state = model.p, self.start()
+        for s in range(min(p.sweeps, len(model.history))):
+            parent, state = model.history[s], self.with_hot(state, model.history[s])
+            rng = np.random.default_rng([p.seed, s, self.number])
+            above = model.above(state.customers, state.sat, parent)[self.word]
+            rest = self.rounds[s][self.context] - state.tables
+            tables = seat(self.counts, (p.strength + model.discount * rest) * above, model.discount * above, model.discount, rng)
+            customers = np.bincount(self.word, tables, len(self.hot)).astype(np.int64)
+            cold = self.hot < 0
+            sat = np.zeros(len(self.hot), np.int64)
+            sat[cold] = model.seat_words(customers[cold], state.sat[cold], parent, rng)
+            state = State(tables, customers, sat)
+            yield state
+
+
+def _sent(bucket: Bucket, state: State, hot_words: int, counts: bool) -> pa.Table:
+    """One row for every bucket of contexts with the tables there, and one of sums for the driver (part -1)."""
+    tables = np.bincount(bucket.context, state.tables, len(bucket.keys)).astype(np.int64)
+    customers = np.bincount(bucket.context, bucket.counts, len(bucket.keys)).astype(np.int64)
+    parts = np.flatnonzero(np.diff(bucket.edges))
+    cut = [slice(bucket.edges[k], bucket.edges[k + 1]) for k in parts]
+    hot, cold = bucket.hot >= 0, bucket.hot < 0
+    sums = np.zeros(hot_words, np.int64)
+    sums[bucket.hot[hot]] = state.customers[hot]
+    sums = [*sums.tolist(), int(state.customers[cold].sum()), int(state.sat[cold].sum())]
+    return pa.Table.from_arrays(
+        [
+            pa.array([*parts.tolist(), -1], pa.int32()), pa.array([bucket.number] * (len(parts) + 1), pa.int32()),
+            pa.array([*(bucket.keys[c].tobytes() for c in cut), b""], pa.binary()),
+            pa.array([*(_narrow(tables[c]) for c in cut), b""], pa.binary()),
+            pa.array([*(_narrow(customers[c]) if counts else b"" for c in cut), b""], pa.binary()),
+            pa.array([*([[]] * len(parts)), sums], pa.list_(pa.int64())),
+        ],
+        names=["part", "bucket", "keys", "tables", "counts", "sums"],
+    )
+
+
+_SENT = "part int, bucket int, keys binary, tables binary, counts binary, sums array<long>"
+_STATE = ["bucket", "hot", "per_word", "edges", "keys", "contexts", "counts"]
 
 
-def _sweep(rows: DataFrame, model: Model) -> DataFrame:
-    contexts = model.p.contexts
+def _first(rows: DataFrame, hot_words: int) -> DataFrame:
+    """What the buckets send of the first state: one table for every pair and every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for _, context, _, tables, customers, sat in model.sweeps(row):
-                    pass
-                totals = [*np.bincount(context, tables, contexts).astype(int).tolist(), int(customers.sum()), int(sat.sum())]
-                yield pa.RecordBatch.from_arrays([pa.array([totals], pa.list_(pa.int64()))], names=["totals"])
+                bucket = Bucket(row)
+                yield from _sent(bucket, bucket.start(), hot_words, True).to_batches()
+
+    return rows.select(_STATE).mapInArrow(run, _SENT)
+
+
+def _sweep(rows: DataFrame, totals: DataFrame, model: Model) -> DataFrame:
+    """What the buckets send after the next sweep."""
+
+    def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        bucket = Bucket(table.to_pylist()[0], found)
+        for state in bucket.sweeps(model):
+            pass
+        return _sent(bucket, state, len(model.history[0].hot_tables), False)
 
-    return rows.select("bucket", "per_word", "contexts", "counts").mapInArrow(run, "totals array<long>")
+    return rows.select(_STATE).groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(run, _SENT)
 
 
-def _answers(rows: DataFrame, model: Model) -> DataFrame:
+def _added(sent: DataFrame, number: int) -> DataFrame:
+    """Per bucket and bucket of contexts: totals of the contexts, in the order in which they were sent."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
+        at = np.cumsum([0, *map(len, keys)])
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        out = []
+        for name in ("tables", "counts"):
+            data = table.column(name).to_pylist()
+            if not any(data):
+                out.append([b""] * len(data))
+                continue
+            sums = np.bincount(place, np.concatenate([_wide(x, len(k)) for x, k in zip(data, keys)]), len(every)).astype(np.int64)
+            out.append([_narrow(sums[place[a:b]]) for a, b in zip(at[:-1], at[1:])])
+        n = table.num_rows
+        return pa.Table.from_arrays(
+            [
+                table.column("bucket").combine_chunks(), pa.array([number] * n, pa.int32()), table.column("part").combine_chunks(),
+                *(pa.array(x, pa.binary()) for x in out),
+            ],
+            names=["bucket", "round", "part", "tables", "counts"],
+        )
+
+    return sent.where("part >= 0").groupBy("part").applyInArrow(
+        run, "bucket int, round int, part int, tables binary, counts binary"
+    )
+
+
+def _answers(rows: DataFrame, totals: DataFrame, model: Model) -> DataFrame:
     """Per block and bucket: counts of the block's words and log10 probabilities of its pairs."""
     p = model.p
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chance = 0.0
-                for s, state in enumerate(model.sweeps(row)):
-                    word, context, counts, tables, customers, sat = state
-                    if s < p.sweeps - p.samples:
-                        continue
-                    totals = model.history[s + 1]
-                    above = model.parent(customers, sat, totals)[word]
-                    seated = counts - model.discount * tables
-                    back = (p.strength + model.discount * totals[context]) * above
-                    chance = chance + (seated + back) / (p.strength + model.in_context[context])
-                logs = np.log10(chance / p.samples).astype(np.float32)
-                known = np.bincount(word, counts, len(sat)).astype(np.uint64)
-                for ask in row["asked"]:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ask["block"]], pa.int32()),
-                            pa.array([row["bucket"]], pa.int32()),
-                            pa.array([known[np.frombuffer(ask["words"], np.uint32)].tobytes()], pa.binary()),
-                            pa.array([logs[np.frombuffer(ask["pairs"], np.uint32)].tobytes()], pa.binary()),
-                        ],
-                        names=["block", "bucket", "known", "logs"],
-                    )
-
-    return rows.drop("facts").mapInArrow(run, "block int, bucket int, known binary, logs binary")
+    def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        row = table.to_pylist()[0]
+        bucket = Bucket(row, found)
+        chance = 0.0
+        for s, state in enumerate(bucket.sweeps(model)):
+            if s < p.sweeps - p.samples:
+                continue
+            parent = model.history[s + 1]
+            state = bucket.with_hot(state, parent)
+            above = model.above(state.customers, state.sat, parent)[bucket.word]
+            back = (p.strength + model.discount * bucket.rounds[s + 1][bucket.context]) * above
+            chance = chance + (bucket.counts - model.discount * state.tables + back) / (p.strength + bucket.in_context[bucket.context])
+        logs = np.log10(chance / p.samples).astype(np.float32)
+        known = np.bincount(bucket.word, bucket.counts, len(bucket.hot)).astype(np.uint64)
+        hot = bucket.hot >= 0
+        known[hot] = model.hot_counts[bucket.hot[hot]]
+        asked = row["asked"]
+        return pa.Table.from_arrays(
+            [
+                pa.array([x["block"] for x in asked], pa.int32()),
+                pa.array([bucket.number] * len(asked), pa.int32()),
+                pa.array([known[np.frombuffer(x["words"], np.uint32)].tobytes() for x in asked], pa.binary()),
+                pa.array([logs[np.frombuffer(x["pairs"], np.uint32)].tobytes() for x in asked], pa.binary()),
+            ],
+            names=["block", "bucket", "known", "logs"],
+        )
+
+    return rows.select(*_STATE, "asked").groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(
+        run, "block int, bucket int, known binary, logs binary"
+    )
 
 
 def language_scores(
@@ -372,39 +558,55 @@ def language_scores(
     Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity
     (10 ** (-score / n_tokens)). Texts whose crc32(doc_id as text) leaves 0 by ``modulus`` are not learned
     from; neither are rows without id, which count as held out. A null, empty or blank text is its end alone.
-    Repeated rows are learned from and scored each; other columns are ignored; an empty table gives an empty
-    result. Without any learned text all words have the base probability.
+    A very long text is one block of its own. Repeated rows are learned from and scored each; other columns are
+    ignored; an empty table gives an empty result. Without any learned text all words have the base probability.
+    Words equal in their 64-bit hashes are one word; contexts equal in their bucket and 32 bits more, one in some
+    100,000, share a restaurant. Words of equal counts at the edge of the hot ones are taken by hash.
     """
     held = F.coalesce(key_hash(doc_id) % modulus == 0, F.lit(True))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), (~held).alias("learned"))
+    return settled(docs.sparkSession, lambda: _scores(source, p))
+
+
+def _scores(source: DataFrame, p: PitmanYor) -> DataFrame:
+    spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // p.block_bytes
-    bits = min(20, int(blocks - 1).bit_length())
+    deal = Deal(_hot_words(source, size, p), min(20, int(blocks - 1).bit_length()))
     source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     packets = _packets(source, blocks)
-    rows = keep(_merged(_requests(packets, p, bits), p.contexts))
-    facts = _totals(rows, "facts")
+    rows = settled(spark, lambda: _merged(_requests(packets, deal), deal))
+    facts, hot_words = _totals(rows, "facts"), len(deal.hot)
     if not len(facts):
-        facts = np.zeros(p.contexts + 6, np.int64)
-    tokens, vocabulary, once, twice, single, double = (int(x) for x in facts[p.contexts :])
-    model = Model(
-        p, facts[: p.contexts], vocabulary, *(min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5 for a, b in ((once, twice), (single, double))), []
-    )
-    totals = _totals(_start(rows, p.contexts), "totals")
-    model.history.append(totals if len(totals) else np.zeros(p.contexts + 2, np.int64))
-    for _ in range(p.sweeps):
-        totals = _totals(_sweep(rows, model), "totals")
-        model.history.append(totals if len(totals) else model.history[0])
-    answers = _answers(rows, model)
+        facts = np.zeros(2 * hot_words + 6, np.int64)
+    hot_counts, hot_kinds = facts[:hot_words], facts[hot_words : 2 * hot_words]
+    tokens, vocabulary, once, twice, single, double = (int(x) for x in facts[2 * hot_words :])
+    vocabulary += int((hot_counts > 0).sum())
+    single, double = single + int((hot_kinds == 1).sum()), double + int((hot_kinds == 2).sum())
+    discounts = (min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5 for a, b in ((once, twice), (single, double)))
+    model = Model(p, vocabulary, *discounts, [], hot_counts)
+    totals = None
+
+    def exchanged() -> DataFrame:
+        number = len(model.history)
+        sent = keep(_sweep(rows, totals, model) if number else _first(rows, hot_words))
+        sums = _totals(sent.where("part < 0"), "sums")
+        model.history.append(model.after(sums if len(sums) else np.zeros(hot_words + 2, np.int64)))
+        return _added(sent, number)
+
+    for _ in range(p.sweeps + 1):
+        found = settled(spark, exchanged)
+        totals = found if totals is None else totals.unionByName(found)
+    answers = _answers(rows, totals, model)
     below = tokens + 0.1 * (vocabulary + 1)
 
     def score(key: tuple, texts_: pa.Table, found: pa.Table) -> pa.Table:
-        b = _read(texts_, p.contexts)
+        b = _read(texts_, deal)
         order = np.argsort(found.column("bucket").to_numpy())
         joined = [b"".join(found.column(c)[int(k)].as_py() for k in order) for c in ("known", "logs")]
         known, logs = np.frombuffer(joined[0], np.uint64).astype(float), np.frombuffer(joined[1], np.float32).astype(float)
         base = np.log10((known + 0.1) / below)
-        word = b.pair_word[b.token_pair]
+        word = b.group[b.token_pair]
         sums = [np.add.reduceat(x, b.of[:-1]) for x in (base[word], logs[b.token_pair], (known > 0).astype(np.int64)[word])]
         n = np.diff(b.of)
         return pa.Table.from_arrays(

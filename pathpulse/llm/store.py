@@ -42,7 +42,7 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
         out.write.parquet(path)
     finally:
-        _scopes.remove(made)
+        _scopes.pop()  # scopes nest, so this is the one opened above
         _remove(spark, made)
     if _scopes:
         _scopes[-1].append(path)

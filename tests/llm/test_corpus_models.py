@@ -55,7 +55,7 @@ def brute_scores(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("p", [PitmanYor(), PitmanYor(block_bytes=4000, contexts=16)])
+@pytest.mark.parametrize("p", [PitmanYor(), PitmanYor(block_bytes=4000), PitmanYor(block_bytes=4000, hot_words=5)])
 def test_base_scores_and_a_better_model(spark, p):
     rng = random.Random(1)
     follow = {f"w{k}": [f"w{rng.randrange(200)}" for _ in range(3)] for k in range(200)}
