@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from pathpulse.llm.store import keep, key_hash, settled
 from pathpulse.llm.words import Text, mix, texts, words
 
-#: Hashes that stand for the end of a text and, as a context, for its beginning.
+#: Hashes that stand for the end of a text and, as a context, for its beginning, which sorts behind all words.
 END = np.uint64(0xE2D0F7E37)
-BEGIN = np.uint64(0xB0E61A9C5D3F7E21)
+BEGIN = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -40,8 +41,9 @@ class PitmanYor:
     """``sweeps`` of Gibbs sampling, of which the last ``samples`` are averaged; strengths are fixed.
 
     Discounts are estimated from the counts of once and twice seen pairs (n1 / (n1 + 2 n2)).
-    ``block_bytes`` bounds the text that one task scores at a time. Pairs of the ``hot_words`` most frequent words of
-    some ``sample_bytes`` of text are dealt by context as well; that decides where pairs lie, not how they count.
+    ``block_bytes`` bounds the text that one task scores at a time. Words that fill an eighth of a bucket or more in some
+    ``sample_bytes`` of text, the ``hot_words`` most frequent of them, have their pairs dealt by context as well; that
+    decides where pairs lie, not how they count.
     """
 
     hot_words: int = 2048
@@ -49,10 +51,19 @@ class PitmanYor:
     sweeps: int = 4
     samples: int = 2
     strength: float = 1.0
-    block_bytes: int = 8 << 20
+    block_bytes: int = 16 << 20
     seed: int = 9
 
 
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values and the place of each value among them."""
+    codes, found = pd.factorize(x)
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[codes]
+
+
 def _packets(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, ids, learned, sizes, data): the texts of a task that fall into a block, compressed together."""
 
@@ -119,6 +130,15 @@ class Deal:
         """A context's bucket and the next 32 bits of its hash."""
         return contexts >> np.uint64(32 - self.bits)
 
+    def packed(self, keys: np.ndarray) -> tuple[bytes, bytes]:
+        """Ascending keys as where each bucket's begin, and 32 bits of each."""
+        edges = np.searchsorted(keys >> np.uint64(32), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        return edges.astype(np.uint32).tobytes(), keys.astype(np.uint32).tobytes()
+
+    def unpacked(self, edges: bytes, keys: bytes) -> np.ndarray:
+        part = np.repeat(np.arange(1 << self.bits, dtype=np.uint64), np.diff(np.frombuffer(edges, np.uint32)))
+        return (part << np.uint64(32)) | np.frombuffer(keys, np.uint32)
+
 
 @dataclass
 class Block:
@@ -154,10 +174,10 @@ def _read(packets: pa.Table, deal: Deal) -> Block:
             sizes.append(n)
     hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
     of = np.concatenate(([0], np.cumsum(sizes)))
-    distinct, word = np.unique(hashes, return_inverse=True)
+    distinct, word = _unique(hashes)
     before = np.concatenate(([0], word[:-1]))
     before[of[:-1]] = len(distinct)
-    pairs, token_pair = np.unique(word * (len(distinct) + 1) + before, return_inverse=True)
+    pairs, token_pair = _unique(word * (len(distinct) + 1) + before)
     pair_word, pair_context = np.divmod(pairs, len(distinct) + 1)
     contexts = np.append(distinct, BEGIN)
     bucket = deal.bucket(distinct)[pair_word]
@@ -180,19 +200,22 @@ def _tokens(part: Text) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(w.hashes, w.of[1:], END), np.diff(w.of) + 1
 
 
-def _hot_words(source: DataFrame, size: int, p: PitmanYor) -> np.ndarray:
-    """Hashes of the most frequent words of a part of the texts of bounded size, ascending."""
+def _hot_words(source: DataFrame, size: int, bits: int, p: PitmanYor) -> np.ndarray:
+    """Hashes of the words that fill an eighth of a bucket in a part of the texts of bounded size, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in texts(batch.column(0)):
                 found, n = np.unique(_tokens(part)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["hash", "n"])
+                # the row without a hash counts all
+                rows = [pa.array([None, *found.view(np.int64).tolist()], pa.int64()), pa.array([n.sum(), *n.tolist()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(rows, names=["hash", "n"])
 
     part = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 + size // p.sample_bytes)) == 0).select("text")
     counts = part.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "hash").limit(p.hot_words).collect()
-    return np.sort(np.array([r.hash for r in rows], np.int64).view(np.uint64))
+    rows = counts.orderBy(F.desc("n"), "hash").limit(p.hot_words + 1).collect()
+    every = max((r.n for r in rows), default=0)
+    return np.sort(np.array([r.hash for r in rows if r.hash is not None and r.n << (bits + 3) >= every], np.int64).view(np.uint64))
 
 
 def _requests(packets: DataFrame, deal: Deal) -> DataFrame:
@@ -207,34 +230,44 @@ def _requests(packets: DataFrame, deal: Deal) -> DataFrame:
         rows = []
         for k in np.flatnonzero(np.diff(edges)).tolist():
             w, e = slice(edges[k], edges[k + 1]), slice(pair_edges[k], pair_edges[k + 1])
-            pairs = np.bincount(b.group[e] - edges[k], minlength=edges[k + 1] - edges[k]).astype(np.uint32)
-            used, context = np.unique(b.pair_context[e], return_inverse=True)
+            pairs = np.bincount(b.group[e] - edges[k], minlength=edges[k + 1] - edges[k])
+            used, context = _unique(b.pair_context[e])
             rows.append((
-                k, key[0].as_py(), b.group_word[w].tobytes(), pairs.tobytes(), deal.keys(b.contexts[used]).tobytes(),
-                context.astype(np.uint32).tobytes(), _narrow(counts[e]),
+                k, key[0].as_py(), b.group_word[w].tobytes(), _narrow(pairs), *deal.packed(deal.keys(b.contexts[used])),
+                _narrow(context, np.uint16), _narrow(counts[e]), len(context),
             ))
-        columns = list(zip(*rows)) or [[]] * 7
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        columns = list(zip(*rows)) or [[]] * 9
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.int64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    names = ["bucket", "block", "words", "pairs", "keys", "contexts", "counts"]
+    names = ["bucket", "block", "words", "pairs", "edges", "keys", "contexts", "counts", "n"]
     return packets.groupBy("block").applyInArrow(
-        run, "bucket int, block int, words binary, pairs binary, keys binary, contexts binary, counts binary"
+        run,
+        "bucket int, block int, words binary, pairs binary, edges binary, keys binary, contexts binary, counts binary, n long",
     )
 
 
-def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in one byte each; 255 stands for the next of the four-byte counts at the end."""
-    small = np.minimum(counts, 255).astype(np.uint8)
-    return small.tobytes() + counts[counts >= 255].astype(np.uint32).tobytes()
+def _narrow(counts: np.ndarray, kind: type = np.uint8) -> bytes:
+    """Counts in one byte each (or ``kind``); its largest value stands for the next of the four-byte counts at the end."""
+    most = np.iinfo(kind).max
+    return np.minimum(counts, most).astype(kind).tobytes() + counts[counts >= most].astype(np.uint32).tobytes()
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, np.uint32, offset=n)
+def _wide(data: bytes, n: int, kind: type = np.uint8) -> np.ndarray:
+    out = np.frombuffer(data, kind, n).astype(np.int64)
+    out[out == np.iinfo(kind).max] = np.frombuffer(data, np.uint32, offset=n * np.dtype(kind).itemsize)
     return out
 
 
+def _steps(places: np.ndarray) -> bytes:
+    """Ascending places as steps, which are short."""
+    return _narrow(np.diff(places, prepend=0))
+
+
+def _places(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_wide(data, n))
+
+
 def _merged(requests: DataFrame, deal: Deal) -> DataFrame:
     """Per bucket: its contexts, counts of all its pairs, statistics, and for each block where its pairs and words lie.
 
@@ -244,16 +277,18 @@ def _merged(requests: DataFrame, deal: Deal) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-        blocks, hashes, pairs = table.column("block").to_pylist(), read("words", np.uint64), read("pairs", np.uint32)
-        keys, contexts = read("keys", np.uint64), read("contexts", np.uint32)
-        asked_counts = [_wide(x, len(c)) for x, c in zip(table.column("counts").to_pylist(), contexts)]
-        every, word = np.unique(np.concatenate(hashes), return_inverse=True)
-        own, key_at = np.unique(np.concatenate(keys), return_inverse=True)
+        asks = table.to_pylist()
+        blocks, hashes = [x["block"] for x in asks], [np.frombuffer(x["words"], np.uint64) for x in asks]
+        pairs = [_wide(x["pairs"], len(h)) for x, h in zip(asks, hashes)]
+        keys = [deal.unpacked(x["edges"], x["keys"]) for x in asks]
+        contexts = [_wide(x["contexts"], x["n"], np.uint16) for x in asks]
+        asked_counts = [_wide(x["counts"], x["n"]) for x in asks]
+        every, word = _unique(np.concatenate(hashes))
+        own, key_at = _unique(np.concatenate(keys))
         first = np.cumsum([0, *map(len, keys)])
-        context = key_at[np.concatenate([c.astype(np.int64) + f for c, f in zip(contexts, first)])]
-        pair_word = np.repeat(word, np.concatenate(pairs).astype(np.int64))
-        codes, pair = np.unique(pair_word * len(own) + context, return_inverse=True)
+        context = key_at[np.concatenate([c + f for c, f in zip(contexts, first)])]
+        pair_word = np.repeat(word, np.concatenate(pairs))
+        codes, pair = _unique(pair_word * len(own) + context)
         counts = np.bincount(pair, np.concatenate(asked_counts), len(codes)).astype(np.int64)
         of_word, of_context = np.divmod(codes, len(own))
         per_word = np.bincount(of_word, counts, len(every)).astype(np.int64)
@@ -267,15 +302,16 @@ def _merged(requests: DataFrame, deal: Deal) -> DataFrame:
         ]
         word_at, pair_at = (np.cumsum([0, *map(len, x)]) for x in (hashes, contexts))
         asked = [
-            {"block": x, "words": word[a:b].astype(np.uint32).tobytes(), "pairs": pair[c:d].astype(np.uint32).tobytes()}
+            {"block": x, "n_words": int(b - a), "n_pairs": int(d - c), "words": _steps(word[a:b]), "pairs": _steps(pair[c:d])}
             for x, a, b, c, d in zip(blocks, word_at[:-1], word_at[1:], pair_at[:-1], pair_at[1:])
         ]
+        edges, low = deal.packed(own)
         row = {
             "bucket": key[0].as_py(),
             "hot": place.astype(np.int32).tobytes(),
             "per_word": np.bincount(of_word, minlength=len(every)).astype(np.uint32).tobytes(),
-            "edges": np.searchsorted(own >> np.uint64(32), np.arange((1 << deal.bits) + 1, dtype=np.uint64)).astype(np.uint32).tobytes(),
-            "keys": own.astype(np.uint32).tobytes(),
+            "edges": edges,
+            "keys": low,
             "contexts": of_context.astype(np.uint32).tobytes(),
             "counts": _narrow(counts),
             "facts": [*sums.ravel().tolist(), *map(int, facts)],
@@ -284,14 +320,14 @@ def _merged(requests: DataFrame, deal: Deal) -> DataFrame:
         return pa.Table.from_pylist([row], schema)
 
     binaries = ["hot", "per_word", "edges", "keys", "contexts", "counts"]
-    ask = pa.struct([("block", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary())])
+    ask = pa.struct([("block", pa.int32()), ("n_words", pa.int64()), ("n_pairs", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary())])
     schema = pa.schema(
         [("bucket", pa.int32()), *((x, pa.binary()) for x in binaries), ("facts", pa.list_(pa.int64())), ("asked", pa.list_(ask))]
     )
     return requests.groupBy("bucket").applyInArrow(
         run,
         f"bucket int, {', '.join(f'{x} binary' for x in binaries)}, facts array<long>, "
-        "asked array<struct<block:int,words:binary,pairs:binary>>",
+        "asked array<struct<block:int,n_words:long,n_pairs:long,words:binary,pairs:binary>>",
     )
 
 
@@ -307,9 +343,11 @@ def seat(customers: np.ndarray, new: np.ndarray, per_table: np.ndarray, discount
     With k seated at t tables, a customer opens a table with weight new + per_table * t and joins one with
     weight k - discount * t. Customers that come after 16 others are seated in steps of k / 16.
     """
-    order = np.argsort(-customers, kind="stable")
+    out = (customers > 0).astype(np.int64)
+    many = np.flatnonzero(customers > 1)
+    order = many[np.argsort(-customers[many], kind="stable")]
     c, new, per_table = customers[order], new[order], per_table[order]
-    tables = (c > 0).astype(float)
+    tables = np.ones(len(c))
     k = 1
     while True:
         n = int(np.searchsorted(-c, -k, "left"))
@@ -324,7 +362,6 @@ def seat(customers: np.ndarray, new: np.ndarray, per_table: np.ndarray, discount
         else:
             t += rng.binomial(np.minimum(step, c[:n] - k).astype(np.int64), np.minimum(chance, 1))
         k += step
-    out = np.empty(len(c), np.int64)
     out[order] = tables
     return out
 
@@ -394,14 +431,14 @@ class Bucket:
         self.word = np.repeat(np.arange(len(self.hot)), np.frombuffer(row["per_word"], np.uint32).astype(np.int64))
         self.context = np.frombuffer(row["contexts"], np.uint32).astype(np.int64)
         self.counts = _wide(row["counts"], len(self.context))
-        self.keys = np.frombuffer(row["keys"], np.uint32)
         self.edges = np.frombuffer(row["edges"], np.uint32).astype(np.int64)
-        self.in_context = np.zeros(len(self.keys), np.int64)
+        self.contexts = int(self.edges[-1])
+        self.in_context = np.zeros(self.contexts, np.int64)
         self.rounds: list[np.ndarray] = []
         for r in totals.to_pylist() if totals is not None else []:
             place = slice(self.edges[r["part"]], self.edges[r["part"] + 1])
             while len(self.rounds) <= r["round"]:
-                self.rounds.append(np.zeros(len(self.keys), np.int64))
+                self.rounds.append(np.zeros(self.contexts, np.int64))
             self.rounds[r["round"]][place] = _wide(r["tables"], place.stop - place.start)
             if r["counts"]:
                 self.in_context[place] = _wide(r["counts"], place.stop - place.start)
@@ -435,10 +472,10 @@ class Bucket:
             yield state
 
 
-def _sent(bucket: Bucket, state: State, hot_words: int, counts: bool) -> pa.Table:
+def _sent(bucket: Bucket, keys: np.ndarray, state: State, hot_words: int, counts: bool) -> pa.Table:
     """One row for every bucket of contexts with the tables there, and one of sums for the driver (part -1)."""
-    tables = np.bincount(bucket.context, state.tables, len(bucket.keys)).astype(np.int64)
-    customers = np.bincount(bucket.context, bucket.counts, len(bucket.keys)).astype(np.int64)
+    tables = np.bincount(bucket.context, state.tables, bucket.contexts).astype(np.int64)
+    customers = np.bincount(bucket.context, bucket.counts, bucket.contexts).astype(np.int64)
     parts = np.flatnonzero(np.diff(bucket.edges))
     cut = [slice(bucket.edges[k], bucket.edges[k + 1]) for k in parts]
     hot, cold = bucket.hot >= 0, bucket.hot < 0
@@ -448,7 +485,7 @@ def _sent(bucket: Bucket, state: State, hot_words: int, counts: bool) -> pa.Tabl
     return pa.Table.from_arrays(
         [
             pa.array([*parts.tolist(), -1], pa.int32()), pa.array([bucket.number] * (len(parts) + 1), pa.int32()),
-            pa.array([*(bucket.keys[c].tobytes() for c in cut), b""], pa.binary()),
+            pa.array([*(keys[c].tobytes() for c in cut), b""], pa.binary()),
             pa.array([*(_narrow(tables[c]) for c in cut), b""], pa.binary()),
             pa.array([*(_narrow(customers[c]) if counts else b"" for c in cut), b""], pa.binary()),
             pa.array([*([[]] * len(parts)), sums], pa.list_(pa.int64())),
@@ -458,7 +495,7 @@ def _sent(bucket: Bucket, state: State, hot_words: int, counts: bool) -> pa.Tabl
 
 
 _SENT = "part int, bucket int, keys binary, tables binary, counts binary, sums array<long>"
-_STATE = ["bucket", "hot", "per_word", "edges", "keys", "contexts", "counts"]
+_STATE = ["bucket", "hot", "per_word", "edges", "contexts", "counts"]
 
 
 def _first(rows: DataFrame, hot_words: int) -> DataFrame:
@@ -468,21 +505,22 @@ def _first(rows: DataFrame, hot_words: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 bucket = Bucket(row)
-                yield from _sent(bucket, bucket.start(), hot_words, True).to_batches()
+                yield from _sent(bucket, np.frombuffer(row["keys"], np.uint32), bucket.start(), hot_words, True).to_batches()
 
-    return rows.select(_STATE).mapInArrow(run, _SENT)
+    return rows.select(*_STATE, "keys").mapInArrow(run, _SENT)
 
 
 def _sweep(rows: DataFrame, totals: DataFrame, model: Model) -> DataFrame:
     """What the buckets send after the next sweep."""
 
     def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
-        bucket = Bucket(table.to_pylist()[0], found)
+        row = table.to_pylist()[0]
+        bucket = Bucket(row, found)
         for state in bucket.sweeps(model):
             pass
-        return _sent(bucket, state, len(model.history[0].hot_tables), False)
+        return _sent(bucket, np.frombuffer(row["keys"], np.uint32), state, len(model.history[0].hot_tables), False)
 
-    return rows.select(_STATE).groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(run, _SENT)
+    return rows.select(*_STATE, "keys").groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(run, _SENT)
 
 
 def _added(sent: DataFrame, number: int) -> DataFrame:
@@ -491,7 +529,7 @@ def _added(sent: DataFrame, number: int) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
         at = np.cumsum([0, *map(len, keys)])
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        every, place = _unique(np.concatenate(keys))
         out = []
         for name in ("tables", "counts"):
             data = table.column(name).to_pylist()
@@ -539,8 +577,8 @@ def _answers(rows: DataFrame, totals: DataFrame, model: Model) -> DataFrame:
             [
                 pa.array([x["block"] for x in asked], pa.int32()),
                 pa.array([bucket.number] * len(asked), pa.int32()),
-                pa.array([known[np.frombuffer(x["words"], np.uint32)].tobytes() for x in asked], pa.binary()),
-                pa.array([logs[np.frombuffer(x["pairs"], np.uint32)].tobytes() for x in asked], pa.binary()),
+                pa.array([known[_places(x["words"], x["n_words"])].tobytes() for x in asked], pa.binary()),
+                pa.array([logs[_places(x["pairs"], x["n_pairs"])].tobytes() for x in asked], pa.binary()),
             ],
             names=["block", "bucket", "known", "logs"],
         )
@@ -572,7 +610,8 @@ def _scores(source: DataFrame, p: PitmanYor) -> DataFrame:
     spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // p.block_bytes
-    deal = Deal(_hot_words(source, size, p), min(20, int(blocks - 1).bit_length()))
+    bits = min(20, int(blocks - 1).bit_length())
+    deal = Deal(_hot_words(source, size, bits, p), bits)
     source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     packets = _packets(source, blocks)
     rows = settled(spark, lambda: _merged(_requests(packets, deal), deal))
