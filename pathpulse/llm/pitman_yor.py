@@ -40,6 +40,7 @@ BEGIN = np.uint64(0xFFFFFFFFFFFFFFFF)
 class PitmanYor:
     """``sweeps`` of Gibbs sampling, of which the last ``samples`` are averaged; strengths are fixed.
 
+    A word's seating in a restaurant is one of ``draws`` proposals, kept in proportion to its weight.
     Discounts are estimated from the counts of once and twice seen pairs (n1 / (n1 + 2 n2)).
     ``block_bytes`` bounds the text that one task scores at a time. Words that fill an eighth of a bucket or more in some
     ``sample_bytes`` of text, the ``hot_words`` most frequent of them, have their pairs dealt by context as well; that
@@ -50,6 +51,7 @@ class PitmanYor:
     sample_bytes: int = 16 << 20
     sweeps: int = 4
     samples: int = 2
+    draws: int = 4
     strength: float = 1.0
     block_bytes: int = 16 << 20
     seed: int = 9
@@ -337,31 +339,50 @@ def _totals(rows: DataFrame, column: str) -> np.ndarray:
     return np.array([r.n for r in sorted(found)], np.int64)
 
 
-def seat(customers: np.ndarray, new: np.ndarray, per_table: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of one dish when its ``customers`` sit down one after the other in an emptied section.
-
-    With k seated at t tables, a customer opens a table with weight new + per_table * t and joins one with
-    weight k - discount * t. Customers that come after 16 others are seated in steps of k / 16.
-    """
-    out = (customers > 0).astype(np.int64)
-    many = np.flatnonzero(customers > 1)
-    order = many[np.argsort(-customers[many], kind="stable")]
-    c, new, per_table = customers[order], new[order], per_table[order]
-    tables = np.ones(len(c))
+def _sit(
+    c: np.ndarray, new: np.ndarray, per_table: np.ndarray, discount: float, rng: np.random.Generator
+) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of dishes of two and more customers (falling), and the log of the weights that their customers chose from."""
+    tables, weights = np.ones(len(c)), np.zeros(len(c))
     k = 1
     while True:
         n = int(np.searchsorted(-c, -k, "left"))
         if not n:
-            break
+            return tables, weights
         t = tables[:n]
         opened = new[:n] + per_table[:n] * t
-        chance = opened / (opened + k - discount * t)
+        every = opened + k - discount * t
         step = max(1, k // 16)
         if step == 1:
-            t += rng.random(n) < chance
+            weights[:n] += np.log(every)
+            t += rng.random(n) < opened / every
         else:
-            t += rng.binomial(np.minimum(step, c[:n] - k).astype(np.int64), np.minimum(chance, 1))
+            steps = np.minimum(step, c[:n] - k).astype(np.int64)
+            weights[:n] += steps * np.log(every)
+            t += rng.binomial(steps, np.minimum(opened / every, 1))
         k += step
+
+
+def seat(
+    customers: np.ndarray, new: np.ndarray, per_table: np.ndarray, discount: float, rng: np.random.Generator, draws: int = 1
+) -> np.ndarray:
+    """Tables of one dish when its ``customers`` sit down one after the other in an emptied section.
+
+    With k seated at t tables, a customer opens a table with weight new + per_table * t and joins one with
+    weight k - discount * t. Customers that come after 16 others are seated in steps of k / 16. One draw follows the
+    customers' own choices. Given that they all chose this dish, a seating is likelier by the product of the weights
+    that they chose from: of several ``draws`` one is kept in proportion to it.
+    """
+    out = (customers > 0).astype(np.int64)
+    many = np.flatnonzero(customers > 1)
+    order = many[np.argsort(-customers[many], kind="stable")]
+    c, new, per_table = customers[order], new[order], per_table[order]
+    tables, weights = _sit(c, new, per_table, discount, rng)
+    for _ in range(draws - 1):
+        other, weight = _sit(c, new, per_table, discount, rng)
+        both = np.logaddexp(weights, weight)
+        tables = np.where(rng.random(len(c)) < np.exp(weight - both), other, tables)
+        weights = both
     out[order] = tables
     return out
 
@@ -399,7 +420,7 @@ class Model:
     def seat_words(self, customers: np.ndarray, tables: np.ndarray, parent: Parent, rng: np.random.Generator) -> np.ndarray:
         """Tables of words in the parent when their ``customers`` sit down again."""
         new = (self.p.strength + self.parent_discount * (parent.tables - tables)) * self.base
-        return seat(customers, new, np.full(len(new), self.parent_discount * self.base), self.parent_discount, rng)
+        return seat(customers, new, np.full(len(new), self.parent_discount * self.base), self.parent_discount, rng, self.p.draws)
 
     def after(self, totals: np.ndarray) -> Parent:
         """The parent from the hot words' customers and the other words' customers and tables."""
@@ -463,7 +484,7 @@ class Bucket:
             rng = np.random.default_rng([p.seed, s, self.number])
             above = model.above(state.customers, state.sat, parent)[self.word]
             rest = self.rounds[s][self.context] - state.tables
-            tables = seat(self.counts, (p.strength + model.discount * rest) * above, model.discount * above, model.discount, rng)
+            tables = seat(self.counts, (p.strength + model.discount * rest) * above, model.discount * above, model.discount, rng, p.draws)
             customers = np.bincount(self.word, tables, len(self.hot)).astype(np.int64)
             cold = self.hot < 0
             sat = np.zeros(len(self.hot), np.int64)

@@ -74,6 +74,108 @@ def test_base_scores_and_a_better_model(spark, p):
     assert all(r.score < 0 and abs(r.perplexity - 10 ** (-r.score / r.n_tokens)) < 1e-6 * r.perplexity for r in got)
 
 
+class Restaurants:
+    """Sequential Gibbs sampling, one customer at a time, with the sizes of all tables."""
+
+    def __init__(self, pairs, discount, parent_discount, strength, words):
+        self.d, self.pd, self.strength, self.base = discount, parent_discount, strength, 1 / (words + 1)
+        self.rng, self.tables, self.above = random.Random(3), {}, {}
+        self.customers = list(pairs)
+        for pair in self.customers:
+            self.sit(*pair)
+
+    def parent(self, word):
+        every = [n for sizes in self.above.values() for n in sizes]
+        own = self.above.get(word, [])
+        back = (self.strength + self.pd * len(every)) * self.base
+        return (sum(own) - self.pd * len(own) + back) / (self.strength + sum(every))
+
+    def chance(self, context, word):
+        here = self.tables.get(context, {})
+        every = [n for sizes in here.values() for n in sizes]
+        own = here.get(word, [])
+        back = (self.strength + self.d * len(every)) * self.parent(word)
+        return (sum(own) - self.d * len(own) + back) / (self.strength + sum(every))
+
+    def _seat(self, sizes, discount, new):
+        x = self.rng.random() * (sum(sizes) - discount * len(sizes) + new)
+        for k, n in enumerate(sizes):
+            x -= n - discount
+            if x < 0:
+                sizes[k] += 1
+                return False
+        sizes.append(1)
+        return True
+
+    def _leave(self, sizes):
+        k = self.rng.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        if not sizes[k]:
+            del sizes[k]
+            return True
+        return False
+
+    def sit(self, context, word):
+        here = self.tables.setdefault(context, {})
+        every = sum(len(sizes) for sizes in here.values())
+        if self._seat(here.setdefault(word, []), self.d, (self.strength + self.d * every) * self.parent(word)):
+            every = sum(len(sizes) for sizes in self.above.values())
+            self._seat(self.above.setdefault(word, []), self.pd, (self.strength + self.pd * every) * self.base)
+
+    def sweep(self):
+        for context, word in self.customers:
+            if self._leave(self.tables[context][word]):
+                self._leave(self.above[word])
+            self.sit(context, word)
+
+
+@pytest.mark.parametrize("p", [
+    PitmanYor(sweeps=8, samples=5), PitmanYor(sweeps=8, samples=5, block_bytes=150, hot_words=2), PitmanYor(sweeps=8, samples=5, block_bytes=300),
+])
+def test_scores_near_those_of_sequential_gibbs_sampling(spark, p):
+    rng = random.Random(5)
+    rows = []
+    for doc in range(60):
+        w = ["a"]
+        while rng.random() < 0.9:
+            w.append(rng.choice({"a": "bbbc", "b": "acd", "c": "aaaaf", "d": "eg"}.get(w[-1], "abcdefgh")))
+        rows.append((doc, " ".join(w)))
+    pairs = {doc: list(zip([None, *text.split()], [*text.split(), ""])) for doc, text in rows}
+    learned = [x for doc in pairs if zlib.crc32(str(doc).encode()) % 10 for x in pairs[doc]]
+    counts, kinds = Counter(learned), Counter(word for _, word in set(learned))
+    discount, parent_discount = (
+        min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+        for ones, twos in ((sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())) for c in (counts, kinds))
+    )
+    model = Restaurants(learned, discount, parent_discount, p.strength, len(kinds))
+    chances, samples = Counter(), 150
+    for sweep in range(samples + 10):
+        model.sweep()
+        if sweep >= 10:
+            for pair in {x for doc in pairs for x in pairs[doc]}:
+                chances[pair] += model.chance(*pair) / samples
+    want = {doc: sum(math.log10(chances[x]) for x in pairs[doc]) for doc in pairs}
+    got = {r.doc_id: r.score for r in language_scores(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()}
+    assert abs(sum(got.values()) - sum(want.values())) < 0.01 * abs(sum(want.values()))
+    assert max(abs(got[d] - want[d]) / (1 + abs(want[d])) for d in want) < 0.1
+
+
+def test_more_contexts_than_any_fixed_table_keep_their_own_followers(spark):
+    rng = random.Random(6)
+    follow = list(range(3000))
+    rng.shuffle(follow)
+    rows = []
+    for doc in range(600):
+        w = [rng.randrange(3000)]
+        while len(w) < 60:
+            w.append(follow[w[-1]])
+        rows.append((doc, " ".join(f"w{x}" for x in w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [r for r in language_scores(docs, PitmanYor(block_bytes=20000)).collect() if r.held_out]
+    # the first word is free and the end unforeseeable; the 59 others follow from the word before
+    assert np.mean([r.score for r in held]) > -20 > 0.2 * np.mean([r.base_score for r in held])
+
+
 def test_model_of_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert language_scores(docs).collect() == []
