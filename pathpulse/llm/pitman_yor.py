@@ -378,10 +378,13 @@ def seat(
     order = many[np.argsort(-customers[many], kind="stable")]
     c, new, per_table = customers[order], new[order], per_table[order]
     tables, weights = _sit(c, new, per_table, discount, rng)
+    # two customers choose once, from the same weight in every draw: their first draw is exact
+    deep = int(np.searchsorted(-c, -2, "left"))
+    weights = weights[:deep]
     for _ in range(draws - 1):
-        other, weight = _sit(c, new, per_table, discount, rng)
+        other, weight = _sit(c[:deep], new[:deep], per_table[:deep], discount, rng)
         both = np.logaddexp(weights, weight)
-        tables = np.where(rng.random(len(c)) < np.exp(weight - both), other, tables)
+        tables[:deep] = np.where(rng.random(deep) < np.exp(weight - both), other, tables[:deep])
         weights = both
     out[order] = tables
     return out
