@@ -170,7 +170,7 @@ def turning_frequency(frames: DataFrame, height: float = 90) -> DataFrame:
     """Peaks of the absolute angle; runs of equal angles are reduced to one row and renumbered."""
     angle = F.col("angle")
     known = frames.where(F.col("turning_angle").isNotNull()).select(
-        "entity", "frame", F.abs("turning_angle").alias("angle")
+        "entity", "frame", F.abs(native.even_angle()).alias("angle")
     )
     sizes = known.groupBy("entity").agg(F.count(F.lit(1)).alias("n_known"))
     before = F.lag("angle").over(along(ENTITY))
@@ -209,7 +209,7 @@ def fractal_features(frames: DataFrame, k_max: int = 10) -> DataFrame:
         positions(channel_values(frames), CHANNEL).where(F.col("n") >= 2 * k_max), k_max
     )
     stepped = placed.withColumns(
-        {f"d{k}": F.abs(F.col("v") - F.lag("v", k).over(track)) for k in range(1, k_max + 1)}
+        {f"d{k}": native.move(F.col("v"), F.lag("v", k).over(track)) for k in range(1, k_max + 1)}
     ).where(~F.col("repeated"))
     slopes = native.curve_length_slopes(stepped, CHANNEL, k_max)
     return _by_channel(slopes, {"{}_fractal_dim": "slope"})

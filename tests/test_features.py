@@ -6,6 +6,8 @@ import pytest
 
 from pathpulse.functions import signal
 from pathpulse.operators import features_native as native
+from pathpulse.operators import long_tracks
+from pathpulse.operators.geometry import turning_angles
 from pathpulse.plans.extract import FEATURES, extract_features
 
 # Worked out by hand and by numpy from the published formulas.
@@ -150,3 +152,30 @@ def test_resampling(spark, n):
     else:
         assert got == [*range(n), *[0] * (300 - n)]
     assert pd.Series(got).notna().all()
+
+
+def mirrored(n=24):
+    """Two turns of one size in a row, the second a rounding error short of the first, on rising turns."""
+    return [i / 100 for i in range(n - 4)] + [0.6, -0.6 * (1 - 2**-52), 0.7, 0.8]
+
+
+def test_a_turn_and_its_mirror_image_are_one_flat_top(frames_of):
+    """At 1 GB rounding made a peak of two equal turns on the way up."""
+    got = native.turning_frequency(frames_of(turning_angle=mirrored(), seg=[0] * 24), 0.5)
+    assert got.first()["turning_frequency"] == 0
+    whole = long_tracks.turning_frequency(frames_of(turning_angle=mirrored()), 0.5)
+    assert whole.first()["turning_frequency"] == 0
+
+
+def test_rounding_errors_are_no_curve_length(frames_of):
+    """A signal that is back at its start after ten steps has no length at lag 10, so no dimension."""
+    angles = [0.0, *[((7 * k) % 11) / 10 + 0.1 for k in range(9)], 1e-17, *[((5 * k) % 13) / 12 for k in range(9)]]
+    frames = frames_of(turning_angle=angles)
+    assert native.fractal_features(frames).first()["turning_fractal_dim"] == 0
+    assert long_tracks.fractal_features(frames).first()["turning_fractal_dim"] == 0
+
+
+def test_a_reversal_turns_by_minus_180(frames_of):
+    """The range is [-180, 180); the SQL's last digits give 180 here."""
+    out = turning_angles(frames_of(x=[56.58, 143.64, 56.58], y=[119.84, 247.17000000000002, 119.84]))
+    assert [row["turning_angle"] for row in out.orderBy("frame").collect()] == [0.0, -180.0, 0.0]
