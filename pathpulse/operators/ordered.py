@@ -19,6 +19,13 @@ from pathpulse.session import cut_lineage, stored
 CUTS = 1023
 SKETCH_ACCURACY = 10_000
 QUANTILE_ROWS = MAX_GROUP_ROWS
+#: Keys whose cuts or edges are broadcast to the rows; a shuffle by few keys would gather all rows in as many tasks.
+FEW_KEYS = 4096
+
+
+def _small(per_key: DataFrame) -> DataFrame:
+    """A stored table with a row per key, to be joined to rows: broadcast unless the keys are many."""
+    return F.broadcast(per_key) if per_key.count() <= FEW_KEYS else per_key
 
 
 def _value_cuts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -65,7 +72,7 @@ def ordered_counts(
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     split = max_rows is not None and largest_group(df, keys) > max_rows
     if split:
-        cuts = _value_cuts(df, keys, value)
+        cuts = _small(_value_cuts(df, keys, value))
     per_value = df.groupBy(*keys, value).agg(*[c.alias(name) for name, c in measures.items()])
     upto = [Window.unboundedPreceding, -1]
 
@@ -89,7 +96,7 @@ def ordered_counts(
     size, before_size = largest_group(blocked, [*keys, *blocks]), None
     while size > max_rows and size != before_size:
         name = f"_block{len(blocks)}"
-        finer = _value_cuts(blocked, [*keys, *blocks], value)
+        finer = _small(_value_cuts(blocked, [*keys, *blocks], value))
         blocked = stored(
             blocked.join(finer, [*keys, *blocks])
             .withColumn(name, _cut_number(F.col("_cuts"), F.col(value).cast("double")))
@@ -143,7 +150,7 @@ def exact_quantiles(
     large = df
     if keys:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        big = cut_lineage(sizes.where(F.col("_n") > max_rows).select(*keys))
+        big = _small(cut_lineage(sizes.where(F.col("_n") > max_rows).select(*keys)))
         large = df.join(big, keys, "left_semi")
     found = cut_lineage(_from_counts(_lumped_counts(large, keys, value, probs), keys, probs))
     if found.where("missed").count():
@@ -180,7 +187,7 @@ def _lumped_counts(
     ).select(*keys, "_rows", *[F.get("_e", i).alias(c) for i, c in enumerate(names)])
     biggest = sketch.agg(F.max("_rows")).first()[0]
     if keys:
-        marked = df.join(sketch.drop("_rows"), keys)
+        marked = df.join(_small(sketch.drop("_rows")), keys)
     else:
         only = sketch.first()
         marked = df.withColumns({c: F.lit(only[c]) for c in names})

@@ -162,3 +162,10 @@ def test_neighbours_are_limited_before_they_are_shuffled(spark):
     found = spark.createDataFrame([(1, 0.5, 2, 1)], FOUND)
     plan = _best(found, 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_rows_stay_where_they_are_when_keys_are_few(skewed):
+    """Joined by a shuffle, the rows of four features lay in four tasks: memory of a task grew with the table."""
+    counts = ordered._lumped_counts(skewed, ["k"], "value", [0.25, 0.5])
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
