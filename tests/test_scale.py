@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pathpulse.operators import ordered
+from pathpulse.operators import neighbors, ordered
 from pathpulse.operators.neighbors import FOUND, _best, nearest_neighbors
 from pathpulse.operators.numbering import largest_group, number_rows, order_block, seg_block
 from pathpulse.sources.event_tracks import event_tracks
@@ -169,3 +169,23 @@ def test_rows_stay_where_they_are_when_keys_are_few(skewed):
     counts = ordered._lumped_counts(skewed, ["k"], "value", [0.25, 0.5])
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_points_are_sent_to_few_large_blocks(spark, monkeypatch):
+    """In many dimensions nearly every cell is in reach; cells of fewer rows than a block sent each point to more of them."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(300, 16))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vec array<double>")
+    cells = []
+    search = neighbors._search
+
+    def seen(visitors, residents, chunks, k):
+        cells.append(residents.select("cell").distinct().count())
+        return search(visitors, residents, chunks, k)
+
+    monkeypatch.setattr(neighbors, "_search", seen)
+    near = {row["id"]: [x["id"] for x in row["nn"]] for row in nearest_neighbors(points, 3, block_rows=100).collect()}
+    assert max(cells) <= 3
+    distances = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(-1))
+    np.fill_diagonal(distances, np.inf)
+    assert near == {i: np.argsort(row, kind="stable")[:3].tolist() for i, row in enumerate(distances)}
