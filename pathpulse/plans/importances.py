@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathpulse.operators import classifiers, hypothesis, importance
+from pathpulse.operators import hypothesis, importance
 from pathpulse.session import cut_lineage
 from pathpulse.sources.stores import write_csv, write_table
 
@@ -18,9 +18,8 @@ def score_features(
     """Combined importance per feature of ``segments(entity, seg, label, features…)``."""
     names = list(features)
     rows = cut_lineage(model_rows(segments, names))
-    model = classifiers.fit(rows, "Random Forest", **{"numTrees": 50, **overrides})
     forest = importance.forest_importance(rows, names, **overrides)
-    shuffled = importance.permutation_importance(model, rows, names, repeats)
+    shuffled = importance.forest_permutation_importance(rows, names, repeats, **{"numTrees": 50, **overrides})
     return importance.combine_scores(forest, shuffled, statistical_scores(segments, names))
 
 
