@@ -4,8 +4,8 @@ Lines with equal token sets collapse first. A line's tokens are ordered by rarit
 count of their bucket in a sketch of fixed size over all texts, then by hash. Two lines of Jaccard similarity s or
 more share one of their first n - ceil(s n) + 1 tokens, the shorter one among its first
 n - ceil(2 s n / (1 + s)) + 1; lines that share such a token are compared by lengths, by the token's places and by
-parity bitmaps of their tokens, all of which only exclude pairs that cannot match. What is left is verified on
-the full sets.
+parity bitmaps of the tokens from there on, all of which only exclude pairs that cannot match. What is left is
+verified on the full sets.
 
 Families of many similar lines would make a pair for each two members. Before the join each line is therefore
 held against two pivots for each of two min-hash values, the earliest and the most copied line of that value;
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathpulse.llm.store import keep, settled
+from pathpulse.llm.store import keep, release, settled
 
 SPACES = r"[\x20\x09-\x0D]+"
 _MASK = (1 << 56) - 1
@@ -48,11 +48,27 @@ def _hashes(line: Column) -> Column:
     return F.array_distinct(F.transform(_words(line), lambda x: F.xxhash64(x).bitwiseAND(F.lit(_MASK))))
 
 
+def _bit(token: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def _bitmap(tokens: Column | str) -> Column:
     """Parity of the tokens that fall on each of 64 bits; differs in no more bits than the sets in tokens."""
-    one = F.lit(1).cast("long")
-    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseXOR(bit(x)))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseXOR(_bit(x)))
+
+
+def _half(token: Column) -> Column:
+    """Whether a token counts in the second bitmap, which holds half of the tokens."""
+    return token.bitwiseAND(F.lit(64)) != 0
+
+
+def _rests(whole: str, counts=lambda x: F.lit(True)) -> Column:
+    """For every place of the prefix the bitmap of the tokens from there to the line's end, and one more.
+
+    ``whole`` is the bitmap of all tokens that ``counts`` is true of.
+    """
+    last = lambda seen: F.element_at(seen, -1)
+    return F.aggregate("prefix", F.array(whole), lambda seen, x: F.array_append(seen, F.when(counts(x), last(seen).bitwiseXOR(_bit(x))).otherwise(last(seen))))
 
 
 #: Words of the wide bitmap that pairs are held against before their sets.
@@ -67,24 +83,24 @@ def _wide_bitmap(tokens: Column | str) -> list[Column]:
     return [_bitmap(part(k)).alias(f"w{k}") for k in range(WIDE)]
 
 
-def _magnitudes(docs: DataFrame, p: LineDedup) -> bytearray:
-    """One byte for every bucket of token hashes: the number of bits of its count over all texts."""
+def _magnitudes(docs: DataFrame, p: LineDedup) -> list[int]:
+    """For every bucket of token hashes the number of bits of its count over all texts."""
     tokens = docs.select(F.explode(F.split("text", SPACES)).alias("token"))
     bucket = F.pmod(F.xxhash64("token").bitwiseAND(F.lit(_MASK)), F.lit(p.buckets))
     counts = tokens.groupBy(bucket.alias("bucket")).count()
-    table = bytearray(b"A" * p.buckets)
+    table = [0] * p.buckets
     for row in counts.collect():
-        table[row[0]] = 65 + min(60, int(row[1]).bit_length())
+        table[row[0]] = min(60, int(row[1]).bit_length())
     return table
 
 
 def _lines(docs: DataFrame, p: LineDedup) -> DataFrame:
     """One row for every line of enough tokens: place, set hashes, size, bitmap, min-hashes and prefix."""
-    table = F.lit(_magnitudes(docs, p))
+    # one literal of all buckets; an array of literals would be an expression for each of them
+    table = F.split(F.lit(",".join(map(str, _magnitudes(docs, p)))), ",").cast("array<long>")
 
     def ranked(h: Column) -> Column:
-        size = F.ascii(F.substring(table, F.pmod(h, F.lit(p.buckets)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(size.cast("long"), 56).bitwiseOR(h)
+        return F.shiftleft(F.get(table, F.pmod(h, F.lit(p.buckets)).cast("int")), 56).bitwiseOR(h)
 
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # a generator computes the hashes once; a filter after a projection would compute them again
@@ -98,7 +114,7 @@ def _lines(docs: DataFrame, p: LineDedup) -> DataFrame:
     return ordered.select(
         "doc_id", "line_no", "n", "low", "high",
         F.xxhash64("tokens").alias("set_a"), F.xxhash64(F.lit(7), "tokens").alias("set_b"),
-        _bitmap("tokens").alias("bits"),
+        _bitmap("tokens").alias("bits"), _bitmap(F.filter("tokens", _half)).alias("half"),
         F.slice("tokens", 1, first.cast("int")).alias("prefix"),
     )
 
@@ -181,20 +197,24 @@ def _pivot_pairs(sets: DataFrame, p: LineDedup) -> DataFrame:
 
 
 def _joined_pairs(sets: DataFrame, p: LineDedup) -> DataFrame:
-    """Pairs whose later line is undecided, that share a prefix token and pass all filters."""
-    rows = sets.select("id", "bits", "n", "undecided", F.posexplode("prefix").alias("at", "token"))
-    token = F.col("token").bitwiseAND(F.lit((1 << 40) - 1))
-    rows = rows.select(token.alias("token"), "id", "bits", F.expr("shiftleft(n * 2L + undecided, 32) | at").alias("packed"))
+    """Pairs whose later line is undecided, that share a prefix token and pass all filters.
+
+    At the first token that two lines share, all before it on either side differ, and those behind differ in as many
+    tokens at least as their bitmaps in bits. At later ones this counts too many, but a pair needs to meet once only.
+    """
+    rows = sets.select("id", "n", "undecided", F.posexplode(F.arrays_zip("prefix", _rests("bits"), _rests("half", _half))).alias("at", "x")).where("x.prefix is not null")
+    token = F.col("x.prefix").bitwiseAND(F.lit((1 << 40) - 1))
+    rows = rows.select(token.alias("token"), "id", F.col("x.2").alias("half"), F.col("x.1").bitwiseXOR(F.col("x.2")).alias("other"), F.expr("shiftleft(n * 2L + undecided, 32) | at").alias("packed"))
     n, m, i, j = "(l.packed >> 33)", "(r.packed >> 33)", "(l.packed & 4294967295L)", "(r.packed & 4294967295L)"
-    possible = _possible(p).replace("l.n", n).replace("r.n", m)
     short = f"least({n}, {m})"
     # a condition on the later line alone would filter one side before its exchange, and both could not share it
     undecided = "((r.packed | (l.packed & 0L)) & 4294967296L) > 0"
     return sets.sparkSession.sql(
         f"""SELECT DISTINCT l.id AS a, r.id AS b FROM {{rows}} l JOIN {{rows}} r ON l.token = r.token
-        WHERE l.id < r.id AND {undecided} AND {possible}
+        WHERE l.id < r.id AND {undecided} AND {short} * 100 >= greatest({n}, {m}) * {p.percent}
           AND (CASE WHEN {n} <= {m} THEN {i} ELSE {j} END) <= {short} - ({_needed(p, short, short)})
-          AND least({n} - {i}, {m} - {j}) >= {_needed(p, n, m)}""",
+          AND least({n} - {i}, {m} - {j}) >= {_needed(p, n, m)}
+          AND {n} - {i} + {m} - {j} - bit_count(l.half ^ r.half) - bit_count(l.other ^ r.other) >= 2 * ({_needed(p, n, m)})""",
         rows=rows,
     )
 
@@ -215,11 +235,13 @@ def matched_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     spark = docs.sparkSession
     lines = keep(_lines(docs, p))
     place = F.struct("doc_id", "line_no")
-    first = F.min(F.struct("doc_id", "line_no", "n", "bits", "low", "high", "prefix")).alias("first")
+    first = F.min(F.struct("doc_id", "line_no", "n", "bits", "half", "low", "high", "prefix")).alias("first")
     grouped = lines.groupBy("set_a", "set_b").agg(first, F.count(F.lit(1)).alias("copies"))
     sets = keep(_numbered(grouped.select("set_a", "set_b", "copies", "first.*"), lines))
     repeated = sets.where("copies > 1").select("set_a", "set_b", place.alias("first"))
     copies = lines.select("set_a", "set_b", "doc_id", "line_no").join(repeated, ["set_a", "set_b"]).where(place != F.col("first"))
+    copies = keep(copies.select("doc_id", "line_no"))
+    release(lines)
     # a set too small to lose a token matches its equals only, which are one row here
     able = sets.where(100 * F.col("n") >= p.percent * (F.col("n") + 1))
     decided = settled(spark, lambda: _verified(_pivot_pairs(able, p), able, docs, p))
@@ -227,7 +249,7 @@ def matched_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     marked = marked.withColumn("undecided", F.expr("CASE WHEN decided IS NULL THEN 1 ELSE 0 END"))
     rest = settled(spark, lambda: _verified(_joined_pairs(marked, p), able, docs, p))
     near = sets.join(decided.unionByName(rest).distinct(), "id")
-    return copies.select("doc_id", "line_no").unionByName(near.select("doc_id", "line_no")).distinct()
+    return copies.unionByName(near.select("doc_id", "line_no")).distinct()
 
 
 def without_matched_lines(docs: DataFrame, p: LineDedup = LineDedup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

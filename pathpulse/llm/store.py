@@ -52,6 +52,11 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the table behind ``df``, which ``keep`` returned and nothing reads any more."""
+    _remove(df.sparkSession, sorted({file.rpartition("/")[0] for file in df.inputFiles()}))
+
+
 def _remove(spark: SparkSession, paths: list[str]) -> None:
     files = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from pathpulse.llm import lines as line_operators
 from pathpulse.llm.lines import LineDedup, matched_lines, without_matched_lines
 
 
@@ -76,3 +77,43 @@ def test_many_equal_lines_of_one_text(spark):
     text = "\n".join(["one two three", "", "four"] * 40_000)
     row = without_matched_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.n_removed == 79_998 and row.text.replace("\n", "") == "one two threefour" and row.n_lines == 120_000
+
+
+def test_lines_just_below_the_limit_make_few_pairs(spark, monkeypatch):
+    """Variants of one line that share too few tokens by a little are told apart before their pairs are made."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for doc in range(160):
+        at = set(rng.sample(range(60), 5))
+        rows.append((doc, " ".join(f"v{doc}_{k}" if k in at else w for k, w in enumerate(base))))
+    rows += [(160, rows[3][1] + " more"), (161, " ".join(rows[9][1].split()[2:]))]
+    made, plain = [], line_operators._joined_pairs
+
+    def counted(*given):
+        pairs = plain(*given)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(line_operators, "_joined_pairs", counted)
+    got = {tuple(r) for r in matched_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and {(160, 0), (161, 0)} <= got
+    assert made[0] < 1_000  # of 12,880
+
+
+def test_rest_bitmaps_count_no_common_token_as_different(spark):
+    """At the first common token two bitmaps of the rest differ in no more bits than the sets differ in tokens."""
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(1 << 40), 4) + rng.sample(range(400), rng.randint(60, 150))) for _ in range(40)]
+    rows = [(k, s, s[:30]) for k, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "id long, tokens array<long>, prefix array<long>")
+    table = table.withColumns({"bits": line_operators._bitmap("tokens"), "half": line_operators._bitmap(line_operators.F.filter("tokens", line_operators._half))})
+    rests = line_operators._rests
+    found = {r["id"]: (r["r"], r["h"]) for r in table.select("id", rests("bits").alias("r"), rests("half", line_operators._half).alias("h")).collect()}
+    for a in range(40):
+        for i in range(30):
+            whole = half = 0
+            for x in sets[a][i:]:
+                bit = 1 << (x & 63)
+                whole, half = whole ^ bit, half ^ (bit if x & 64 else 0)
+            assert found[a][0][i] % (1 << 64) == whole and found[a][1][i] % (1 << 64) == half
