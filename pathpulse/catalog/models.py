@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pathpulse.catalog.common import SHORT, clean_sql, cleaned, r, rounded
+from pathpulse.catalog.common import LONG, SHORT, clean_sql, cleaned, r, rounded
 from pathpulse.catalog.life import FEAT_SQL, segment_features
 from pathpulse.catalog.stats import LONG_SQL
 from pathpulse.catalog.votes import PRED_SQL, predictions
@@ -31,6 +31,8 @@ from pathpulse.sources.tables import read_table
 QUERIES, ORACLES = {}, {}
 WIDTH = 64
 NAMES = [f"e{i:02d}" for i in range(WIDTH)]
+# As in ``feat_meandering``: a segment of 32 frames holds three windows.
+MEANDER_WINDOW = 10
 
 
 def query(sql: str | None = None):
@@ -335,13 +337,17 @@ def threshold_choice(spark, sf):
     return thresholds.best_thresholds(table.select("threshold", "positive_rate", *[F.round(c, 9).alias(c) for c in ("cv_auc_mean", "test_auc", "test_accuracy", "test_f1")]))
 
 
-def _published(spark, sf):
-    """Held-out boosting on the ten published features."""
-    features = extract_features(cut_lineage(cleaned(spark, sf, SHORT)))
-    rows = features.select(
+def published_rows(spark, sf):
+    """The ten published features on segments that hold whole meandering windows, long enough for every one of the ten."""
+    features = extract_features(cut_lineage(cleaned(spark, sf, LONG)), MEANDER_WINDOW)
+    return features.select(
         F.xxhash64(*KEYS).alias("id"), *KEYS, "label", F.array(*VOTING_FEATURES).alias("vec")
     )
-    folded = folds.with_folds(cut_lineage(rows), 5)
+
+
+def _published(spark, sf):
+    """Held-out boosting on the ten published features."""
+    folded = folds.with_folds(cut_lineage(published_rows(spark, sf)), 5)
     return cut_lineage(classifiers.cross_validated(folded, "Gradient Boosting", range(5)))
 
 

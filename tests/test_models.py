@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathpulse.operators import balance, classifiers, evaluation, importance, impute, projection
+from pathpulse.catalog import models
 from pathpulse.operators import thresholds as choice
 from pathpulse.operators.neighbors import nearest_in_groups
 from pathpulse.operators import voting
@@ -326,3 +327,25 @@ def test_permutation_equals_a_plain_shuffle(separable):
             m[:, i] = rng.permutation(m[:, i])
             drops.append(hit(x) - hit(m))
         assert abs(got[name]["perm_importance"] - np.mean(drops)) < 4 * np.std(drops) / 20**0.5 + 1e-3
+
+
+@pytest.fixture(scope="module")
+def walks(spark, tmp_path_factory):
+    """A folder with events of 12 users, 64 each and none missing: two segments of 32 frames a user."""
+    folder = tmp_path_factory.mktemp("walks")
+    rng = np.random.default_rng(3)
+    rows = [
+        (u * 64 + i, f"2024-01-01 00:{i:02d}:00" if i < 60 else f"2024-01-01 01:{i - 60:02d}:00", u, "view", float(rng.uniform(1, 100)), f'{{"k": {rng.integers(1, 100)}}}')
+        for u in range(12) for i in range(64)
+    ]
+    events = spark.createDataFrame(rows, "event_id long, at string, user_id long, event_type string, value double, props string")
+    events.select("event_id", F.to_timestamp("at").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_published_features_have_whole_meandering_windows(spark, walks):
+    rows = models.published_rows(spark, walks).collect()
+    assert len(rows) == 24
+    # the ratios, then the fractal dimension and the deepest wavelet level, which need long segments too
+    assert all(r["vec"][i] > 0 for r in rows for i in (0, 1, 2, 9)) and all(r["vec"][8] != 0 for r in rows)
+    assert all(r["vec"][2] < r["vec"][1] for r in rows)  # more than one window each
