@@ -281,13 +281,16 @@ def quick_feature_test(spark, sf):
     return importance.quick_feature_test(_folded(spark, sf), NAMES, range(5))
 
 
+def sequence_rows(spark, sf):
+    """Every segment's sequence at the length of a whole segment, so that points are frames and not padding."""
+    made = resample.resampled_sequences(cleaned(spark, sf, LONG), LONG.segment_len)
+    return made.select(F.xxhash64(*KEYS).alias("id"), *KEYS, "label", resample.flattened().alias("vec"))
+
+
 @query()
 def sequence_mlp(spark, sf):
-    """Sequences of 300 points, flattened, through the named net; scored on held-out entities."""
-    made = resample.resampled_sequences(cleaned(spark, sf, SHORT))
-    rows = folds.with_folds(
-        made.select(F.xxhash64(*KEYS).alias("id"), *KEYS, "label", resample.flattened().alias("vec")), 5
-    )
+    """Sequences of a segment's length, flattened, through the named net; scored on held-out entities."""
+    rows = folds.with_folds(sequence_rows(spark, sf), 5)
     return classifiers.fold_metrics(cut_lineage(classifiers.cross_validated(rows, "MLP", range(5))))
 
 

@@ -349,3 +349,10 @@ def test_published_features_have_whole_meandering_windows(spark, walks):
     # the ratios, then the fractal dimension and the deepest wavelet level, which need long segments too
     assert all(r["vec"][i] > 0 for r in rows for i in (0, 1, 2, 9)) and all(r["vec"][8] != 0 for r in rows)
     assert all(r["vec"][2] < r["vec"][1] for r in rows)  # more than one window each
+
+
+def test_sequences_of_whole_segments_are_frames_and_not_padding(spark, walks):
+    rows = models.sequence_rows(spark, walks).collect()
+    assert len(rows) == 24 and {len(r["vec"]) for r in rows} == {4 * 32}
+    assert all(v > 0 for r in rows for v in r["vec"][0::4])  # x of every point
+    assert len({v for r in rows for v in r["vec"][0::4]}) == 24 * 32
